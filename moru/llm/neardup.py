@@ -19,13 +19,16 @@ from pyspark.sql import functions as F
 
 from moru.session import broadcast_if_small, checkpoint
 
-#: Families of segments as (most letters of a text, letters k, window w); 0 is no limit. Short texts leave shorter
-#: unbroken stretches. A pair's texts differ in length by a factor of at most 1/t, so both have the family of the longer.
-FAMILIES = ((34, 3, 1), (100, 8, 4), (0, 20, 6))
+#: Families of segments as (most letters of a text, script, letters k, window w); 0 is no limit. Short texts leave shorter
+#: unbroken stretches, and a letter of an alphabet says less than a syllable or an ideograph. A text whose script isn't
+#: clear has the families of both. A pair's texts differ in length by a factor of at most 1/t, so they share families.
+FAMILIES = ((34, "", 3, 1), (100, "", 8, 4), (0, "syllables", 18, 6), (0, "alphabet", 32, 6))
+#: Share of a text's letters below U+0600, where the alphabets are, from and up to which its script isn't clear.
+UNCLEAR = (0.3, 0.7)
 #: Texts that may share a segment before it is refined by the bands of the whole text.
 SHARED = 200
-#: The bands of refined segments: at a similarity of 0.7 a pair shares none of them with a probability of 1e-7.
-BANDS, ROWS = 24, 2
+#: The bands of refined segments: at a similarity of 0.7 a pair shares none of them with a probability of 7e-8.
+BANDS, ROWS = 60, 4
 RING = 16
 #: Distinct questions on one passage before their pairs are found through rare runs.
 QUESTIONS = 64
@@ -94,8 +97,10 @@ def segments(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     c, row = joined[keep].astype(np.uint64), row[keep]
     size = np.bincount(row, minlength=len(texts))
     rows, found = [], []
-    for f, (most, k, w) in enumerate(FAMILIES):
-        some = size[row] <= most if most else slice(None)
+    alphabet = np.bincount(row, c < 0x600, minlength=len(texts)) / np.maximum(size, 1)
+    of = {"": None, "syllables": alphabet <= UNCLEAR[1], "alphabet": alphabet >= UNCLEAR[0]}
+    for f, (most, script, k, w) in enumerate(FAMILIES):
+        some = size[row] <= most if most else of[script][row]
         r, h = _family(c[some], row[some], k, w, (f + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
         rows.append(r)
         found.append(h)
@@ -119,7 +124,9 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if not len(g):
                 continue
             low = mixed(g[:, None] ^ salt[None, :]).min(axis=0).reshape(BANDS, ROWS)
-            key = mixed(low[:, 0] * np.uint64(3) + low[:, 1] + np.arange(BANDS, dtype=np.uint64))
+            key = np.arange(BANDS, dtype=np.uint64)
+            for j in range(ROWS):
+                key = mixed(key + low[:, j])
             segs.append(key)
             pids.append(np.full(BANDS, pid, np.int64))
         seg = np.concatenate(segs) if segs else np.empty(0, np.uint64)
