@@ -1 +1,424 @@
+"""Noise of scanned pages in item texts (problem 1).
 
+Running heads come from the pages themselves: what the first lines of a file's pages have in common. Page numbers are
+recognised by their form. What is left of a text is read through a noisy channel: for each word that the corpus doesn't
+know, candidates are the corpus words from which it can come by confusions (similar vowels, signs for letters, split
+syllables, look-alike Latin letters), and Viterbi decoding over the line weighs the confusion and the n-gram likelihood
+of the candidates, of the word as it stands and of their neighbours' classes.
+"""
+
+from __future__ import annotations
+
+import math
+
+from collections import Counter, defaultdict
+from collections.abc import Iterator
+
+import pyarrow as pa
+import regex
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from moru.session import broadcast_if_small, checkpoint
+
+#: Words of the lexicon: those read at least LEAST times, at most WORDS of them. It is broadcast; rarer words are
+#: judged by their letters.
+LEAST, WORDS = 5, 100_000
+#: A letter seen less often than this share of all letters is foreign to the corpus, given EVIDENCE letters in all.
+FOREIGN, EVIDENCE = 3e-7, 20_000
+
+# Fixed values of the channel: logarithms of the probability of an error in a word and of its kinds.
+ERROR = math.log(0.004)
+KINDS = {"sign": -1.0, "split": -1.0, "similar": math.log(1 / 4), "vowel": math.log(1 / 40), "jamo": math.log(1 / 400), "letter": math.log(1 / 3000)}
+#: Of the classes of neighbours: known word (0) or unknown word (1), the earlier one first.
+AFTER = {(0, 0): math.log(0.95), (0, 1): math.log(0.05), (1, 0): math.log(0.97), (1, 1): math.log(0.03)}
+#: Letters often taken for each other, as read and as meant.
+SIMILAR = {("디", "다"), ("시", "서"), ("논", "는"), ("예", "에"), ("헌", "한"), ("토", "로"), ("온", "은"), ("외", "의"), ("율", "을"), ("틀", "를"), ("파", "과"), ("기", "가"), ("히", "하"), ("려", "리"), ("저", "지"), ("징", "정"), ("언", "인"), ("고", "그"), ("뮬", "물")}
+LATIN_PAIRS = [("c", "e"), ("b", "h"), ("1", "l"), ("I", "l"), ("0", "o"), ("!", "i"), ("h", "b"), ("l", "i"), ("5", "s"), ("6", "b"), ("9", "g"), ("q", "g"), ("u", "v"), ("f", "t"), ("8", "B")]
+LATIN_GROUPS = [("m", "rn"), ("rn", "m"), ("d", "cl"), ("cl", "d"), ("vv", "w"), ("w", "vv"), ("li", "h"), ("h", "li"), ("nn", "m")]
+SIGNS = "�|※■□¦▯▮◆●"
+HYPHENS = "-‐‑¬­–⁃﹣－"
+EDGE = " \t.,?!\"'()[]{}<>〈〉《》“”‘’「」『』:;…·*①②③④⑤⑥⑦⑧⑨⑩"
+SPLIT = regex.compile(r"([ㄱ-ㅎ])([ㅏ-ㅣ])([ㄱ-ㅎ](?![ㅏ-ㅣ]))?")
+OI = regex.compile(r"(?<=[가-힣])[oO0ㅇ][|lI1!]|[oO0ㅇ][|lI1!](?=[가-힣])")
+LEAD = "ㄱㄲㄴㄷㄸㄹㅁㅂㅃㅅㅆㅇㅈㅉㅊㅋㅌㅍㅎ"
+TAIL = "ㄱㄲㄳㄴㄵㄶㄷㄹㄺㄻㄼㄽㄾㄿㅀㅁㅂㅄㅅㅆㅇㅈㅊㅋㅌㅍㅎ"
+
+NUM = r"[0-9lIOoｌ|]{1,4}"
+PAGE_NO = regex.compile(
+    rf"^[\s\p{{P}}|]*(?:(?:p|pp|page|쪽|면)\s*\.?\s*)?(?:제\s*)?{NUM}(?:\s*(?:/|of|-|／)\s*{NUM})?\s*(?:쪽|면|페이지|page)?[\s\p{{P}}|]*$|^[\s\p{{P}}]*[ivx]{{1,5}}[\s\p{{P}}]*$", regex.I
+)
+EDGE_NO = regex.compile(rf"^\s*[\p{{P}}]*\s*(?:p\.\s*)?{NUM}\s*(?:쪽|면)?\s*[\p{{P}}]*\s{{2,}}(?=\S)|(?<=\S)\s{{2,}}[\p{{P}}]*\s*(?:p\.\s*)?{NUM}(?:\s*/\s*{NUM})?\s*(?:쪽|면)?\s*[\p{{P}}]*\s*$")
+HEAD_FORM = regex.compile(r"^\W*(?:\d{4}\s*학.?도|.{0,24}\d{4}\s*학.?년?도)")
+NOT_LETTERS = regex.compile(r"[^\p{L}\p{N}]+")
+COUNTS = regex.compile(r"[0-9lIO]|[ivx]")
+READABLE = regex.compile(r"\p{L}|[" + SIGNS + "]")
+HAS_LATIN = regex.compile(r"[A-Za-z]")
+BROKEN = regex.compile(r"[ㄱ-ㅎ][ㅏ-ㅣ]|�|(?<=\p{L})[|※■□¦▯▮◆●]|[|■□¦▯](?=\p{L})|[A-Za-z][0-9!](?=[A-Za-z])")
+WORD_LIKE = regex.compile(r"[가-힣\p{Latin}'-]+")
+SENTENCE_END = regex.compile(r"(?:[가-힣]다|시오|세요|[.?!])[\s\p{P}]*$")
+
+
+def squeeze(line: str) -> str:
+    return NOT_LETTERS.sub("", line).casefold()
+
+
+def bare_head(line: str) -> str:
+    """A running head without a page number beside it, its letters and digits only."""
+    return squeeze(EDGE_NO.sub("", line))
+
+
+def grams(s: str) -> set[str]:
+    return {s[i : i + 2] for i in range(len(s) - 1)}
+
+
+def is_head(line: str, heads: list[set[str]]) -> bool:
+    """``line`` repeats one of the file's heads, perhaps longer, shorter or misread; or has the form of one."""
+    if len(line) > 80 or not (heads or HEAD_FORM.match(EDGE_NO.sub("", line))) or SENTENCE_END.search(line.rstrip(" )）]")):
+        return False
+    g = grams(bare_head(line))
+    if len(g) < 4:
+        return False
+    return any(len(g & h) >= 0.6 * min(len(g), len(h)) and len(g & h) >= 0.45 * max(len(g), len(h)) for h in heads) or bool(HEAD_FORM.match(EDGE_NO.sub("", line)))
+
+
+def furniture(lines: list[str], heads: list[set[str]]) -> list[set[str]]:
+    """For each line, whether it is a ``header`` or ``pageno``. Numbers that count 1, 2, 3 ... before lines of a list are none."""
+    out = []
+    for x in lines:
+        k: set[str] = set()
+        if is_head(x, heads):
+            k.add("header")
+            if EDGE_NO.search(x):
+                k.add("pageno")
+        elif len(x) < 24 and PAGE_NO.match(x) and COUNTS.search(x):
+            k.add("pageno")
+        out.append(k)
+    counted = [(i, int(x.strip())) for i, (x, k) in enumerate(zip(lines, out)) if k == {"pageno"} and x.strip().isdecimal()]
+    if len(counted) >= 3 and [n for _, n in counted] == list(range(counted[0][1], counted[0][1] + len(counted))):
+        for i, _ in counted:
+            out[i] = set()
+    return out
+
+
+class Model:
+    """The lexicon and the letters of unknown words."""
+
+    def __init__(self, words: dict[str, int], total: int, letters: dict[str, int]) -> None:
+        self.total = max(total, 1)
+        self.words = words
+        self.letters = Counter(letters)
+        self.n_one = max(1, sum(n for g, n in letters.items() if len(g) == 1))
+        self.n_two = max(1, sum(n for g, n in letters.items() if len(g) == 2))
+        known = Counter()
+        for w, n in words.items():
+            for g in pieces(w):
+                known[g] += n
+        self.seen = known + self.letters
+        self.n_seen = sum(n for g, n in self.seen.items() if len(g) == 1)
+        self.enough = self.n_seen >= EVIDENCE
+        self.unknown = math.log(max(1, self.total - sum(words.values())) / self.total)
+        self.patterns: dict[str, list[str]] = defaultdict(list)
+        for w in words:
+            if len(w) <= 16:
+                for i in range(len(w)):
+                    self.patterns[w[:i] + "\0" + w[i + 1 :]].append(w)
+        self.memory: dict[str, list[tuple[str, float, int]]] = {}
+
+    def known(self, w: str) -> float | None:
+        n = self.words.get(w) or self.words.get(w.lower()) or self.words.get(w.capitalize())
+        return math.log(n / self.total) if n else None
+
+    def as_unknown(self, w: str) -> float:
+        """The likelihood of an unknown word by its letters."""
+        out = self.unknown
+        for g in pieces(w):
+            n, all_ = self.letters[g], self.n_two if len(g) == 2 else self.n_one
+            out += math.log(n / all_ if n else 0.05 / all_)
+            if len(g) == 2:
+                out += 3.0  # a pair is weighed against its first letter, of some twenty
+        return out
+
+    def foreign(self, w: str) -> bool:
+        """``w`` has a letter, or two Latin letters in a row, that the corpus doesn't have."""
+        if not self.enough:
+            return False
+        least = max(1.0, FOREIGN * self.n_seen)
+        return any(self.seen[g] < least for g in pieces(w) if len(g) == 2 or "가" <= g <= "힣")
+
+    def channel(self, read: str, meant: str) -> float | None:
+        if read in SIGNS:
+            return KINDS["sign"]
+        if (read, meant) in SIMILAR:
+            return KINDS["similar"]
+        if "가" <= read <= "힣" and "가" <= meant <= "힣":
+            a, b = ord(read) - 0xAC00, ord(meant) - 0xAC00
+            differ = (a // 588 != b // 588, a // 28 % 21 != b // 28 % 21, a % 28 != b % 28)
+            return (KINDS["vowel"] if differ[1] else KINDS["jamo"]) if sum(differ) == 1 else None
+        if meant.isascii() and meant.isalpha():
+            if (read.lower(), meant.lower()) in LATIN_SET or (read, meant) in LATIN_SET:
+                return KINDS["similar"]
+            return KINDS["letter"] if read.isascii() and read.isalpha() and read.lower() != meant.lower() else None
+        return None
+
+    def states(self, w: str) -> list[tuple[str, float, int]]:
+        """What ``w`` can be: ``(word, likelihood, class)``, first the word as it stands."""
+        got = self.memory.get(w)
+        if got is not None:
+            return got
+        p = self.known(w)
+        if p is not None:
+            out = [(w, p, 0)]
+        else:
+            out = [(w, self.as_unknown(w), 1)]
+            options: dict[str, float] = {}
+
+            def offer(c: str, cost: float) -> None:
+                q = self.known(c)
+                if q is not None:
+                    options[c] = max(options.get(c, -1e9), q + cost + ERROR)
+
+            joined = SPLIT.sub(compose, w)
+            if joined != w:
+                offer(joined, KINDS["split"])
+            if OI.search(w):
+                offer(OI.sub("이", w), KINDS["split"])
+            if len(w) <= 16:
+                for i in range(len(w)):
+                    for c in self.patterns.get(w[:i] + "\0" + w[i + 1 :], ()):
+                        if (cost := self.channel(w[i], c[i])) is not None:
+                            offer(c, cost)
+            if HAS_LATIN.search(w):
+                for read, meant in LATIN_GROUPS:
+                    at = w.find(read)
+                    while at >= 0:
+                        offer(w[:at] + meant + w[at + len(read) :], KINDS["similar"])
+                        at = w.find(read, at + 1)
+            out += sorted(((c, s, 0) for c, s in options.items()), key=lambda x: -x[1])[:8]
+        if len(self.memory) > 300_000:
+            self.memory.clear()
+        self.memory[w] = out
+        return out
+
+    def decode(self, words: list[str]) -> list[str]:
+        """The most likely words behind ``words``, by Viterbi."""
+        out: list[str] = []
+        score, before, back = [0.0], [("", 0.0, 0)], []
+        for w in words:
+            now = self.states(w)
+            if len(now) == 1 and len(before) == 1:  # nothing to choose
+                if back:
+                    out += self._best(score, back)
+                    back = []
+                out.append(w)
+                score, before = [0.0], now
+                continue
+            new, link = [], []
+            for _, p, k in now:
+                best = max(range(len(before)), key=lambda i: score[i] + AFTER[before[i][2], k])
+                new.append(score[best] + AFTER[before[best][2], k] + p)
+                link.append(best)
+            back.append((now, link))
+            before, score = now, new
+        return out + self._best(score, back) if back else out
+
+    @staticmethod
+    def _best(score: list[float], back: list[tuple[list[tuple[str, float, int]], list[int]]]) -> list[str]:
+        out, at = [], max(range(len(score)), key=lambda i: score[i])
+        for now, link in reversed(back):
+            out.append(now[at][0])
+            at = link[at]
+        return out[::-1]
+
+
+LATIN_SET = {*LATIN_PAIRS}
+
+
+def pieces(w: str) -> Iterator[str]:
+    """The letters of ``w``; of Latin letters also each two in a row."""
+    low = w.lower()
+    for i, c in enumerate(low):
+        yield c
+        if c.isascii() and c.isalpha() and i + 1 < len(low) and low[i + 1].isascii() and low[i + 1].isalpha():
+            yield low[i : i + 2]
+
+
+def compose(m: regex.Match) -> str:
+    a, v, t = m.group(1), m.group(2), m.group(3)
+    if a not in LEAD:
+        return m.group()
+    return chr(0xAC00 + LEAD.index(a) * 588 + (ord(v) - 0x314F) * 28 + (TAIL.index(t) + 1 if t and t in TAIL else 0))
+
+
+def certain(core: str, model: Model) -> bool:
+    """``core`` holds signs that only stand for letters: split syllables, signs within a word, letters foreign to the corpus."""
+    if BROKEN.search(core) or OI.search(core):
+        return True
+    return bool(WORD_LIKE.fullmatch(core)) and model.foreign(core)
+
+
+def mend(text: str, heads: list[set[str]], model: Model) -> tuple[set[str], str]:
+    """The kinds of noise in ``text`` and the text as continuous paragraphs."""
+    lines = text.split("\n")
+    kinds = furniture(lines, heads)
+    found: set[str] = set().union(*kinds)
+    body = [x for x, k in zip(lines, kinds) if not k]
+    width = max([len(x.rstrip()) for x in body], default=0)
+    paragraphs, current = [], ""
+    for x in body:
+        x = x.strip(" \t\r")
+        if not current:
+            current = x
+            continue
+        tail = current[-1]
+        if tail in HYPHENS and len(current) > 1 and current[-2].isalpha() and x[:1].isalpha():
+            found.add("hyphen")
+            current = current[:-1] + x
+        elif not x or (current[-1] in ".?!" and len(current.rsplit("\1", 1)[-1]) < 0.7 * width):
+            paragraphs.append(current)
+            current = x
+        else:
+            current += " \1" + x
+    paragraphs.append(current)
+    out = []
+    for p in paragraphs:
+        tokens = p.replace("\1", "").split()
+        cores = [t.strip(EDGE) for t in tokens]
+        if all(not c or c in model.words for c in cores):
+            out.append(" ".join(tokens))
+            continue
+        read = [i for i, c in enumerate(cores) if c and (c in model.words or READABLE.search(c))]
+        meant = model.decode([cores[i] for i in read])
+        for i, m in zip(read, meant):
+            if m != cores[i]:
+                tokens[i] = tokens[i].replace(cores[i], m, 1)
+                found.add("misread")
+            elif m not in model.words and certain(m, model):
+                tokens[i] = tokens[i].replace(m, OI.sub("이", SPLIT.sub(compose, m)), 1)
+                found.add("misread")
+        out.append(" ".join(tokens))
+    return found, "\n".join(x for x in out if x)
+
+
+def is_pdf(source_file: str = "metadata.source_file"):
+    return F.lower(F.trim(F.col(source_file))).endswith(".pdf")
+
+
+def _word_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        c: Counter[str] = Counter()
+        for w in batch.column(0).to_pylist():
+            c.update(pieces(w))
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()), pa.array(list(c.values()), pa.int64())], ["piece", "n"])
+
+
+def model_of(items: DataFrame) -> Model:
+    """The model, counted over the texts that aren't from scanned pages (over all where those are too few to be one)."""
+    clean = items.where(~F.coalesce(is_pdf(), F.lit(False)))
+    texts = items if clean.isEmpty() else clean
+    tokens = texts.select(F.explode(F.split(F.concat_ws(" ", "passage", "question"), r"\s+")).alias("t")).groupBy("t").agg(F.count("*").alias("n"))
+    edge = "[" + regex.sub(r"([\[\]\\^*.\-])", r"\\\1", EDGE) + "]+"
+    words = tokens.select(F.regexp_replace("t", f"^{edge}|{edge}$", "").alias("w"), "n").where("w <> ''").groupBy("w").agg(F.sum("n").alias("n"))
+    words = checkpoint(words)
+    total = words.agg(F.sum("n")).head()[0] or 0
+    lexicon = words.where(F.col("n") >= LEAST).orderBy(F.desc("n"), "w").limit(WORDS).collect()
+    rare = words.where(F.col("n") < LEAST).select("w").where(F.length("w") <= 40)
+    letters = rare.mapInArrow(_word_pieces, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "piece").limit(WORDS).collect()
+    return Model({r.w: r.n for r in lexicon}, total, {r.piece: r.n for r in letters})
+
+
+def heads_of(pages: DataFrame) -> DataFrame:
+    """``source_file, heads``: the first lines that recur over a file's pages, without their page numbers."""
+    first = F.expr(r"filter(split(text, '\n'), x -> x rlike '\\p{L}|\\p{N}')")
+    top = pages.where("text is not null").select("source_file", F.get(first, F.lit(0)).alias("line"))
+    strip = F.regexp_replace(F.lower(F.regexp_replace("line", r"^\s*\p{P}*\s*[0-9lIO]{1,4}\s*(?:쪽|면)?\s{2,}|\s{2,}\p{P}*\s*[0-9lIO]{1,4}\s*(?:쪽|면)?\s*$", "")), r"[^\p{L}\p{N}]+", "")
+    top = top.where(~F.col("line").rlike(r"(다|시오|세요|[.?!])[\s\p{P}]*$") & ~F.col("line").rlike(r"^\s*([①-⑳]|\d{1,3}\.)")).withColumn("head", strip)
+    n = top.groupBy("source_file", "head").agg(F.count("*").alias("n")).where(F.length("head") >= 5)
+    of = pages.groupBy("source_file").agg(F.count("*").alias("pages"))
+    ranked = n.join(of, "source_file").where((F.col("n") >= 2) & (F.col("n") >= 0.15 * F.col("pages")))
+    return ranked.groupBy("source_file").agg(F.array_sort(F.collect_list("head")).alias("heads"))  # at most six of a file
+
+
+def _mended(items: DataFrame, pages: DataFrame, run, schema: str, id_col: str) -> DataFrame:
+    src = items.select(F.col(id_col).alias("item_id"), "passage", "question", F.col("metadata.source_file").alias("source_file"))
+    src = src.where(is_pdf("source_file") & (F.col("passage").isNotNull() | F.col("question").isNotNull()))
+    heads = checkpoint(heads_of(pages.select("source_file", "text").where("source_file is not null")))
+    src = src.join(broadcast_if_small(heads, heads.count(), 100_000), "source_file", "left").select("item_id", "passage", "question", "heads")
+    model = model_of(items)
+    held = items.sparkSession.sparkContext.broadcast((model.words, model.total, dict(model.letters)))
+    return src.mapInArrow(run(held), schema)
+
+
+_MODELS: dict[int, Model] = {}
+
+
+def _model(held) -> Model:
+    if held.id not in _MODELS:
+        _MODELS.clear()
+        _MODELS[held.id] = Model(*held.value)
+    return _MODELS[held.id]
+
+
+class _Held:
+    """A broadcast with a key under which a worker remembers what it made of it."""
+
+    def __init__(self, broadcast) -> None:
+        self.broadcast, self.id = broadcast, broadcast._jbroadcast.id()
+
+    @property
+    def value(self):
+        return self.broadcast.value
+
+    def __reduce__(self):
+        return _held, (self.broadcast, self.id)
+
+
+def _held(broadcast, key) -> _Held:
+    out = _Held.__new__(_Held)
+    out.broadcast, out.id = broadcast, key
+    return out
+
+
+def noise(items: DataFrame, pages: DataFrame, id_col: str = "item_id") -> DataFrame:
+    """``item_id, field, noise``: each kind of noise in each field of the items from PDF files, once.
+
+    The model is counted over all items in one aggregation; the items of PDF files take one pass beside a join with the
+    heads of their file, which is broadcast if there are few files. Null and blank fields have no noise, items without a
+    file aren't from one, files without pages are judged by the form of their lines. Second deliveries add nothing.
+    """
+    item = items.schema[id_col].dataType.simpleString()
+
+    def run(broadcast):
+        held = _Held(broadcast)
+
+        def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            model = _model(held)
+            for batch in batches:
+                rows = []
+                for i, p, q, h in zip(*(c.to_pylist() for c in batch.columns)):
+                    heads = [grams(x) for x in h or []]
+                    rows += [(i, f, k) for f, t in (("passage", p), ("question", q)) if t for k in mend(t, heads, model)[0]]
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], batch.schema.field(0).type), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.string())], ["item_id", "field", "noise"])
+
+        return go
+
+    return _mended(items, pages, run, f"item_id {item}, field string, noise string", id_col).distinct()
+
+
+def repaired(items: DataFrame, pages: DataFrame, id_col: str = "item_id") -> DataFrame:
+    """``item_id, passage, question`` of the items from PDF files as continuous, corrected paragraphs; null fields stay null."""
+    item = items.schema[id_col].dataType.simpleString()
+
+    def run(broadcast):
+        held = _Held(broadcast)
+
+        def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            model = _model(held)
+            for batch in batches:
+                heads = [[grams(x) for x in h or []] for h in batch.column(3).to_pylist()]
+                cols = [pa.array([None if t is None else mend(t, h, model)[1] for t, h in zip(batch.column(k).to_pylist(), heads)], pa.string()) for k in (1, 2)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), *cols], ["item_id", "passage", "question"])
+
+        return go
+
+    return _mended(items, pages, run, f"item_id {item}, passage string, question string", id_col)
