@@ -8,7 +8,7 @@ verified by aligning the sentences with the place of the hits. Spans can be cut
 from __future__ import annotations
 
 import unicodedata
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
@@ -22,7 +22,9 @@ from .lookalike import ODD, TO_LATIN, fold
 from .neardup import _alnum, mixed
 
 #: Letters of an n-gram.
-N = 12
+N = 9
+#: Share of an alphabetic sentence's n-grams that a document must hold for it to be verified; of others one is enough.
+HELD = 0.25
 #: Letters of held-out texts in one broadcast; a larger set goes over the documents in blocks.
 BLOCK_LETTERS = 20_000_000
 #: Letters that a replaced word may take, and the share of a sentence that may be replaced.
@@ -69,10 +71,12 @@ class HeldOut:
         self.questions = list(questions.items())
         self.short = [i for i, (q, _) in enumerate(self.questions) if len(q) < N]
         units: list[tuple[int, int]] = []
-        grams, owner = [], []
+        grams, owner, self.least = [], [], []
         for unit, text in [((p, k), s) for p, (ss, _) in enumerate(self.passages) for k, s in enumerate(ss)] + [((-1, q), t) for q, (t, _) in enumerate(self.questions)]:
             h = np.unique(hashes(np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.uint64)))
             grams.append(h)
+            alphabet = sum(x < "\u0600" for x in text) > len(text) / 2  # whose n-grams say less
+            self.least.append(max(1.0, HELD * len(h)) if alphabet else 1.0)
             owner.append(np.full(len(h), len(units)))
             units.append(unit)
         self.units = units
@@ -92,12 +96,16 @@ class HeldOut:
         c, row = joined[keep].astype(np.uint64), row[keep]
         h = hashes(c)
         found: dict[int, set[int]] = defaultdict(set)
+        times: Counter[tuple[int, int]] = Counter()
         if len(h) and len(self.keys):
             at = np.flatnonzero((row[: len(h)] == row[N - 1 :]) & self.bits[(h & np.uint64((1 << 22) - 1)).astype(np.int64)])
             place = np.minimum(np.searchsorted(self.keys, h[at]), len(self.keys) - 1)
             real = self.keys[place] == h[at]
             for r, k in {*zip(row[at[real]].tolist(), place[real].tolist())}:
-                found[r].update(self.owners[self.first[k] : self.first[k + 1]].tolist())
+                times.update((r, u) for u in self.owners[self.first[k] : self.first[k + 1]].tolist())
+        for (r, u), n in times.items():
+            if n >= self.least[u]:
+                found[r].add(u)
         if self.short:
             n = len(self.units) - len(self.questions)
             for r, t in enumerate(texts):
