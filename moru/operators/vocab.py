@@ -107,9 +107,9 @@ def encode(df: DataFrame, vocab: DataFrame, id_col: str, text: str = "text", seg
 
 def decode(df: DataFrame, vocab: DataFrame, id_col: str, ids: str = "ids") -> DataFrame:
     """``id_col, text``: specials skipped, unknown ids as ``<unk>``, signs joined to words, words with a space between."""
-    e = df.select(id_col, F.posexplode(ids).alias("_at", "id")).join(vocab.select("id", "token"), "id", "left")
-    e = e.where(~F.col("id").isin(PAD, BOS, EOS))
-    form = F.when(F.col("token").isNull() | (F.col("id") == UNK), f"{WORD_START}<unk>").otherwise(F.regexp_replace("token", r"^<c:(.*)>$", "$1"))
+    v = vocab.select(F.col("id").alias("_tid"), F.col("token").alias("_token"))
+    e = df.select(id_col, F.posexplode(ids).alias("_at", "_tid")).where(~F.col("_tid").isin(PAD, BOS, EOS)).join(v, "_tid", "left")
+    form = F.when(F.col("_token").isNull() | (F.col("_tid") == UNK), f"{WORD_START}<unk>").otherwise(F.regexp_replace("_token", r"^<c:(.*)>$", "$1"))
     got = e.select(id_col, "_at", form.alias("p")).groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("_at", "p"))).alias("_l"))  # one text
     text = F.regexp_replace(F.array_join(F.transform("_l", lambda x: x["p"]), ""), WORD_START, " ")
     return df.select(id_col).join(got, id_col, "left").select(id_col, F.coalesce(F.ltrim(text), F.lit("")).alias("text"))
