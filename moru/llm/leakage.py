@@ -147,7 +147,7 @@ def aligned(a: str, b: str, text: str) -> tuple[int, int] | None:
         gaps += [(m.a + m.size, n.a, n.b - m.b - m.size) for m, n in zip(blocks, blocks[1:])]
         last = blocks[-1]
         gaps.append((last.a + last.size, len(both), 0))
-        if any(e - s > WORD or t > 2 * WORD for s, e, t in gaps):
+        if any(e - s > WORD or t > WORD + 4 for s, e, t in gaps):
             continue
         lost_a = sum(max(0, min(e, len(a)) - s) for s, e, _ in gaps)
         lost_b = sum(max(0, e - max(s, len(a))) for s, e, _ in gaps)

@@ -281,8 +281,8 @@ def near_pairs(df: DataFrame, passage_least: float = 0.7, question_least: float
     ``passage_least`` and whose questions at least ``question_least`` of the runs that occur in either.
 
     Equal passages are compared once; copies are joined to the pairs of their texts at the end. Rows with a null id or a
-    passage without a letter or digit are in no pair; a null question is an empty text, and texts too short for a run are alike
-    when they have the same letters. Repeated rows and second deliveries add nothing, an empty table gives no pair.
+    passage without a letter or digit are in no pair; a null question is an empty text, questions too short for a run are alike
+    when they have the same letters, passages too short for one when they are the same string. Repeated rows and second deliveries add nothing, an empty table gives no pair.
     """
     src = df.select(F.col(id_col).alias("item_id"), F.col(passage_col).alias("text"), F.coalesce(F.col(question_col), F.lit("")).alias("question"))
     src = src.where(F.col("text").rlike(r"[\p{L}\p{N}]") & F.col("item_id").isNotNull()).withColumn("pid", F.xxhash64("text")).withColumn("qid", F.xxhash64("question"))
