@@ -21,9 +21,9 @@ from pyspark.sql import functions as F
 
 from moru.session import broadcast_if_small, checkpoint
 
-#: Words of the lexicon: those read at least LEAST times, at most WORDS of them. It is broadcast; rarer words are
-#: judged by their letters.
-LEAST, WORDS = 5, 100_000
+#: Words of the lexicon: those read at least LEAST times and in SHARE of all words, at most WORDS of them. It is broadcast;
+#: rarer words are judged by their letters.
+LEAST, SHARE, WORDS = 5, 2e-7, 100_000
 #: A letter seen less often than this share of all letters is foreign to the corpus, given EVIDENCE letters in all.
 FOREIGN, EVIDENCE = 3e-7, 20_000
 
@@ -39,6 +39,9 @@ LATIN_GROUPS = [("m", "rn"), ("rn", "m"), ("d", "cl"), ("cl", "d"), ("vv", "w"),
 SIGNS = "�|※■□¦▯▮◆●"
 HYPHENS = "-‐‑¬­–⁃﹣－"
 EDGE = " \t.,?!\"'()[]{}<>〈〉《》“”‘’「」『』:;…·*①②③④⑤⑥⑦⑧⑨⑩"
+EDGE_LEFT = EDGE.replace("!", "")  # at the start of a word it stands for a letter
+QUOTES = "'‘’"
+STRAY = regex.compile(r"(?<=[가-힣])['‘’](?=[가-힣]|[.,]?$)")
 SPLIT = regex.compile(r"([ㄱ-ㅎ])([ㅏ-ㅣ])([ㄱ-ㅎ](?![ㅏ-ㅣ]))?")
 OI = regex.compile(r"(?<=[가-힣])[oO0ㅇ][|lI1!]|[oO0ㅇ][|lI1!](?=[가-힣])")
 LEAD = "ㄱㄲㄴㄷㄸㄹㅁㅂㅃㅅㅆㅇㅈㅉㅊㅋㅌㅍㅎ"
@@ -283,7 +286,16 @@ def mend(text: str, heads: list[set[str]], model: Model) -> tuple[set[str], str]
     out = []
     for p in paragraphs:
         tokens = p.replace("\1", "").split()
-        cores = [t.strip(EDGE) for t in tokens]
+        if any(q in p for q in QUOTES):
+            quoted = False
+            for i, t in enumerate(tokens):
+                quoted = quoted or t.lstrip("([{<").startswith(tuple(QUOTES))
+                if not quoted and STRAY.search(t):  # a quotation mark that closes nothing
+                    tokens[i] = STRAY.sub("", t)
+                    found.add("misread")
+                elif t.rstrip(".,)]}>").endswith(tuple(QUOTES)) or regex.search(r"['’](?=[가-힣])", t):
+                    quoted = False
+        cores = [t.rstrip(EDGE).lstrip(EDGE_LEFT) for t in tokens]
         if all(not c or c in model.words for c in cores):
             out.append(" ".join(tokens))
             continue
@@ -321,8 +333,9 @@ def model_of(items: DataFrame) -> Model:
     words = tokens.select(F.regexp_replace("t", f"^{edge}|{edge}$", "").alias("w"), "n").where("w <> ''").groupBy("w").agg(F.sum("n").alias("n"))
     words = checkpoint(words)
     total = words.agg(F.sum("n")).head()[0] or 0
-    lexicon = words.where(F.col("n") >= LEAST).orderBy(F.desc("n"), "w").limit(WORDS).collect()
-    rare = words.where(F.col("n") < LEAST).select("w").where(F.length("w") <= 40)
+    least = max(LEAST, SHARE * total)
+    lexicon = words.where(F.col("n") >= least).orderBy(F.desc("n"), "w").limit(WORDS).collect()
+    rare = words.where(F.col("n") < least).select("w").where(F.length("w") <= 40)
     letters = rare.mapInArrow(_word_pieces, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "piece").limit(WORDS).collect()
     return Model({r.w: r.n for r in lexicon}, total, {r.piece: r.n for r in letters})
 
