@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from moru.session import checkpoint
+
 
 def running_total(df: DataFrame, amount: Column, order: str, name: str, block_rows: int = 100_000, by: list[str] | None = None) -> DataFrame:
     """``df`` with ``name``: the sum of ``amount`` over the rows before this one in the order of ``order`` (unique, numeric) among rows with the same ``by``.
@@ -32,12 +34,14 @@ def with_line_order(df: DataFrame, path: Column | None = None) -> DataFrame:
 
 
 def dense_index(df: DataFrame, *order: str, name: str = "idx", parts: int | None = None) -> DataFrame:
-    """``df`` with a dense index from 0 in the order of ``order``: range partitions are counted, their offsets (one row a
-    partition) broadcast, and rows numbered within their partition."""
+    """``df`` with a dense index from 0 in the order of ``order``: rows are numbered within range partitions, and the offsets of the
+    partitions (one row each) broadcast. The numbered rows are written once: range bounds are sampled anew by every run of a
+    plan, so counts and numbers must come from the same one."""
     ranged = df.repartitionByRange(*([parts] if parts else []), *order) if order else df
     ranged = ranged.sortWithinPartitions(*order) if order else ranged
     numbered = ranged.withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id())
     numbered = numbered.withColumn("_i", F.col("_i") - F.shiftleft(F.col("_p").cast("long"), 33))
+    numbered = checkpoint(numbered)
     sizes = numbered.groupBy("_p").agg(F.count("*").alias("_n"))
     offsets = sizes.withColumn("_offset", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_p", "_offset")
     return numbered.join(F.broadcast(offsets), "_p").withColumn(name, F.col("_offset") + F.col("_i")).drop("_p", "_i", "_offset")

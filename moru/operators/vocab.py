@@ -6,8 +6,9 @@ morphological segmenter is given as an Arrow UDF.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -84,25 +85,63 @@ def top_pieces(df: DataFrame, n: int, text: str = "text", segment: Callable[[Col
     return top.select(F.row_number().over(Window.orderBy(F.desc("n"), "piece")).alias("rank"), "piece", "n")  # at most n rows
 
 
-def encode(df: DataFrame, vocab: DataFrame, id_col: str, text: str = "text", segment: Callable[[Column], Column] | None = None, bos: bool = False, eos: bool = False) -> DataFrame:
+def encode(df: DataFrame, vocab: DataFrame, id_col: str, text: str = "text", segment: Callable[[Column], Column] | None = None, bos: bool = False, eos: bool = False, broadcast_rows: int = 1_000_000) -> DataFrame:
     """``id_col, ids``: each piece's id, or the ids of its signs where the vocabulary lacks it, or the unknown id for signs it lacks too.
 
-    The vocabulary is joined twice, to the distinct pieces and their signs, not to every occurrence; Spark broadcasts it
-    if it is under its limit.
+    A vocabulary of at most ``broadcast_rows`` tokens is broadcast and every text encoded where it is, without a shuffle. A
+    larger one is joined to the distinct pieces and their signs. Null and empty texts have no ids but the ends asked for.
     """
     rows = df.select(F.col(id_col), pieces(text, segment).alias("_ps"))
+    ends = [F.array(F.lit(BOS))] if bos else []
+    tails = [F.array(F.lit(EOS))] if eos else []
+    known = vocab.select("token", "id").limit(broadcast_rows + 1).collect()
+    got = _encode_here(rows, id_col, {r.token: r.id for r in known}) if len(known) <= broadcast_rows else _encode_joined(rows, id_col, vocab.select("token", "id"))
+    return got.select(id_col, F.concat(*ends, "ids", *tails).alias("ids"))
+
+
+def _encode_here(rows: DataFrame, id_col: str, ids: dict[str, int]) -> DataFrame:
+    held = rows.sparkSession.sparkContext.broadcast(ids)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memory: dict[str, list[int]] = {}
+        get = held.value.get
+
+        def code(p: str) -> list[int]:
+            whole = get(p)
+            if whole is not None:
+                return [whole]
+            marked, signs = p.startswith(WORD_START), p.removeprefix(WORD_START)
+            return [get(f"<c:{WORD_START if marked and i == 0 else ''}{c}>", UNK) for i, c in enumerate(signs)] or [UNK]
+
+        for batch in batches:
+            out = []
+            for ps in batch.column(1).to_pylist():
+                row: list[int] = []
+                for p in ps or ():
+                    c = memory.get(p)
+                    if c is None:
+                        if len(memory) > 500_000:
+                            memory.clear()
+                        c = memory[p] = code(p)
+                    row += c
+                out.append(row)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int32()))], [batch.schema.names[0], "ids"])
+
+    return rows.mapInArrow(run, f"`{id_col}` {rows.schema[id_col].dataType.simpleString()}, ids array<int>")
+
+
+def _encode_joined(rows: DataFrame, id_col: str, v: DataFrame) -> DataFrame:
     distinct = rows.select(F.explode("_ps").alias("piece")).distinct()
-    v = vocab.select("token", "id")
-    whole = distinct.join(v, distinct.piece == v.token, "left").select("piece", "id")
-    rest = whole.where("id is null").select("piece", F.posexplode(F.split(F.regexp_replace("piece", f"^{WORD_START}", ""), "")).alias("at", "c")).where("c <> ''")
+    v = v.select("token", F.col("id").alias("_tid"))
+    whole = distinct.join(v, distinct.piece == v.token, "left").select("piece", "_tid")
+    rest = whole.where("_tid is null").select("piece", F.posexplode(F.split(F.regexp_replace("piece", f"^{WORD_START}", ""), "")).alias("at", "c")).where("c <> ''")
     token = F.concat(F.lit("<c:"), F.when((F.col("at") == 0) & F.col("piece").startswith(WORD_START), WORD_START).otherwise(""), "c", F.lit(">"))
-    signs = rest.withColumn("token", token).join(v.withColumnRenamed("id", "cid"), "token", "left").groupBy("piece").agg(F.array_sort(F.collect_list(F.struct("at", F.coalesce("cid", F.lit(UNK)).alias("i")))).alias("s"))
-    coded = whole.join(signs, "piece", "left").select("piece", F.when(F.col("id").isNotNull(), F.array("id")).when(F.col("s").isNotNull(), F.transform("s", lambda x: x["i"])).otherwise(F.array(F.lit(UNK))).alias("_ids"))
-    at = rows.select(id_col, F.posexplode("_ps").alias("_at", "piece")).join(coded, "piece").groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("_at", "_ids"))).alias("_l"))  # one text
+    signs = rest.withColumn("token", token).join(v.withColumnRenamed("_tid", "_cid"), "token", "left").groupBy("piece").agg(F.array_sort(F.collect_list(F.struct("at", F.coalesce("_cid", F.lit(UNK)).alias("i")))).alias("s"))
+    coded = whole.join(signs, "piece", "left").select("piece", F.when(F.col("_tid").isNotNull(), F.array("_tid")).when(F.col("s").isNotNull(), F.transform("s", lambda x: x["i"])).otherwise(F.array(F.lit(UNK))).alias("_ids"))
+    keyed = rows.withColumn("_row", F.md5(F.array_join("_ps", "\u0001")))  # equal texts have equal ids
+    at = keyed.select("_row", "_ps").distinct().select("_row", F.posexplode("_ps").alias("_at", "piece")).join(coded, "piece").groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("_at", "_ids"))).alias("_l"))  # one text
     ids = F.coalesce(F.flatten(F.transform("_l", lambda x: x["_ids"])), F.array().cast("array<int>"))
-    ends = [F.array(F.lit(BOS))] if bos else []
-    tails = [F.array(F.lit(EOS))] if eos else []
-    return df.select(id_col).join(at, id_col, "left").select(id_col, F.concat(*ends, ids, *tails).alias("ids"))
+    return keyed.join(at, "_row", "left").select(id_col, ids.alias("ids"))
 
 
 def decode(df: DataFrame, vocab: DataFrame, id_col: str, ids: str = "ids") -> DataFrame:

@@ -92,8 +92,12 @@ def test_encode_decode_round_trip(spark):
     df = spark.createDataFrame([(1, "가나 다라 가나"), (2, ""), (3, None), (4, "가나 ab☃")], "id int, text string")
     v = vocab.train(df, 23_000)
     assert v.count() == v.select("token").distinct().count()
+    assert [r.id for r in v.orderBy("id").collect()] == list(range(v.count()))
+    assert {r.token: r.id for r in v.collect()} == {r.token: r.id for r in vocab.train(df.repartition(5), 23_000).collect()}
     assert [r.token for r in v.where("id < 4").orderBy("id").collect()] == vocab.SPECIALS
     e = vocab.encode(df, v, "id")
+    joined = vocab.encode(df, v, "id", broadcast_rows=10)
+    assert {r.id: r.ids for r in joined.collect()} == {r.id: r.ids for r in e.collect()}
     back = {r.id: r.text for r in vocab.decode(e, v, "id").collect()}
     assert back == {1: "가나 다라 가나", 2: "", 3: "", 4: "가나 ab☃"}
     assert vocab.unknown_audit(e).collect()[0].unknown == 0
