@@ -88,3 +88,14 @@ def learning_rate(step: Column, warmup: int, total: int, high: float, low: float
 
 def scaled_rate(base: float, batch: int, reference: int, how: str = "linear") -> float:
     return base * {"linear": batch / reference, "sqrt": (batch / reference) ** 0.5, "none": 1.0}[how]
+
+
+def tail(lines: DataFrame, n: int, *order: str) -> DataFrame:
+    """The last ``n`` rows in order."""
+    return lines.orderBy(*[F.desc(c) for c in order]).limit(n)
+
+
+def throughput(steps: DataFrame, tokens_per_step: int, at: str, by: list[str]) -> DataFrame:
+    """``by, tokens_seen, tok_s`` of rows that are a step each, with the time ``at``; a run of under a second counts as one."""
+    seconds = F.greatest(F.unix_micros(F.max(at).cast("timestamp")) - F.unix_micros(F.min(at).cast("timestamp")), F.lit(1_000_000)) / 1e6
+    return steps.groupBy(*by).agg((F.count("*") * tokens_per_step).alias("tokens_seen"), seconds.alias("_s")).select(*by, "tokens_seen", (F.col("tokens_seen") / F.col("_s")).alias("tok_s"))

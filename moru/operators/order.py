@@ -19,13 +19,13 @@ def running_total(df: DataFrame, amount: Column, order: str, name: str, block_ro
     """
     by = by or []
     block = F.floor(F.col(order) / block_rows)
-    rows = df.withColumn("_block", block).withColumn("_amount", amount)
-    totals = rows.groupBy(*by, "_block").agg(F.sum("_amount").alias("_sum"))  # one row a block
+    rows = df.withColumn("__block", block).withColumn("__amount", amount)
+    totals = rows.groupBy(*by, "__block").agg(F.sum("__amount").alias("__sum"))  # one row a block
     before = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    offsets = totals.withColumn("_offset", F.coalesce(F.sum("_sum").over(before.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_sum")
-    within = Window.partitionBy(*by, "_block").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    out = rows.join(offsets, [*by, "_block"]).withColumn(name, F.col("_offset") + F.coalesce(F.sum("_amount").over(within), F.lit(0)))
-    return out.drop("_block", "_amount", "_offset")
+    offsets = totals.withColumn("__offset", F.coalesce(F.sum("__sum").over(before.orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__sum")
+    within = Window.partitionBy(*by, "__block").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    out = rows.join(offsets, [*by, "__block"]).withColumn(name, F.col("__offset") + F.coalesce(F.sum("__amount").over(within), F.lit(0)))
+    return out.drop("__block", "__amount", "__offset")
 
 
 def with_line_order(df: DataFrame, path: Column | None = None) -> DataFrame:
@@ -43,5 +43,5 @@ def dense_index(df: DataFrame, *order: str, name: str = "idx", parts: int | None
     numbered = numbered.withColumn("_i", F.col("_i") - F.shiftleft(F.col("_p").cast("long"), 33))
     numbered = checkpoint(numbered)
     sizes = numbered.groupBy("_p").agg(F.count("*").alias("_n"))
-    offsets = sizes.withColumn("_offset", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_p", "_offset")
-    return numbered.join(F.broadcast(offsets), "_p").withColumn(name, F.col("_offset") + F.col("_i")).drop("_p", "_i", "_offset")
+    offsets = sizes.withColumn("__offset", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_p", "__offset")
+    return numbered.join(F.broadcast(offsets), "_p").withColumn(name, F.col("__offset") + F.col("_i")).drop("_p", "_i", "__offset")

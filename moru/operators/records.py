@@ -190,3 +190,17 @@ def prompt_list(c: Column | str, most: int, numbered: bool = False) -> Column:
     if numbered:
         ls = F.transform(ls, lambda x: F.regexp_replace(x, r"\A[0-9.\-) ]+", ""))
     return F.slice(F.filter(ls, lambda x: x != ""), 1, most)
+
+
+def parse_dataset(raw: DataFrame, name: str, source_file: Column | None = None) -> DataFrame:
+    """The items of raw records by the parser of their dataset; unknown names are read like the first."""
+    return PARSERS.get(name, parse_csatqa)(raw, source_file)
+
+
+def parse_all(raw: dict[str, DataFrame]) -> DataFrame:
+    """The items of several datasets, one after the other, with ``dataset``."""
+    parts = [parse_dataset(df, name).withColumn("dataset", F.lit(name)) for name, df in raw.items()]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out

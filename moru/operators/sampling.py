@@ -55,3 +55,8 @@ def draw(logits: DataFrame, seed: int) -> DataFrame:
 
 def every_nth(df: DataFrame, index: str, n: int = 5) -> DataFrame:
     return df.where(F.pmod(F.col(index), F.lit(n)) == 0)
+
+
+def rotated(index: Column, shift: int, n: int) -> Column:
+    """The place of row ``index`` of ``n`` after the list is rotated to the left by ``shift``."""
+    return F.pmod(index - shift, F.lit(max(n, 1)))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from moru.functions import text as T
+from moru.operators.order import running_total
 
 # The marks that open a question and an answer in a chat corpus.
 QUESTION_MARKS = ["질문:", "<usr>"]
@@ -30,15 +31,22 @@ def detect_mode(lines: DataFrame, *order: str, line: str = "line", first: int =
     return n.select(F.when((F.col("questions") >= least) & (F.col("answers") >= least), "chat").otherwise("line").alias("mode"), "questions", "answers")
 
 
-def chat_blocks(lines: DataFrame, by: list[str], order: str, line: str = "line") -> DataFrame:
+def chat_blocks(lines: DataFrame, by: list[str], order: str, line: str = "line", block_rows: int | None = None) -> DataFrame:
     """``by, block, n_lines, text``: runs of lines from a question line on. Leading blank lines are dropped, inner ones kept; what comes before
-    the first question is a block of its own. Windows run within ``by`` (a file, a document), so tasks are as large as one of these."""
-    w = Window.partitionBy(*by).orderBy(order)
+    the first question is a block of its own. Windows run within ``by`` (a file, a document); for files too long for a task, ``block_rows``
+    sets how many lines a task takes, and the totals of such stretches are summed first."""
     s = T.strip(line)
     rows = lines.select(*by, order, F.col(line).alias("_line"), T.not_blank(line).alias("_full"), starts_with_any(s, QUESTION_MARKS).alias("_q"))
-    rows = rows.withColumn("_before", F.coalesce(F.sum(F.col("_full").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    rows = rows.where((F.col("_before") > 0) | F.col("_full"))
-    rows = rows.withColumn("block", F.sum((F.col("_q") & (F.col("_before") > 0)).cast("long")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+
+    def before(df: DataFrame, flag: Column, name: str) -> DataFrame:
+        if block_rows:
+            return running_total(df, flag.cast("long"), order, name, block_rows, by)
+        w = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+        return df.withColumn(name, F.coalesce(F.sum(flag.cast("long")).over(w), F.lit(0)))
+
+    rows = before(rows, F.col("_full"), "_before").where((F.col("_before") > 0) | F.col("_full"))
+    opens = F.col("_q") & (F.col("_before") > 0)
+    rows = before(rows.withColumn("_opens", opens), F.col("_opens"), "_opened").withColumn("block", F.col("_opened") + F.col("_opens").cast("long"))
     got = rows.groupBy(*by, "block").agg(F.array_sort(F.collect_list(F.struct(order, "_line"))).alias("_ls"))  # the lines of one block
     return got.select(*by, "block", F.size("_ls").alias("n_lines"), F.array_join(F.transform("_ls", lambda x: x["_line"]), "\n").alias("text"))
 

@@ -137,9 +137,9 @@ def doc_dedup_first(spark, d):  # G1
 
 @query(f"select (select count(*) from documents where text is not null) as before, count(*) as after, sum(doc_id)::bigint as ids from {FIRST}")
 def dedup_stats(spark, d):  # G1, F16
-    all_ = docs(spark, d).where("text is not null")
-    first = quality.keep_first(all_, T.strip("text"), "doc_id").agg(F.count("*").alias("after"), F.sum("doc_id").alias("ids"))
-    return all_.agg(F.count("*").alias("before")).join(F.broadcast(first), F.lit(True)).select("before", "after", "ids")  # one row each
+    all_ = docs(spark, d).where("text is not null").withColumn("k", F.md5(T.strip("text")))
+    groups = all_.groupBy("k").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"))
+    return groups.agg(F.sum("n").alias("before"), F.count("*").alias("after"), F.sum("first").alias("ids"))
 
 
 @query(f"select doc_id from {FIRST} order by doc_id limit 100")
@@ -714,6 +714,35 @@ def tumbling_windows(spark, d):  # M1, an extension
     return event_windows(table(spark, d, "events")).withColumn("total", F.round("total", 4))
 
 
+@query("select feed, file_no, count(*) filter (where json_valid(payload)) as parsed, count(*) filter (where not json_valid(payload)) as skipped from local_raw group by all")
+def parsed_per_file(spark, d):  # F13
+    bad = F.try_parse_json("payload").isNull()
+    return table(spark, d, "local_raw").groupBy("feed", "file_no").agg(F.count_if(~bad).alias("parsed"), F.count_if(bad).alias("skipped"))
+
+
+@query("select event_id, event_type from events order by event_id desc limit 100")
+def log_tail(spark, d):  # A21
+    return logs.tail(table(spark, d, "events").select("event_id", "event_type"), 100, "event_id")
+
+
+@query("select user_id, count(*) * 32768 as tokens_seen, round(count(*) * 32768 / greatest(epoch(max(ts)) - epoch(min(ts)), 1.0), 3) as tok_s from events group by 1")
+def tokens_seen(spark, d):  # F14
+    e = table(spark, d, "events")
+    return logs.throughput(e, 32_768, "ts", ["user_id"]).withColumn("tok_s", F.round("tok_s", 3))
+
+
+@query(f"select case when n_ko >= 3 then 'coherent' else 'broken' end as verdict, count(*) as texts from (select doc_id, len(list_filter(list_slice({words('text')}, 1, 10), lambda w: regexp_matches(w, '[가-힣]'))) as n_ko from documents where text is not null) group by 1")
+def health_tally(spark, d):  # F18
+    return vocab.health(docs(spark, d).where("text is not null").select("doc_id", F.slice(vocab.words("text"), 1, 10).alias("top")), "top").groupBy("verdict").agg(F.count("*").alias("texts"))
+
+
+@query("with p as (select name, row_number() over (order by name) - 1 as idx, count(*) over () as n from dataset_registry) select name, ((idx - (n // 3) + n) % n)::bigint as place from p")
+def rotated_list(spark, d):  # G9
+    r = dense_index(table(spark, d, "dataset_registry").select("name"), "name")
+    n = r.count()
+    return r.select("name", sampling.rotated(F.col("idx"), n // 3, n).alias("place"))
+
+
 # --- decoding -------------------------------------------------------------------------------------------------------------
 
 LOGITS = "(select vec_id as step, (i - 1)::int as token, embedding[i]::double * 10 as logit from embeddings, unnest(range(1, len(embedding) + 1)) t(i))"

@@ -143,3 +143,21 @@ def test_links(spark):
     assert crawl.links(pages, "none").count() == 0
     assert crawl.all_links(pages, ["csat", "teacher", "what"]).count() == 3
     assert readers.env_values(["A=1", "# c", "", "B='x y'", "nothing"]) == {"A": "1", "B": "x y"}
+
+
+def test_chat_blocks_in_stretches(spark):
+    from moru.sources.sinks import to_lines
+
+    text = "\n\n앞말\n질문: 하나\n답변: 둘\n\n 질문: 셋\n<usr> 넷\n끝\n"
+    lines = to_lines(spark.createDataFrame([(1, text), (2, ""), (3, "질문: 홀로"), (4, None)], "d int, text string"), "d")
+    whole = sorted(map(tuple, split.chat_blocks(lines, ["d"], "line_no").collect()))
+    assert whole == [(1, 0, 1, "앞말"), (1, 1, 3, "질문: 하나\n답변: 둘\n"), (1, 2, 1, " 질문: 셋"), (1, 3, 3, "<usr> 넷\n끝\n"), (3, 0, 1, "질문: 홀로")]
+    assert sorted(map(tuple, split.chat_blocks(lines, ["d"], "line_no", block_rows=2).collect())) == whole
+
+
+def test_datasets_in_one_table(spark):
+    from moru.operators.records import parse_all
+
+    civil = spark.createDataFrame([("1", "문", "가", "나", "다", "라", "2", "2020", "국가직")], "`문제 번호` string, `문제 내용` string, `선택지 1` string, `선택지 2` string, `선택지 3` string, `선택지 4` string, `정답` string, year string, source string")
+    sft = spark.createDataFrame([([("user", "묻는다")],)], "messages array<struct<role:string,content:string>>")
+    assert sorted(r.dataset for r in parse_all({"civil_local": civil, "csat_sft": sft}).collect()) == ["civil_local", "csat_sft"]
