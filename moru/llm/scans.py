@@ -112,7 +112,6 @@ class Model:
         self.words = words
         self.letters = Counter(letters)
         self.n_one = max(1, sum(n for g, n in letters.items() if len(g) == 1))
-        self.n_two = max(1, sum(n for g, n in letters.items() if len(g) == 2))
         known = Counter()
         for w, n in words.items():
             for g in pieces(w):
@@ -133,13 +132,16 @@ class Model:
         return math.log(n / self.total) if n else None
 
     def as_unknown(self, w: str) -> float:
-        """The likelihood of an unknown word by its letters."""
-        out = self.unknown
-        for g in pieces(w):
-            n, all_ = self.letters[g], self.n_two if len(g) == 2 else self.n_one
-            out += math.log(n / all_ if n else 0.05 / all_)
-            if len(g) == 2:
-                out += 3.0  # a pair is weighed against its first letter, of some twenty
+        """The likelihood of an unknown word by its letters; of a Latin letter after another by the two."""
+        out, last = self.unknown, ""
+        for c in w.lower():
+            latin = c.isascii() and c.isalpha()
+            if latin and last:
+                out += math.log((self.letters[last + c] + 0.01) / (self.letters[last] + 1))
+            else:
+                n = self.letters[c]
+                out += math.log(n / self.n_one if n else 0.05 / self.n_one)
+            last = c if latin else ""
         return out
 
     def foreign(self, w: str) -> bool:
