@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .lookalike import ODD, TO_LATIN, fold
-from .neardup import _alnum, mixed
+from .neardup import mixed, spans
 
 #: Letters of an n-gram.
 N = 9
@@ -90,6 +90,10 @@ class HeldOut:
 
     def hits(self, texts: list[str]) -> Iterator[tuple[int, set[int]]]:
         """Each text with a hit and the units that it may hold."""
+        for a, b in spans(texts):
+            yield from ((a + r, units) for r, units in self._hits(texts[a:b]))
+
+    def _hits(self, texts: list[str]) -> Iterator[tuple[int, set[int]]]:
         joined = np.frombuffer("\0".join([*texts, ""]).encode("utf-32-le"), np.uint32)
         row = np.cumsum(joined == 0)
         keep = joined != 0

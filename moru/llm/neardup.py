@@ -30,6 +30,8 @@ SHARED = 200
 #: The bands of refined segments: at a similarity of 0.7 a pair shares none of them with a probability of 7e-8.
 BANDS, ROWS = 60, 4
 RING = 16
+#: Signs whose arrays are in memory at once.
+LETTERS = 3_000_000
 #: Distinct questions on one passage before their pairs are found through rare runs.
 QUESTIONS = 64
 
@@ -42,6 +44,18 @@ def _alnum() -> np.ndarray:
     return _ALNUM[0]
 
 
+def spans(texts: list[str], most: int = LETTERS) -> Iterator[tuple[int, int]]:
+    """Stretches of ``texts`` with at most ``most`` signs together; a longer text is a stretch of its own."""
+    start = size = 0
+    for i, t in enumerate(texts):
+        if i > start and size + len(t) > most:
+            yield start, i
+            start, size = i, 0
+        size += len(t)
+    if start < len(texts):
+        yield start, len(texts)
+
+
 def codes(text: str) -> np.ndarray:
     """The letters and digits of ``text`` as code points."""
     c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -111,8 +125,10 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         pid, texts = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_pylist()
         pid, first = np.unique(pid, return_index=True)  # equal passages of a batch count once
-        row, seg = segments([texts[i].replace("\0", " ") for i in first])
-        yield pa.RecordBatch.from_arrays([pa.array(seg.view(np.int64)), pa.array(pid[row])], ["seg", "pid"])
+        texts = [texts[i].replace("\0", " ") for i in first]
+        for a, b in spans(texts):
+            row, seg = segments(texts[a:b])
+            yield pa.RecordBatch.from_arrays([pa.array(seg.view(np.int64)), pa.array(pid[a:b][row])], ["seg", "pid"])
 
 
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,25 +155,27 @@ def _pairs(most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seg, pid = np.empty(0, np.int64), np.empty(0, np.int64)
 
-        def emit(seg: np.ndarray, pid: np.ndarray) -> pa.RecordBatch:
+        def emit(seg: np.ndarray, pid: np.ndarray) -> Iterator[pa.RecordBatch]:
             fresh = np.ones(len(seg), bool)
             fresh[1:] = (seg[1:] != seg[:-1]) | (pid[1:] != pid[:-1])
             seg, pid = seg[fresh], pid[fresh]
             start = np.flatnonzero(np.r_[True, seg[1:] != seg[:-1]]) if len(seg) else np.empty(0, np.int64)
             size = np.diff(np.r_[start, len(seg)])
-            of = np.repeat(np.arange(len(start)), size)
-            big = size[of] > most if len(of) else np.empty(0, bool)
-            a, b = [pid[big]], [pid[big]]
+            big = np.repeat(size > most, size)
+            a, b, n = [pid[big]], [pid[big]], 0
             seg, pid = seg[~big], pid[~big]
-            d = 1
-            while d < len(seg):  # each with the d-th after it, while any segment is that long
+            for d in range(1, len(seg)):  # each with the d-th after it, while any segment is that long
                 same = seg[d:] == seg[:-d]
                 if not same.any():
                     break
                 a.append(pid[:-d][same])
                 b.append(pid[d:][same])
-                d += 1
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["p1", "p2"])
+                n += len(a[-1])
+                if n > 500_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["p1", "p2"])
+                    a, b, n = [], [], 0
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["p1", "p2"])
 
         held = False  # the start of a segment with too many texts has been given out already
         for batch in batches:
@@ -170,7 +188,7 @@ def _pairs(most: int):
                     yield pa.RecordBatch.from_arrays([pa.array(pid[:more]), pa.array(pid[:more])], ["p1", "p2"])
                     seg, pid, cut, held = seg[more:], pid[more:], cut - more, False
                 if cut > 0:
-                    yield emit(seg[:cut], pid[:cut])
+                    yield from emit(seg[:cut], pid[:cut])
                     seg, pid = seg[cut:], pid[cut:]
             if len(seg) > 50 * most:
                 yield pa.RecordBatch.from_arrays([pa.array(pid[:-1]), pa.array(pid[:-1])], ["p1", "p2"])
@@ -179,7 +197,7 @@ def _pairs(most: int):
             if held:
                 yield pa.RecordBatch.from_arrays([pa.array(pid), pa.array(pid)], ["p1", "p2"])
             else:
-                yield emit(seg, pid)
+                yield from emit(seg, pid)
 
     return run
 
@@ -240,7 +258,8 @@ def _alike(keep: int, least: float):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ok = alike(batch.column(keep).to_pylist(), batch.column(keep + 1).to_pylist(), least)
+            x, y = batch.column(keep).to_pylist(), batch.column(keep + 1).to_pylist()
+            ok = np.concatenate([alike(x[a:b], y[a:b], least) for a, b in spans([*map("".join, zip(x, y))])] or [np.empty(0, bool)])
             yield pa.RecordBatch.from_arrays(batch.columns[:keep], batch.schema.names[:keep]).filter(pa.array(ok))
 
     return run
