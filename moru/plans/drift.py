@@ -21,4 +21,27 @@ def p5_alternatives(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p5_found, p5_consistent, p5_alternatives)}
-ORACLES: dict[str, str] = {}
+
+_NAMES = ", ".join(f"('{k}', '{f}')" for k, f in schema_drift.FIELD_OF.items())
+#: Keys of unknown names, which the operator judges by their content, are fields of their own here.
+ORACLES: dict[str, str] = {
+    "p5_found": rf"""
+with v as (select feed, file_no, e.key, case when e.type = 'VARCHAR' then 'string' when e.type = 'BOOLEAN' then 'boolean' when e.type = 'ARRAY' then 'array' when e.type = 'OBJECT' then 'object' else 'number' end as type
+  from (select * from local_raw where json_valid(payload) and json_type(payload) = 'OBJECT') r, json_each(r.payload) e where e.type <> 'NULL'),
+n as (select feed, file_no, key, type, count(*) as n from v group by all),
+names as (select * from (values {_NAMES}) t(name, field)),
+k as (select n.feed, n.file_no, n.key, n.type, coalesce(field, key) as field from (select *, row_number() over (partition by feed, file_no, key order by n desc, type) as r from n) n
+  left join names on name = lower(regexp_replace(key, '[\s_\-]+', '', 'g')) where r = 1),
+f as (select distinct feed, file_no from k),
+steps as (select b.feed, b.file_no from f b join f a on a.feed = b.feed and a.file_no = b.file_no - 1),
+gone as (select b.feed, b.file_no, k.key, k.type, k.field, row_number() over (partition by b.feed, b.file_no, k.field order by k.key) as nth from steps b join k on k.feed = b.feed and k.file_no = b.file_no - 1
+  where not exists (select 1 from k x where x.feed = b.feed and x.file_no = b.file_no and x.key = k.key)),
+come as (select b.feed, b.file_no, k.key, k.type, k.field, row_number() over (partition by b.feed, b.file_no, k.field order by k.key) as nth from steps b join k on k.feed = b.feed and k.file_no = b.file_no
+  where not exists (select 1 from k x where x.feed = b.feed and x.file_no = b.file_no - 1 and x.key = k.key)),
+pairs as (select g.feed, g.file_no, g.key as old_key, c.key as new_key, g.type as old_type, c.type as new_type from gone g join come c using (feed, file_no, field, nth)),
+kept as (select b.feed, b.file_no, x.key as old_key, y.key as new_key, x.type as old_type, y.type as new_type from steps b join k y on y.feed = b.feed and y.file_no = b.file_no join k x on x.feed = b.feed and x.file_no = b.file_no - 1 and x.key = y.key)
+select feed, file_no, 'renamed' as change, old_key, new_key from pairs
+union all select feed, file_no, 'removed', key, '' from gone g where not exists (select 1 from pairs p where p.feed = g.feed and p.file_no = g.file_no and p.old_key = g.key)
+union all select feed, file_no, 'added', '', key from come c where not exists (select 1 from pairs p where p.feed = c.feed and p.file_no = c.file_no and p.new_key = c.key)
+union all select feed, file_no, 'retyped', old_key, new_key from (select * from pairs union all select * from kept) where old_type <> new_type"""
+}
