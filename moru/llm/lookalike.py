@@ -52,8 +52,9 @@ for _c in [*range(0x1100, 0x1113), *range(0x1161, 0x1176), *range(0x11A8, 0x11C3
         JAMO[_c] = unicodedata.lookup(f"HANGUL LETTER {_name}")
     except KeyError:
         pass
-#: Texts of these signs alone are in their one form already.
-PLAIN = regex.compile(r"[\x00-\x0c\x0e-\x7f가-힣一-鿿ぁ-ゖァ-ヺー、。「」『』《》①-⑳㉠-㉭·“”‘’…]*")
+#: Texts of these signs alone are in their one form already; the class is read by Python and by the JVM.
+PLAIN_SIGNS = r"\x00-\x0c\x0e-\x7f가-힣一-鿿ぁ-ゖァ-ヺー、。「」『』《》①-⑳㉠-㉭·“”‘’…"
+PLAIN = regex.compile(f"[{PLAIN_SIGNS}]*")
 ODD = regex.compile(r"[\p{Greek}\p{Cyrillic}]")
 TOKEN = regex.compile(r"[\p{Latin}\p{Greek}\p{Cyrillic}\p{M}]+")
 #: The same tokens for the JVM.
@@ -126,8 +127,11 @@ def canonical_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     src = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = src.schema["doc_id"].dataType.simpleString()
-    scanned = src.mapInArrow(_scan, f"doc_id {kind}, text string, folded string, odd array<string>, classes array<string>, visible boolean")
-    scanned = checkpoint(scanned)
+    special = F.coalesce(F.col("text").rlike(f"[^{PLAIN_SIGNS}]"), F.lit(False))
+    # plain texts never leave the JVM; the others are folded anew by each pass rather than stored
+    none = F.array().cast("array<string>")
+    plain = src.where(~special).select("doc_id", "text", F.col("text").alias("folded"), none.alias("odd"), none.alias("classes"), F.coalesce(F.col("text").rlike(r"[^\p{Z}\p{C}\p{M}\s]"), F.lit(False)).alias("visible"))
+    scanned = src.where(special).mapInArrow(_scan, f"doc_id {kind}, text string, folded string, odd array<string>, classes array<string>, visible boolean")
     odd = F.size("odd") > 0
 
     spelled = scanned.where(odd).select(F.explode(F.arrays_zip("odd", "classes")).alias("t")).select(F.col("t.odd").alias("form"), F.col("t.classes").alias("class"))
@@ -135,7 +139,7 @@ def canonical_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     n_classes = counts.select("class").distinct().count()
     # Latin spellings of those classes; a Latin spelling is its own class
     latin = (
-        scanned.where(F.col("folded").rlike(r"\p{IsLatin}"))
+        plain.unionByName(scanned).where(F.col("folded").rlike(r"\p{IsLatin}"))
         .select(F.explode(F.array_distinct(F.expr(f"regexp_extract_all(folded, '{TOKEN_JVM.replace(chr(92), chr(92) * 2)}', 0)"))).alias("form"))
         .where(~F.col("form").rlike(r"[\p{IsGreek}\p{IsCyrillic}]"))
         .join(broadcast_if_small(counts.select(F.col("class").alias("form")).distinct(), n_classes), "form", "left_semi")
@@ -172,7 +176,8 @@ def canonical_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         .select("doc_id", "text", "folded", "forms", "bests", "visible")
         .mapInArrow(_rewritten, f"doc_id {kind}, text string, canonical string, visible boolean")
     )
-    return scanned.where(~odd).select("doc_id", "text", F.col("folded").alias("canonical"), "visible").unionByName(repaired)
+    rest = plain.unionByName(scanned.where(~odd))
+    return rest.select("doc_id", "text", F.col("folded").alias("canonical"), "visible").unionByName(repaired)
 
 
 def lookalike_pairs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -181,7 +186,7 @@ def lookalike_pairs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Only forms with more than one spelling are joined. Null and blank texts and null ids are in no pair.
     """
     keyed = canonical_texts(df, id_col, text_col).where("visible and doc_id is not null")
-    keyed = keyed.select("doc_id", F.md5("canonical").alias("form"), F.md5("text").alias("spelling")).distinct()
+    keyed = keyed.select("doc_id", F.unhex(F.md5("canonical")).alias("form"), F.unhex(F.md5("text")).alias("spelling")).distinct()
     keyed = checkpoint(keyed)
     several = keyed.groupBy("form").agg(F.min("spelling").alias("a"), F.max("spelling").alias("b")).where("a <> b").select("form")
     rows = checkpoint(keyed.join(several, "form", "left_semi"))

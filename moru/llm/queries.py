@@ -55,5 +55,18 @@ def p8_canonical(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_repaired, p2_found, p2_cleaned, p3_found, p4_found, p6_ids, p7_training_set, p7_shares, p8_found, p8_canonical)}
 
-#: None of these operators can be said in SQL; tests hold them against brute force.
-ORACLES: dict[str, str] = {}
+_FULL = "".join(map(chr, [*range(0xFF01, 0xFF5F)]))
+_HALF = "".join(map(chr, range(0x21, 0x7F))).replace("'", "''")
+_ALIKE = {**lookalike.CYRILLIC, **lookalike.GREEK}
+_FOLDED = f"translate(regexp_replace(replace(text, chr(13) || chr(10), chr(10)), '[{lookalike.NO_WIDTH}\\x{{fe00}}-\\x{{fe0f}}]', '', 'g'), '{_FULL}{lookalike.SPACES}{lookalike.HYPHENS}', '{_HALF}{' ' * len(lookalike.SPACES)}--')"
+for _from, _to in lookalike.LIGATURES.items():
+    _FOLDED = f"replace({_FOLDED}, '{_from}', '{_to}')"
+_READS = f"nfc_normalize(translate({_FOLDED}, '{''.join(_ALIKE)}', '{''.join(_ALIKE.values())}'))"
+_READS = f"translate({_READS}, '{''.join(map(chr, lookalike.JAMO))}', '{''.join(lookalike.JAMO.values())}')"
+
+#: Pairs of equal skeletons. The other operators can't be said in SQL, or not fast enough; tests hold them against brute force.
+ORACLES: dict[str, str] = {
+    "p8_found": rf"""with t as (select doc_id, text, {_READS} as reads from documents where text is not null),
+  v as (select * from t where regexp_matches(reads, '[^\p{{Z}}\p{{C}}\p{{M}}\s]'))
+  select a.doc_id as doc_a, b.doc_id as doc_b from v a join v b on a.reads = b.reads and a.doc_id < b.doc_id and a.text <> b.text"""
+}
