@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from moru.functions import text as T
-from moru.operators import logs, packing, pages, quality, records, sampling, split, vocab
+from moru.operators import logs, packing, pages, quality, records, sampling, split, tokenizers, vocab
 from moru.operators.order import dense_index
 from moru.plans import pipeline
 from moru.session import table
@@ -619,6 +619,21 @@ def heavy_hitters(spark, d):  # F6
     return vocab.approx_heavy_hitters(docs(spark, d), 100)
 
 
+@query(None)
+def rank_ids(spark, d):  # K6
+    return tokenizers.encode(docs(spark, d), tokenizers.Ranks, tokenizers.file_bytes("byte_bpe_multi_50k.tiktoken"), "doc_id", bos=True, eos=True)
+
+
+@query(None)
+def sentencepiece_ids(spark, d):  # K7
+    return tokenizers.encode(docs(spark, d), tokenizers.Pieces, tokenizers.file_bytes("piece_bpe_32k.model"), "doc_id", eos=True)
+
+
+@query("select count(text) as texts, count(text) as same from documents")
+def rank_round_trip(spark, d):  # K6, K8: every text comes back
+    return tokenizers.round_trips(docs(spark, d), tokenizers.Ranks, tokenizers.file_bytes("byte_bpe_50k.tiktoken"), "doc_id")
+
+
 # --- budgets, packing, padding --------------------------------------------------------------------------------------------
 
 

@@ -161,3 +161,17 @@ def test_datasets_in_one_table(spark):
     civil = spark.createDataFrame([("1", "문", "가", "나", "다", "라", "2", "2020", "국가직")], "`문제 번호` string, `문제 내용` string, `선택지 1` string, `선택지 2` string, `선택지 3` string, `선택지 4` string, `정답` string, year string, source string")
     sft = spark.createDataFrame([([("user", "묻는다")],)], "messages array<struct<role:string,content:string>>")
     assert sorted(r.dataset for r in parse_all({"civil_local": civil, "csat_sft": sft}).collect()) == ["civil_local", "csat_sft"]
+
+
+def test_public_tokenizers(spark):
+    from moru.operators import tokenizers
+
+    df = spark.createDataFrame([(1, "안녕 hello", 5), (2, "", 6), (None, None, 7)], "id int, text string, ids int")
+    for make, name in ((tokenizers.Ranks, "byte_bpe_50k.tiktoken"), (tokenizers.Pieces, "piece_bpe_32k.model")):
+        data = tokenizers.file_bytes(name)
+        t = make(data)
+        e = tokenizers.encode(df, make, data, "id", bos=True, eos=True)
+        got = {r.id: r.ids for r in e.collect()}
+        assert got == {1: [t.bos, *t.encode(["안녕 hello"])[0], t.eos], 2: [t.bos, t.eos], None: [t.bos, t.eos]}
+        assert {r.id: r.text for r in tokenizers.decode(e, make, data, "id").collect()}[1] == "안녕 hello"
+        assert tokenizers.encode(df.limit(0), make, data, "id").count() == 0
