@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from moru.functions import text as T
@@ -87,14 +87,57 @@ def _body(b: Column) -> Column:
     return T.strip(F.when(at > 0, F.substr(t, F.lit(1), at - 1)).otherwise(t))
 
 
+def _starts(parts: Column, first: Column) -> Column:
+    """Where each of ``parts`` starts, the first of them at ``first``; one more place for the end."""
+    return F.aggregate(parts, F.array(first), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + F.length(x))))
+
+
+def _after(whole: Column, parts: Column) -> Column:
+    """The length of ``whole`` before ``parts``, which go on to its end."""
+    return F.length(whole) - F.aggregate(parts, F.lit(0), lambda n, x: n + F.length(x))
+
+
+def file_texts(pages: DataFrame, path: str = "path", page: str = "page_no", text: str = "text") -> DataFrame:
+    """``path, file, starts array<struct<start, page_no>>, t``: the pages of each file in their order as one text, without noise lines and blank pages.
+
+    A file is one document of a bounded number of pages. Pages without a path are each a file of their own; ``file`` tells them apart.
+    """
+    src = pages.where(F.col(text).isNotNull()).select(F.col(path).alias("path"), F.col(page).alias("page_no"), without_noise(text).alias("t")).where(T.not_blank("t"))
+    src = src.withColumn("file", F.when(F.col("path").isNull(), F.monotonically_increasing_id()))
+    files = src.groupBy("path", "file").agg(F.array_sort(F.collect_list(F.struct("page_no", "t"))).alias("ps"))  # the pages of one file
+    at = files.withColumn("from", _starts(F.transform("ps", lambda x: F.concat(x["t"], F.lit("\n"))), F.lit(0)))
+    starts = F.transform("ps", lambda x, i: F.struct(F.get("from", i).alias("start"), x["page_no"].alias("page_no")))
+    return at.select("path", "file", starts.alias("starts"), F.array_join(F.col("ps.t"), "\n").alias("t"))
+
+
+def _numbered(df: DataFrame) -> DataFrame:
+    """``df`` with the page on which each block starts and its place among the blocks that start there."""
+    on = df.withColumn("page_no", F.element_at(F.filter("starts", lambda x: x["start"] <= F.col("start")), -1)["page_no"]).drop("starts")
+    return on.withColumn("at", F.row_number().over(Window.partitionBy("path", "file", "page_no").orderBy("start")) - 1)
+
+
+def file_blocks(pages: DataFrame, path: str = "path", page: str = "page_no", text: str = "text") -> DataFrame:
+    """``path, page_no, at, reader, shared, b``: the numbered blocks of each file, whatever page breaks they go over, by the page on which they start.
+
+    In files of the reader ``leet`` that have passage marks the blocks are those of each passage, which ends at the next mark.
+    """
+    src = file_texts(pages, path, page, text).withColumn("reader", reader_of_path("path"))
+    keys = ["path", "file", "reader", "starts"]
+    src = src.withColumn("marks", F.when(F.col("reader") == "leet", passage_blocks("t")).otherwise(F.array().cast("array<string>")))
+    single = src.where(F.size("marks") == 0).withColumn("bs", blocks("t")).withColumn("ss", _starts(F.col("bs"), _after(F.col("t"), F.col("bs"))))
+    single = single.select(*keys, F.when(F.col("reader") == "leet", "").alias("shared"), "bs", "ss")
+    leet = src.where(F.col("reader") == "leet").withColumn("froms", _starts(F.col("marks"), _after(F.col("t"), F.col("marks"))))
+    leet = leet.select(*keys, "froms", F.posexplode("marks").alias("nth", "p")).withColumn("u", F.regexp_replace("p", r"\A\[지문\s*\d+\]\s*", "")).withColumn("bs", blocks("u"))
+    leet = leet.withColumn("ss", _starts(F.col("bs"), F.get("froms", F.col("nth")) + _after(F.col("p"), F.col("bs"))))
+    leet = leet.select(*keys, T.strip(F.regexp_replace("u", r"(?msd)^\d{1,2}\.\s*[^\n].*\z", "")).alias("shared"), "bs", "ss")
+    each = lambda x: x.select(*keys, "shared", F.explode(F.transform("bs", lambda b, i: F.struct(b.alias("b"), F.get("ss", i).alias("start")))).alias("x"))
+    parts = [_numbered(each(x).select(*keys, "shared", "x.b", "x.start")) for x in (single, leet)]
+    return parts[0].unionByName(parts[1]).select("path", "page_no", "at", "reader", "shared", "b")
+
+
 def items_of_pages(pages: DataFrame, path: str = "path", page: str = "page_no", text: str = "text") -> DataFrame:
-    """The items of ``path, page_no, text``, page by page; each reader has its own choices and passages. Null pages have none."""
-    src = pages.where(F.col(text).isNotNull()).select(F.col(path).alias("path"), F.col(page).alias("page_no"), without_noise(text).alias("t")).withColumn("reader", reader_of_path("path")).withColumn("e", exam_of_path("path"))
-    single = src.where("reader <> 'leet'").select("*", F.lit(None).cast("string").alias("shared"), F.posexplode(blocks("t")).alias("at", "b"))
-    leet = src.where("reader = 'leet'").select("path", "page_no", "reader", "e", F.explode(F.when(F.size(passage_blocks("t")) > 0, passage_blocks("t")).otherwise(F.array("t"))).alias("t"))
-    leet = leet.select("*", F.regexp_replace(F.col("t"), r"\A\[지문\s*\d+\]\s*", "").alias("u"))
-    leet = leet.select("path", "page_no", "t", "reader", "e", T.strip(F.regexp_replace("u", r"(?msd)^\d{1,2}\.\s*[^\n].*\z", "")).alias("shared"), F.posexplode(blocks("u")).alias("at", "b"))
-    every = single.unionByName(leet).withColumn("body", _body(F.col("b"))).where(T.not_blank("body"))
+    """The items of ``path, page_no, text``, file by file; each reader has its own choices and passages. Null pages have none; an item counts to the page on which it starts."""
+    every = file_blocks(pages, path, page, text).withColumn("e", exam_of_path("path")).withColumn("body", _body(F.col("b"))).where(T.not_blank("body"))
     q = F.when(F.col("reader") == "teacher", split_question(F.col("body"), TEACHER_MARKERS)).when(F.col("reader") == "leet", F.struct(F.col("shared").alias("passage"), F.col("body").alias("question"))).otherwise(split_question(F.col("body"), CSAT_MARKERS))
     choices = F.when(F.col("reader") == "teacher", choice_list(F.col("b"), 4)).otherwise(choice_list(F.col("b"), 5))
     meta = metadata(exam_type=F.col("e.exam_type"), year=F.col("e.year"), question_number=block_number(F.col("b")), subject=F.when(F.col("reader") == "leet", "언어이해").otherwise("국어"), source_file=F.col("path"))

@@ -326,7 +326,7 @@ def page_items(spark, d):  # C19-C28
 
 @query(None)
 def page_blocks(spark, d):  # C21
-    return table(spark, d, "scan_pages").where("text is not null").select("source_file", "page_no", F.posexplode(pages.blocks("text")).alias("at", "block"))
+    return pages.file_blocks(table(spark, d, "scan_pages"), path="source_file").select(F.col("path").alias("source_file"), "page_no", "at", F.col("b").alias("block"))
 
 
 def _piece(a: str, b: str | None) -> str:

@@ -91,6 +91,24 @@ def test_pages(spark):
     assert (t.choices, t.metadata.exam_type, t.metadata.year) == (["가", "나", "다", "라"], "teacher", 2023)
 
 
+def test_pages_go_on_over_page_breaks(spark):
+    rows = [
+        ("pdf/csat/a.pdf", 2, "②나 ③다\n- 2 -"), ("pdf/csat/a.pdf", 1, "머리\n1. 하나?\n첫 줄\n2. 둘은?\n①가\n- 1 -"), ("pdf/csat/a.pdf", 3, " \n3"), ("pdf/csat/a.pdf", 10, "④라 ⑤마\n3. 셋?\n4."), ("pdf/csat/a.pdf", 11, "넷?"),
+        ("pdf/leet/a.pdf", 1, "앞\n[지문 1]\n글 하나"), ("pdf/leet/a.pdf", 2, "이어진 글\n1. 하나?"), ("pdf/leet/a.pdf", 3, "2. 둘?\n①가 ②나 ③다\n[지문 2]\n글 둘\n3. 셋?"), ("pdf/leet/b.pdf", 1, "앞\n1. 하나?"),
+        (None, 1, "1. 하나?"), (None, 2, "뒤\n2. 둘?"),
+    ]
+    df = spark.createDataFrame(rows, "path string, page_no int, text string")
+    got = {(r.path, r.metadata.question_number): r for r in pages.items_of_pages(df).collect()}
+    a = {n: got["pdf/csat/a.pdf", n] for n in (1, 2, 3, 4)}
+    assert a[2].choices == ["가", "나", "다", "라", "마"] and a[2].question == "둘은?" and a[4].question == "넷?"
+    assert [(a[n].page_no, a[n].at) for n in (1, 2, 3, 4)] == [(1, 0), (1, 1), (10, 0), (10, 1)]
+    assert {k: (r.passage, r.page_no, r.at) for k, r in got.items() if "leet" in (k[0] or "")} == {
+        ("pdf/leet/a.pdf", 1): ("글 하나\n이어진 글", 2, 0), ("pdf/leet/a.pdf", 2): ("글 하나\n이어진 글", 3, 0), ("pdf/leet/a.pdf", 3): ("글 둘", 3, 1), ("pdf/leet/b.pdf", 1): ("", 1, 0),
+    }
+    assert got[None, 1].question == "하나?" and len(got) == 10
+    assert "1. 하나?\n첫 줄\n" in {r.b for r in pages.file_blocks(df).collect()} and pages.items_of_pages(df.limit(0)).count() == 0
+
+
 def test_keep_first_is_stable(spark):
     df = spark.createDataFrame([(i, f" q{i % 3}\n") for i in range(20)], "id int, question string")
     once = quality.keep_first(df, T.strip("question"), "id")
