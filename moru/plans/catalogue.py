@@ -279,11 +279,22 @@ def alias_coalesce(spark, d):  # C9, over the records whose question and passage
     for k in LOCAL["passage"]:
         kind = F.schema_of_variant(F.expr(f"try_variant_get(v, '$[\"{k}\"]', 'variant')"))
         r = r.where(F.coalesce(kind.isin("STRING", "VOID"), F.lit(True)))
-    r = r.withColumn("record", m)
+    return _coalesced(r.withColumn("record", m))
+
+
+def _coalesced(r: DataFrame) -> DataFrame:
     out = r.select("feed", "file_no", "line_no", *[records.first_of("record", k).alias(f) for f, k in LOCAL.items()])
     return out.where(T.not_blank("question")).select("feed", "file_no", "line_no", "question", F.coalesce("passage", F.lit("")).alias("passage"), "explanation", F.coalesce("exam_type", F.lit("local")).alias("exam_type"), F.coalesce("subject", F.lit("국어")).alias("subject"))
 
 
+@query(None)
+def alias_coalesce_all(spark, d):  # C9, over all readable records: arrays and objects count as their JSON, empty ones as no value
+    v = F.try_parse_json("payload")
+    r = table(spark, d, "local_raw").select("feed", "file_no", "line_no", F.when(F.schema_of_variant(v).startswith("OBJECT"), v).alias("v"))
+    full = F.map_filter(F.expr("cast(v as map<string, variant>)"), lambda _, x: ~F.coalesce(F.to_json(x), F.lit("")).isin("[]", "{}"))
+    return _coalesced(r.select("feed", "file_no", "line_no", full.alias("v")).withColumn("record", readers.json_map("v")))
+
+
 @query(None)
 def local_items(spark, d):  # C9, C10 with choices and answers
     r = table(spark, d, "local_raw").withColumn("v", F.try_parse_json("payload")).where(F.schema_of_variant("v").startswith("OBJECT")).withColumn("record", readers.json_map("v"))

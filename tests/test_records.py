@@ -1,11 +1,13 @@
 """Parsers, filters and templates on inline rows."""
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
 from moru.functions import text as T
 from moru.operators import pages, quality, records
-from moru.plans import pipeline
+from moru.plans import catalogue, pipeline
 
 
 def one(df):
@@ -73,6 +75,37 @@ def test_local(spark):
     assert [(r.question, r.passage, r.choices, r.answer, r.metadata.year, r.metadata.exam_type) for r in got] == [("문", "글", ["가"], 2, 2020, "local"), ("내용", "", ["a", "b"], 3, 0, "local")]
 
 
+def test_aliases_of_all_records(spark, tmp_path):
+    rows = [
+        {"question": {"text": "가?"}, "지문": ["글", "둘"]}, {"question": {}, "문제": "나?", "passage": [], "context": {"body": "글"}}, {"question": "", "q": ["다?"], "시험종류": "leet", "해설": {"a": 1}},
+        {"question": "라?", "passage": "[]"}, {"question": None, "passage": "글"}, {"q": []}, ["목록"],
+    ]
+    data = [("f", 1, i, json.dumps(r, ensure_ascii=False)) for i, r in enumerate(rows)] + [("f", 1, 99, "bad {"), ("f", 1, 98, None)]
+    spark.createDataFrame(data, "feed string, file_no int, line_no int, payload string").write.parquet(f"{tmp_path}/local_raw.parquet")
+    got = {r.line_no: tuple(r)[3:] for r in catalogue.alias_coalesce_all(spark, str(tmp_path)).collect()}
+    assert got == {
+        0: ('{"text":"가?"}', '["글","둘"]', None, "local", "국어"), 1: ("나?", '{"body":"글"}', None, "local", "국어"), 2: ('["다?"]', "", '{"a":1}', "leet", "국어"), 3: ("라?", "[]", None, "local", "국어"),
+    }
+
+
+def test_aliases_against_a_plain_loop(spark, sf):
+    def first(r, keys):
+        return next((r[k] for k in keys if r.get(k) is not None and r[k] != "" and r[k] != [] and r[k] != {}), None)
+
+    want = {}
+    for x in spark.read.parquet(f"{sf}/local_raw.parquet").collect():
+        try:
+            r = json.loads(x.payload)
+        except (TypeError, ValueError):
+            continue
+        if isinstance(r, dict) and (q := first(r, catalogue.LOCAL["question"])) is not None and not (isinstance(q, str) and not q.strip()):
+            want[x.feed, x.file_no, x.line_no] = (q, first(r, catalogue.LOCAL["passage"]) or "")
+    rows = catalogue.alias_coalesce_all(spark, sf).collect()
+    plain = lambda v, s: json.loads(s) if isinstance(v, (dict, list)) else s
+    got = {(r.feed, r.file_no, r.line_no): tuple(plain(v, s) for v, s in zip(want[r.feed, r.file_no, r.line_no], (r.question, r.passage))) for r in rows}
+    assert got == want and any(isinstance(x, (dict, list)) for qp in want.values() for x in qp)
+
+
 PAGE = "1. 다음 글을 읽고 물음에 답하시오.\n지문 내용입니다.\n윗글의 내용과 일치하는 것은?\n①첫째 ②둘째 ③셋째 ④넷째 ⑤다섯째\n- 3 -\n2. 홀로?"
 
 
