@@ -14,6 +14,8 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from moru.session import broadcast_if_small, checkpoint
+
 # The keys under which each logical field is known.
 ALIASES = {
     "question": ["question", "문제", "문제 내용", "q", "question_text", "질문", "발문", "물음", "문항"],
@@ -69,6 +71,11 @@ def _looks() -> dict[str, Column]:
     }
 
 
+def _name(key: Column | str) -> Column:
+    """A key as ``FIELD_OF`` has it: without case, spaces, ``_`` and ``-``."""
+    return F.lower(F.regexp_replace(key, r"[\s_\-]+", ""))
+
+
 def file_schemas(df: DataFrame) -> DataFrame:
     """``feed, file_no, key, type, n, n_type, types map<string,long>, field``: the tagged union of each key of each file.
 
@@ -84,8 +91,7 @@ def file_schemas(df: DataFrame) -> DataFrame:
         F.map_from_entries(F.array_sort(F.collect_list(F.struct("type", "n")))).alias("types"),  # at most five alternatives
         *[F.sum(f"like_{k}").alias(f"like_{k}") for k in looks],
     )
-    name = F.lower(F.regexp_replace("key", r"[\s_\-]+", ""))
-    known = F.try_element_at(F.create_map(*[F.lit(x) for kv in FIELD_OF.items() for x in kv]), name)
+    known = F.try_element_at(F.create_map(*[F.lit(x) for kv in FIELD_OF.items() for x in kv]), _name("key"))
     # small integers may be anything; an answer is also written in one of its own ways
     content = F.coalesce(*[F.when((F.col(f"like_{k}") >= LOOKS_LIKE * F.col("n")) & ((F.col("like_marked") > 0) | F.lit(k != "answer")), k) for k in looks if k != "marked"])
     return union.select("feed", "file_no", "key", "type", "n", "n_type", "types", F.coalesce(known, content, F.col("key")).alias("field"))
@@ -138,20 +144,32 @@ def consistent(df: DataFrame) -> DataFrame:
 
     ``feed, file_no, line_no, question, passage, explanation, exam_type, subject string, choices array<string>, answer
     int, year int``, the branches ``answer_text``, ``choices_text`` and ``passage_parts`` for values that the canonical
-    conversion can't hold, ``extra string`` (an object of the other keys) and ``readable``. Unreadable payloads are kept
-    with ``readable`` false and nulls. Of several keys of a field in one record the first in the order of ``ALIASES``
-    with a value counts. One narrow pass, no shuffle.
+    conversion can't hold, ``extra string`` (an object of all keys whose value is in no column) and ``readable``.
+    Unreadable payloads are kept with ``readable`` false and nulls. A key belongs to the field that ``file_schemas`` gives
+    it. Of several keys of a field in one record the first in the order of ``ALIASES`` counts, exact spellings before
+    others and names before contents; the rest stay in ``extra``. One narrow pass beside a join with the keys that are
+    known by their content, which is broadcast if they are few.
     """
     v = F.try_parse_json("payload")
     rec = df.select("feed", "file_no", "line_no", F.when(F.schema_of_variant(v).startswith("OBJECT"), v).alias("record"))
     m = rec.withColumn("m", F.expr("cast(record as map<string, variant>)"))
     m = m.withColumn("m", F.expr("map_filter(m, (k, x) -> x is not null and schema_of_variant(x) <> 'VOID')"))
-    def first(field: str) -> Column:
-        spelled = [k for k in ALIASES[field]] + [k.title() for k in ALIASES[field] if k.isascii()]
-        return F.coalesce(*[F.try_element_at("m", F.lit(k)) for k in spelled])
+    by_content = file_schemas(df).where(F.col("field").isin(*ALIASES) & ~_name("key").isin(*FIELD_OF))
+    by_content = checkpoint(by_content.groupBy("feed", "file_no").agg(F.map_from_entries(F.collect_list(F.struct("key", "field"))).alias("by_content")))  # the keys of one file
+    c = broadcast_if_small(by_content, by_content.count()).alias("c")
+    m = m.alias("m").join(c, F.col("m.feed").eqNullSafe(F.col("c.feed")) & F.col("m.file_no").eqNullSafe(F.col("c.file_no")), "left").select("m.*", "by_content")
+
+    exact = F.create_map(*[F.lit(x) for keys in ALIASES.values() for at, k in enumerate(keys) for x in (k, at)])
+    spelled = F.create_map(*[F.lit(x) for keys in ALIASES.values() for at, k in enumerate(keys) for x in (k.replace(" ", "").replace("_", "").lower(), 100 + at)])
+    field_of = F.create_map(*[F.lit(x) for kv in FIELD_OF.items() for x in kv])
+
+    def place(k: Column) -> Column:
+        field = F.coalesce(F.try_element_at(field_of, _name(k)), F.try_element_at("by_content", k))
+        return F.struct(field.alias("field"), F.coalesce(F.try_element_at(exact, k), F.try_element_at(spelled, _name(k)), F.lit(1000)).alias("rank"), k.alias("key"))
 
-    cols = {f"v_{f}": first(f) for f in ALIASES}
-    m = m.withColumns(cols)
+    m = m.withColumn("ks", F.transform(F.map_keys("m"), place))
+    m = m.withColumns({f"k_{f}": F.array_min(F.expr(f"filter(ks, x -> x.field = '{f}')"))["key"] for f in ALIASES})
+    m = m.withColumns({f"v_{f}": F.try_element_at("m", F.col(f"k_{f}")) for f in ALIASES})
 
     def get(c: str, path: str, kind: str) -> Column:
         return F.expr(f"try_variant_get({c}, '{path}', '{kind}')")
@@ -166,9 +184,8 @@ def consistent(df: DataFrame) -> DataFrame:
 
     number = F.expr(r"regexp_extract(coalesce(try_variant_get(v_answer, '$[0]', 'string'), try_variant_get(v_answer, '$', 'string')), '^\\s*\\[?\\s*(\\d+)\\s*번?\\s*\\]?\\s*$', 1)")
     year = F.expr(r"regexp_extract(try_variant_get(v_year, '$', 'string'), '^\\s*(\\d{4})\\s*년?\\s*$', 1)")
-    known = "array(" + ", ".join(f"'{k}'" for k in FIELD_OF if k not in OWN) + ")"
-    return m.select(
-        "feed", "file_no", "line_no",
+    out = m.select(
+        "feed", "file_no", "line_no", "m", "record", *[f"k_{f}" for f in ALIASES],
         *[text(f"v_{f}").alias(f) for f in ("question", "passage", "explanation", "exam_type", "subject")],
         F.when(F.schema_of_variant("v_choices").startswith("OBJECT"), F.expr("map_values(try_variant_get(v_choices, '$', 'map<string,string>'))"))
         .when(F.schema_of_variant("v_choices") == "STRING", F.expr(r"filter(split(try_variant_get(v_choices, '$', 'string'), '\\s*[\\n|;]\\s*|\\s*[①-⑳]\\s*'), x -> x <> '')"))
@@ -178,6 +195,8 @@ def consistent(df: DataFrame) -> DataFrame:
         F.when(number.try_cast("int").isNull(), text("v_answer")).alias("answer_text"),
         F.when(F.schema_of_variant("v_choices") == "STRING", get("v_choices", "$", "string")).alias("choices_text"),
         get("v_passage", "$", "array<string>").alias("passage_parts"),
-        F.expr(f"to_json(map_filter(m, (k, x) -> not array_contains({known}, lower(regexp_replace(k, '[\\\\s_-]+', '')))))").alias("extra"),
-        F.col("record").isNotNull().alias("readable"),
     )
+    held = {f: F.col(f).isNotNull() for f in ALIASES} | {"answer": F.col("answer").isNotNull() | F.col("answer_text").isNotNull(), "choices": F.col("choices").isNotNull() | F.col("choices_text").isNotNull()}
+    used = F.array(*[F.when(held[f], F.col(f"k_{f}")) for f in ALIASES])
+    extra = F.to_json(F.map_filter("m", lambda k, _: ~F.exists(used, lambda u: u.eqNullSafe(k))))
+    return out.withColumns({"extra": extra, "readable": F.col("record").isNotNull()}).drop("m", "record", *[f"k_{f}" for f in ALIASES])

@@ -2,6 +2,8 @@
 
 import json
 
+from pyspark.sql import functions as F
+
 from moru.operators import schema_drift as D
 
 SCHEMA = "feed string, file_no int, line_no int, payload string, file_no2 int"
@@ -43,6 +45,22 @@ def test_consistent_table(spark):
     assert D.consistent(df.limit(0)).count() == D.changes(df.limit(0)).count() == 0
 
 
+def test_consistent_table_loses_no_key(spark):
+    text = "강물은 흐른다. 바람은 분다. 그래서 들판은 늘 푸르게 보인다."
+    df = feed(
+        spark,
+        [{"QUESTION": "가?", "exam-type": "leet", "Question Text": "둘째?", "년 도": "2019/2020", "선지": 3}, {"question": "나?", "문제": "다?", "정답": None, "ANSWER": "[3]", "answer no": {"a": 1}}],
+        [{"읽을거리": text, "치른해": 2021, "모름": 1}, {"읽을거리": text, "passage": "본디 글", "치른해": "2022년"}],
+        extra=[(None, 1, 7, json.dumps({"question": "라?", "읽을거리": text}), 0)],
+    )
+    a, b, c, d, e = D.consistent(df).orderBy(F.col("feed").isNull(), "file_no", "line_no").collect()
+    assert (a.question, a.exam_type, a.year, a.choices, json.loads(a.extra)) == ("가?", "leet", None, None, {"Question Text": "둘째?", "년 도": "2019/2020", "선지": 3})
+    assert (b.question, b.answer, json.loads(b.extra)) == ("나?", 3, {"문제": "다?", "answer no": {"a": 1}})
+    assert (c.passage, c.year, json.loads(c.extra)) == (text, 2021, {"모름": 1})
+    assert (d.passage, d.year, json.loads(d.extra)) == ("본디 글", 2022, {"읽을거리": text})
+    assert (e.question, e.passage, e.extra) == ("라?", text, "{}")
+
+
 def test_alternatives(spark):
     df = feed(spark, [{"a": 1}], [{"a": 1}, {"a": "x"}], [{"a": True}, {"a": "y"}])
     assert {(r.file_no, r.key, r.type, r.n) for r in D.alternatives(df).collect()} == {(1, "a", "number", 1), (2, "a", "string", 1), (3, "a", "boolean", 1)}
