@@ -21,9 +21,9 @@ from pyspark.sql import functions as F
 
 from moru.session import broadcast_if_small, checkpoint
 
-#: Words of the lexicon: those read at least LEAST times and in SHARE of all words, at most WORDS of them. It is broadcast;
-#: rarer words are judged by their letters.
-LEAST, SHARE, WORDS = 5, 2e-7, 100_000
+#: Words of the lexicon: all those read at least LEAST times and in SHARE of all words, so 1 / SHARE of them at the very most.
+#: It is broadcast; all other words are judged by their letters.
+LEAST, SHARE = 5, 2e-7
 #: A letter seen less often than this share of all letters is foreign to the corpus, given EVIDENCE letters in all.
 FOREIGN, EVIDENCE = 3e-7, 20_000
 
@@ -336,9 +336,8 @@ def model_of(items: DataFrame) -> Model:
     words = checkpoint(words)
     total = words.agg(F.sum("n")).head()[0] or 0
     least = max(LEAST, SHARE * total)
-    lexicon = words.where(F.col("n") >= least).orderBy(F.desc("n"), "w").limit(WORDS).collect()
-    rare = words.where(F.col("n") < least).select("w").where(F.length("w") <= 40)
-    letters = rare.mapInArrow(_word_pieces, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "piece").limit(WORDS).collect()
+    lexicon = sorted(words.where(F.col("n") >= least).collect(), key=lambda r: (-r.n, r.w))
+    letters = words.where(F.col("n") < least).select("w").mapInArrow(_word_pieces, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n")).collect()
     return Model({r.w: r.n for r in lexicon}, total, {r.piece: r.n for r in letters})
 
 

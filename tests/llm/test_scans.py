@@ -40,3 +40,11 @@ def test_repair(tables):
     whole = "바람은 강물과 함께 들판의 깊이를 바꾼다."
     assert {got[i] for i in (1000, 1001, 1002, 1004, 1006)} == {whole}
     assert got[1007] == whole[:-5] and got[1009] == "the river follows the market" and 1010 not in got and got[1011] == ""
+
+
+def test_every_word_counts(spark):
+    words = [f"w{i}" for i in range(100_010)]
+    rows = [(i, " ".join(words), None, ("x.jsonl",)) for i in range(5)] + [(9, "쀓" * 50 + " 드문말", None, ("x.jsonl",))]
+    model = S.model_of(spark.createDataFrame(rows, "item_id long, passage string, question string, metadata struct<source_file:string>"))
+    assert len(model.words) == 100_010 and model.total == 5 * 100_010 + 2
+    assert model.letters["쀓"] == 50 and model.letters["드"] == 1
