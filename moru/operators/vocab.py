@@ -154,6 +154,26 @@ def decode(df: DataFrame, vocab: DataFrame, id_col: str, ids: str = "ids") -> Da
     return df.select(id_col).join(got, id_col, "left").select(id_col, F.coalesce(F.ltrim(text), F.lit("")).alias("text"))
 
 
+def _ranges(codes: set[int]) -> str:
+    """The inside of a regular expression class of ``codes``."""
+    starts, ends = sorted(c for c in codes if c - 1 not in codes), sorted(c for c in codes if c + 1 not in codes)
+    return "".join(rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b in zip(starts, ends))
+
+
+def decoded_form(c: Column | str, vocab: DataFrame) -> Column:
+    """What decoding an encoded text gives, said without ids: its words with a space between, and ``<unk>`` with a space before it for each sign
+    that ``vocab`` lacks in a word that it lacks. The signs besides syllables and ASCII and the words with a sign that is none come to the driver."""
+    tokens = vocab.select("token").where(F.col("id") > EOS)
+    sign = rf"^<c:{WORD_START}?.>$"
+    known = [F.regexp_extract("token", rf"^<c:({WORD_START}?.)>$", 1).alias("s")]
+    found = {r.s for r in tokens.where(F.col("token").rlike(sign)).select(*known).collect()}
+    inner, first = (_ranges({ord(s[-1]) for s in found if (len(s) == 2) == at}) for at in (False, True))
+    odd = rf"^[^{first}]|(?<=.)[^{inner}]"
+    whole = [r.w for r in tokens.select(F.substring("token", 2, 1 << 20).alias("w")).where(F.col("token").startswith(WORD_START) & F.col("w").rlike(f"(?s){odd}")).collect()]
+    form = lambda w: F.when(w.isin(whole), F.concat(F.lit(" "), w)).otherwise(F.regexp_replace(F.concat(F.when(w.rlike(rf"^[^{first}]"), "").otherwise(" "), F.regexp_replace(w, f"(?s){odd}", " <unk>")), r"\A +", " "))
+    return F.ltrim(F.array_join(F.transform(words(c), form), ""))
+
+
 def unknown_audit(encoded: DataFrame, ids: str = "ids") -> DataFrame:
     """One row ``tokens, unknown, ratio, band``; zeros for an empty table."""
     n = encoded.agg(F.coalesce(F.sum(F.size(ids)), F.lit(0)).alias("tokens"), F.coalesce(F.sum(F.size(F.filter(ids, lambda i: i == UNK))), F.lit(0)).alias("unknown"))

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from moru.functions import text as T
-from moru.operators import pages, quality, records
+from moru.operators import pages, quality, records, vocab
 from moru.plans import catalogue, pipeline
 
 
@@ -142,6 +142,15 @@ def test_pages_go_on_over_page_breaks(spark):
     assert "1. 하나?\n첫 줄\n" in {r.b for r in pages.file_blocks(df).collect()} and pages.items_of_pages(df.limit(0)).count() == 0
 
 
+def test_decoding_takes_every_text(spark):
+    texts = ["가나 다라", "é가é나 ☃", "Aé☂☂b x", "가나☄ 가나☄ ☄가", " \n", ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    v = vocab.train(df.where("doc_id < 3"), 4 + 2 * (11172 + 94) + 2 * 1, chars=1)
+    rows = {r.doc_id: r for r in catalogue.round_trip(df, v).collect()}
+    assert len(rows) == len(texts) and all(r.want == r.back for r in rows.values())
+    assert rows[0].back == "가나 다라" and "<unk>" in rows[2].back and "<unk>" in rows[3].back and rows[5].back == ""
+
+
 def test_keep_first_is_stable(spark):
     df = spark.createDataFrame([(i, f" q{i % 3}\n") for i in range(20)], "id int, question string")
     once = quality.keep_first(df, T.strip("question"), "id")
