@@ -283,10 +283,10 @@ def passage_pairs(texts: DataFrame, least: float) -> DataFrame:
     shared = checkpoint(_sharing(texts.mapInArrow(_segments, "seg long, pid long"), SHARED))
     hot = shared.where("p1 = p2").select(F.col("p1").alias("pid"))
     pairs = shared.where("p1 < p2")
-    if not hot.isEmpty():  # segments of very many texts: texts that also share a band of the whole
-        again = texts.join(hot, "pid", "left_semi").mapInArrow(_bands, "seg long, pid long")
-        refined = _sharing(again, 1 << 40).where("p1 < p2")
-        pairs = checkpoint(pairs.unionByName(refined).distinct())
+    long = texts.where(F.length("text") > 100)  # edits all over a long text leave no common segment
+    again = long.unionByName(texts.join(hot, "pid", "left_semi")).dropDuplicates(["pid"]).mapInArrow(_bands, "seg long, pid long")
+    refined = _sharing(again, 1 << 40).where("p1 < p2")
+    pairs = checkpoint(pairs.unionByName(refined).distinct())
     ids = checkpoint(pairs.select(F.explode(F.array("p1", "p2")).alias("pid")).distinct())
     n = ids.count()
     need = texts.join(broadcast_if_small(ids, n), "pid", "left_semi").groupBy("pid").agg(F.first("text").alias("text"))

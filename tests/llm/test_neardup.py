@@ -72,3 +72,13 @@ def test_ring_prunes_nothing_within_the_budget():
         far = len(np.setxor1d(a, b))
         x, y = N.ring_words(N.mixed(a))[None], N.ring_words(N.mixed(b))[None]
         assert N.on_ring(x, y, np.array([far]))[0]
+
+
+def test_edits_all_over_a_long_text(spark):
+    import random
+
+    draw = random.Random(5)
+    a = "".join(draw.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(900))
+    b = "".join("Q" if i % 30 == 15 else c for i, c in enumerate(a))
+    texts = spark.createDataFrame([(1, a), (2, b), (3, a[::-1])], "pid long, text string")
+    assert [tuple(r) for r in N.passage_pairs(texts, 0.7).collect()] == [(1, 2)]
