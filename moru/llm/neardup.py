@@ -1,11 +1,12 @@
 """Near-duplicate items by pigeonring filtering (problem 3).
 
 A text counts as the set of its runs of three letters or digits; two texts of a and b runs with a similarity of t differ
-in at most ``(1-t)/(1+t)·(a+b)`` of them. Candidates must share an unbroken segment: segments are chosen by winnowing, so
-that every common stretch of ``k+w-1`` letters yields a shared one wherever it moved to. A candidate is then laid on a
-ring of ``RING`` segments of the run space: if the whole difference is within its budget, some segment starts a chain
-whose cumulative differences stay within the proportional budget at every length. Pairs without such a chain are
-pruned; the full Hamming distance of the sets decides over the rest.
+in at most ``(1-t)/(1+t)·(a+b)`` of them. A third of all runs may differ, so the boxes of the plain pigeonhole over the run space
+hold one to three runs each, and nearly any two texts agree in some box. The ring is therefore indexed over sketches: the
+minima of many permutations of the run space stand on it in consecutive segments, and two texts of which one segment
+agrees are candidates. A candidate is then laid on the ring of ``RING`` segments of the run space itself: if the whole
+difference is within its budget, some segment starts a chain whose cumulative differences stay within the proportional
+budget at every length. Pairs without such a chain are pruned; the full Hamming distance of the sets decides over the rest.
 """
 
 from __future__ import annotations
@@ -19,16 +20,12 @@ from pyspark.sql import functions as F
 
 from moru.session import broadcast_if_small, checkpoint
 
-#: Families of segments as (most letters of a text, script, letters k, window w); 0 is no limit. Short texts leave shorter
-#: unbroken stretches, and a letter of an alphabet says less than a syllable or an ideograph. A text whose script isn't
-#: clear has the families of both. A pair's texts differ in length by a factor of at most 1/t, so they share families.
-FAMILIES = ((34, "", 3, 1), (100, "", 8, 4), (0, "syllables", 18, 6), (0, "alphabet", 32, 6))
-#: Share of a text's letters below U+0600, where the alphabets are, from and up to which its script isn't clear.
-UNCLEAR = (0.3, 0.7)
-#: Texts that may share a segment before it is refined by the bands of the whole text.
+#: Segments of a sketch and minima of a segment. Two texts of similarity t agree in no segment with a probability of
+#: ``(1 - t**ROWS) ** SEGMENTS``: 2e-3 at 0.7, 3e-5 at 0.75, 4e-8 at 0.8, wherever they differ and in whatever order.
+SEGMENTS, ROWS = 72, 7
+#: Texts that may agree in a segment before they are told apart by the longer segments of a second sketch (6e-3 at 0.7).
 SHARED = 200
-#: The bands of refined segments: at a similarity of 0.7 a pair shares none of them with a probability of 7e-8.
-BANDS, ROWS = 60, 4
+FINE_SEGMENTS, FINE_ROWS = 180, 10
 RING = 16
 #: Signs whose arrays are in memory at once.
 LETTERS = 3_000_000
@@ -75,136 +72,140 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _family(c: np.ndarray, row: np.ndarray, k: int, w: int, salt: int) -> tuple[np.ndarray, np.ndarray]:
-    """Winnowed windows of ``k`` signs: of ``w`` neighbouring ones in a row the one with the lowest hash."""
-    n = len(c) - k + 1
-    if n < 1:
-        return np.empty(0, np.int64), np.empty(0, np.uint64)
-    h = np.full(n, salt, np.uint64)
-    base = np.uint64(0x100000001B3)
-    for j in range(k):
-        h *= base
-        h += c[j : j + n]
-    h = mixed(h)
-    within = row[:n] == row[k - 1 :]
-    h[~within] = np.iinfo(np.uint64).max
-    pick = np.zeros(n, bool)
-    if w > 1 and n >= w:  # k-1 >= w-1 places between two rows don't count: no neighbourhood holds windows of both
-        low, at = h[: n - w + 1].copy(), np.arange(n - w + 1)
-        for j in range(1, w):
-            other = h[j : n - w + 1 + j]
-            less = other < low
-            low[less] = other[less]
-            at[less] = np.flatnonzero(less) + j
-        pick[at] = True
-    else:
-        pick[:] = True
-    pick &= within
-    return row[:n][pick], h[pick]
-
-
-def segments(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """``(row, segment)`` of the winnowed segments of all ``texts``, over one array for the whole batch."""
-    joined = np.frombuffer("\0".join([*texts, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
-    row = np.cumsum(joined == 0, dtype=np.int64)
-    keep = _alnum()[joined]
-    c, row = joined[keep].astype(np.uint64), row[keep]
-    size = np.bincount(row, minlength=len(texts))
-    rows, found = [], []
-    alphabet = np.bincount(row, c < 0x600, minlength=len(texts)) / np.maximum(size, 1)
-    of = {"": None, "syllables": alphabet <= UNCLEAR[1], "alphabet": alphabet >= UNCLEAR[0]}
-    for f, (most, script, k, w) in enumerate(FAMILIES):
-        some = size[row] <= most if most else of[script][row]
-        r, h = _family(c[some], row[some], k, w, (f + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
-        rows.append(r)
-        found.append(h)
-    return np.concatenate(rows), np.concatenate(found)
-
-
-def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        pid, texts = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_pylist()
-        pid, first = np.unique(pid, return_index=True)  # equal passages of a batch count once
-        texts = [texts[i].replace("\0", " ") for i in first]
-        for a, b in spans(texts):
-            row, seg = segments(texts[a:b])
-            yield pa.RecordBatch.from_arrays([pa.array(seg.view(np.int64)), pa.array(pid[a:b][row])], ["seg", "pid"])
+def sketch(g: np.ndarray, segments: int, rows: int) -> np.ndarray:
+    """The segments of a text's sketch: each the hash of the minima of ``rows`` permutations of its runs ``g`` (mixed)."""
+    salt = mixed(np.arange(1, segments * rows + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(rows))
+    odd = (salt >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+    low = np.full(segments * rows, 0xFFFFFFFF, np.uint32)
+    x = (g >> np.uint64(32)).astype(np.uint32)
+    for i in range(0, len(x), 4096):
+        np.minimum(low, (x[i : i + 4096, None] * odd[None, :]).min(axis=0), out=low)
+    low = low.reshape(segments, rows).astype(np.uint64)
+    key = np.arange(segments, dtype=np.uint64) + np.uint64(rows) * np.uint64(0x100000001B3)
+    for j in range(rows):
+        key = mixed(key + low[:, j])
+    return key
 
 
-def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    salt = mixed(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    for batch in batches:
-        pids, segs = [], []
-        for pid, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            g = runs(text)
-            if not len(g):
-                continue
-            low = mixed(g[:, None] ^ salt[None, :]).min(axis=0).reshape(BANDS, ROWS)
-            key = np.arange(BANDS, dtype=np.uint64)
-            for j in range(ROWS):
-                key = mixed(key + low[:, j])
-            segs.append(key)
-            pids.append(np.full(BANDS, pid, np.int64))
-        seg = np.concatenate(segs) if segs else np.empty(0, np.uint64)
-        yield pa.RecordBatch.from_arrays([pa.array(seg.view(np.int64)), pa.array(np.concatenate(pids) if pids else np.empty(0, np.int64))], ["seg", "pid"])
+def _sketches(segments: int, rows: int):
+    """``seg, pid`` for each segment of the sketch of each text; texts without a run have none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pid, texts = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1)
+            pid, first = np.unique(pid, return_index=True)  # equal passages of a batch count once
+            for a in range(0, len(pid), 2000):
+                keys, ids = [], []
+                for p, t in zip(pid[a : a + 2000], texts.take(pa.array(first[a : a + 2000])).to_pylist()):
+                    g = runs(t)
+                    if len(g):
+                        keys.append(sketch(mixed(g), segments, rows))
+                        ids.append(p)
+                seg = np.concatenate(keys).view(np.int64) if keys else np.empty(0, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(seg), pa.array(np.repeat(np.array(ids, np.int64), segments))], ["seg", "pid"])
+
+    return run
+
+
+_PAIRS = ["seg", "p1", "p2"]
+
+
+def _batch(seg: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in (seg, a, b)], _PAIRS)
 
 
 def _pairs(most: int):
-    """Pairs of the texts of each segment, from rows sorted by segment and text. Of a segment with more than ``most`` texts each comes out alone."""
+    """``0, p1, p2`` for the pairs of the texts of each segment, from rows sorted by segment and text. Of a segment with
+    more than ``most`` texts come out ``seg, pid, pid`` for each instead."""
+
+    def emit(seg: np.ndarray, pid: np.ndarray) -> Iterator[pa.RecordBatch]:
+        start = np.flatnonzero(np.r_[True, seg[1:] != seg[:-1]]) if len(seg) else np.empty(0, np.int64)
+        size = np.diff(np.r_[start, len(seg)])
+        big = np.repeat(size > most, size)
+        if big.any():
+            yield _batch(seg[big], pid[big], pid[big])
+        seg, pid = seg[~big], pid[~big]
+        a, b, n = [], [], 0
+        for d in range(1, len(seg)):  # each with the d-th after it, while any segment is that long
+            same = seg[d:] == seg[:-d]
+            if not same.any():
+                break
+            a.append(pid[:-d][same])
+            b.append(pid[d:][same])
+            n += len(a[-1])
+            if n > 500_000:
+                yield _batch(np.zeros(n, np.int64), np.concatenate(a), np.concatenate(b))
+                a, b, n = [], [], 0
+        if n:
+            yield _batch(np.zeros(n, np.int64), np.concatenate(a), np.concatenate(b))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seg, pid = np.empty(0, np.int64), np.empty(0, np.int64)
-
-        def emit(seg: np.ndarray, pid: np.ndarray) -> Iterator[pa.RecordBatch]:
-            fresh = np.ones(len(seg), bool)
-            fresh[1:] = (seg[1:] != seg[:-1]) | (pid[1:] != pid[:-1])
-            seg, pid = seg[fresh], pid[fresh]
-            start = np.flatnonzero(np.r_[True, seg[1:] != seg[:-1]]) if len(seg) else np.empty(0, np.int64)
-            size = np.diff(np.r_[start, len(seg)])
-            big = np.repeat(size > most, size)
-            a, b, n = [pid[big]], [pid[big]], 0
-            seg, pid = seg[~big], pid[~big]
-            for d in range(1, len(seg)):  # each with the d-th after it, while any segment is that long
-                same = seg[d:] == seg[:-d]
-                if not same.any():
-                    break
-                a.append(pid[:-d][same])
-                b.append(pid[d:][same])
-                n += len(a[-1])
-                if n > 500_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["p1", "p2"])
-                    a, b, n = [], [], 0
-            if a:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["p1", "p2"])
-
         held = False  # the start of a segment with too many texts has been given out already
         for batch in batches:
             seg = np.r_[seg, batch.column(0).to_numpy(zero_copy_only=False)]
             pid = np.r_[pid, batch.column(1).to_numpy(zero_copy_only=False)]
+            fresh = np.r_[True, (seg[1:] != seg[:-1]) | (pid[1:] != pid[:-1])] if len(seg) else np.empty(0, bool)
+            seg, pid = seg[fresh], pid[fresh]
             cut = int(np.searchsorted(seg, seg[-1])) if len(seg) else 0
             if cut:
                 if held:
-                    more = np.searchsorted(seg, seg[0], "right")
-                    yield pa.RecordBatch.from_arrays([pa.array(pid[:more]), pa.array(pid[:more])], ["p1", "p2"])
+                    more = int(np.searchsorted(seg, seg[0], "right"))
+                    yield _batch(seg[:more], pid[:more], pid[:more])
                     seg, pid, cut, held = seg[more:], pid[more:], cut - more, False
                 if cut > 0:
                     yield from emit(seg[:cut], pid[:cut])
                     seg, pid = seg[cut:], pid[cut:]
             if len(seg) > 50 * most:
-                yield pa.RecordBatch.from_arrays([pa.array(pid[:-1]), pa.array(pid[:-1])], ["p1", "p2"])
+                yield _batch(seg[:-1], pid[:-1], pid[:-1])
                 seg, pid, held = seg[-1:], pid[-1:], True
         if len(seg):
             if held:
-                yield pa.RecordBatch.from_arrays([pa.array(pid), pa.array(pid)], ["p1", "p2"])
+                yield _batch(seg, pid, pid)
             else:
                 yield from emit(seg, pid)
 
     return run
 
 
-def _sharing(rows: DataFrame, most: int) -> DataFrame:
+def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows ``seg, pid, i, j, part`` sorted by ``seg, i, j``, of which each group has two parts of bounded size: the pairs between
+    the parts, or within the one part where ``i = j``."""
+    rest = pa.table({k: pa.array([], t) for k, t in (("seg", pa.int64()), ("pid", pa.int64()), ("i", pa.int32()), ("j", pa.int32()), ("part", pa.int32()))})
+
+    def emit(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        seg, pid, i, j, part = (t.column(k).to_numpy() for k in ("seg", "pid", "i", "j", "part"))
+        edge = np.flatnonzero(np.r_[True, (seg[1:] != seg[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]), True]) if len(seg) else []
+        for a, b in zip(edge, edge[1:]):
+            x = np.unique(pid[a:b][part[a:b] == i[a]])
+            y = np.unique(pid[a:b][part[a:b] == j[a]])
+            for p in x:
+                z = y[y > p] if i[a] == j[a] else y
+                yield _batch(np.zeros(len(z), np.int64), np.minimum(p, z), np.maximum(p, z))
+
+    for batch in batches:
+        t = pa.concat_tables([rest, pa.Table.from_batches([batch]).cast(rest.schema)])
+        seg, i, j = (t.column(k).to_numpy() for k in ("seg", "i", "j"))
+        last = np.flatnonzero((seg != seg[-1]) | (i != i[-1]) | (j != j[-1])) if len(seg) else []
+        cut = int(last[-1]) + 1 if len(last) else 0
+        yield from emit(t.slice(0, cut))
+        rest = t.slice(cut)
+    yield from emit(rest)
+
+
+def _sharing(rows: DataFrame) -> DataFrame:
     ordered = rows.repartition("seg").sortWithinPartitions("seg", "pid")
-    return ordered.mapInArrow(_pairs(most), "p1 long, p2 long").distinct()
+    return checkpoint(ordered.mapInArrow(_pairs(SHARED), "seg long, p1 long, p2 long").distinct())
+
+
+def _in_parts(hot: DataFrame) -> DataFrame:
+    """The pairs of the texts of segments ``seg, pid`` that even the finer sketch leaves large, part by part: a group goes
+    to as many tasks as it has pairs of parts, each with at most two parts of about ``SHARED * 10`` texts."""
+    n = hot.groupBy("seg").agg(F.count("*").alias("n")).withColumn("parts", F.ceil(F.col("n") / (SHARED * 10)).cast("int"))
+    rows = hot.join(n, "seg").withColumn("part", F.pmod(F.xxhash64("pid"), "parts").cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    rows = rows.select("seg", "pid", F.least("part", "other").cast("int").alias("i"), F.greatest("part", "other").cast("int").alias("j"), "part")
+    return rows.repartition("seg", "i", "j").sortWithinPartitions("seg", "i", "j").mapInArrow(_across, "seg long, p1 long, p2 long").select("p1", "p2")
 
 
 def ring_words(g: np.ndarray) -> np.ndarray:
@@ -229,6 +230,11 @@ def on_ring(a: np.ndarray, b: np.ndarray, budget: np.ndarray) -> np.ndarray:
     return alive.any(axis=1)
 
 
+def budget(n1: np.ndarray, n2: np.ndarray, least: float) -> np.ndarray:
+    """In how many runs two sets of ``n1`` and ``n2`` may differ at a similarity of ``least``."""
+    return np.floor((1 - least) / (1 + least) * (n1 + n2) + 1e-9).astype(np.int64)
+
+
 def alike(a: list[str], b: list[str], least: float) -> np.ndarray:
     """Which pairs of texts have a similarity of at least ``least``."""
     memory: dict[str, tuple[np.ndarray, np.ndarray]] = {}
@@ -243,9 +249,8 @@ def alike(a: list[str], b: list[str], least: float) -> np.ndarray:
         return np.empty(0, bool)
     x, y = [of(t) for t in a], [of(t) for t in b]
     n1, n2 = np.array([len(g) for g, _ in x]), np.array([len(g) for g, _ in y])
-    budget = np.floor((1 - least) / (1 + least) * (n1 + n2) + 1e-9).astype(np.int64)
     ok = (np.minimum(n1, n2) >= least * np.maximum(n1, n2) - 1e-9) & (n1 > 0) & (n2 > 0)
-    ok &= on_ring(np.array([w for _, w in x]), np.array([w for _, w in y]), budget)
+    ok &= on_ring(np.array([w for _, w in x]), np.array([w for _, w in y]), budget(n1, n2, least))
     for i in np.flatnonzero(ok):
         shared = len(np.intersect1d(x[i][0], y[i][0], assume_unique=True))
         ok[i] = shared >= least * (n1[i] + n2[i] - shared) - 1e-9
@@ -278,20 +283,65 @@ def _rare_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(pid, pa.int64()), pa.array(qid, pa.int64()), pa.array(run, pa.int64())], ["pid", "qid", "run"])
 
 
-def passage_pairs(texts: DataFrame, least: float) -> DataFrame:
-    """``p1 < p2``: the pairs of different texts of ``texts`` (``pid, text``) with a similarity of at least ``least``."""
-    shared = checkpoint(_sharing(texts.mapInArrow(_segments, "seg long, pid long"), SHARED))
-    hot = shared.where("p1 = p2").select(F.col("p1").alias("pid"))
-    pairs = shared.where("p1 < p2")
-    long = texts.where(F.length("text") > 100)  # edits all over a long text leave no common segment
-    again = long.unionByName(texts.join(hot, "pid", "left_semi")).dropDuplicates(["pid"]).mapInArrow(_bands, "seg long, pid long")
-    refined = _sharing(again, 1 << 40).where("p1 < p2")
-    pairs = checkpoint(pairs.unionByName(refined).distinct())
+def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``pid, n, words``: how many runs each text has and its bitmaps on the ring."""
+    for batch in batches:
+        pid, n, words = [], [], []
+        for p, t in zip(*(c.to_pylist() for c in batch.columns)):
+            g = runs(t)
+            pid.append(p)
+            n.append(len(g))
+            words.append(ring_words(g).tobytes())
+        yield pa.RecordBatch.from_arrays([pa.array(pid, pa.int64()), pa.array(n, pa.int32()), pa.array(words, pa.binary())], ["pid", "n", "words"])
+
+
+def _on_ring(least: float):
+    """Rows ``p1, p2, n1, n2, w1, w2``: the pairs with a chain within the budgets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n1, n2 = (batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (2, 3))
+            w1, w2 = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint64).reshape(-1, RING) for k in (4, 5))
+            ok = (np.minimum(n1, n2) >= least * np.maximum(n1, n2) - 1e-9) & on_ring(w1, w2, budget(n1, n2, least))
+            yield pa.RecordBatch.from_arrays(batch.columns[:2], ["p1", "p2"]).filter(pa.array(ok))
+
+    return run
+
+
+def candidates(texts: DataFrame) -> DataFrame:
+    """``p1 < p2``: the pairs of texts of ``texts`` (``pid, text``) whose sketches agree in a segment.
+
+    A segment in which more than ``SHARED`` texts agree gives no pairs; its texts are compared by the finer sketch
+    instead, and what agrees there is paired in parts of bounded size, so no task holds a group and no pair is left out.
+    """
+    shared = _sharing(texts.mapInArrow(_sketches(SEGMENTS, ROWS), "seg long, pid long"))
+    pairs, hot = shared.where("p1 < p2").select("p1", "p2"), shared.where("p1 = p2").select(F.col("p1").alias("pid")).distinct()
+    if hot.isEmpty():
+        return pairs
+    fine = texts.join(hot, "pid", "left_semi").mapInArrow(_sketches(FINE_SEGMENTS, FINE_ROWS), "seg long, pid long")
+    refined = _sharing(fine)
+    large = _in_parts(refined.where("p1 = p2").select("seg", F.col("p1").alias("pid")))
+    return checkpoint(pairs.unionByName(refined.where("p1 < p2").select("p1", "p2")).unionByName(large).distinct())
+
+
+def _of(texts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The rows of ``texts`` whose texts are in ``pairs``."""
     ids = checkpoint(pairs.select(F.explode(F.array("p1", "p2")).alias("pid")).distinct())
-    n = ids.count()
-    need = texts.join(broadcast_if_small(ids, n), "pid", "left_semi").groupBy("pid").agg(F.first("text").alias("text"))
-    need = checkpoint(need)
-    both = pairs.join(need.toDF("p1", "t1"), "p1").join(need.toDF("p2", "t2"), "p2").select("p1", "p2", "t1", "t2")
+    return texts.join(broadcast_if_small(ids, ids.count()), "pid", "left_semi")
+
+
+def passage_pairs(texts: DataFrame, least: float) -> DataFrame:
+    """``p1 < p2``: the pairs of different texts of ``texts`` (``pid, text``) with a similarity of at least ``least``.
+
+    The bitmaps of the ring, of a fixed size, go to the candidates; whole texts go only to the pairs with a chain.
+    """
+    pairs = candidates(texts)
+    words = _of(texts, pairs).mapInArrow(_words, "pid long, n int, words binary").groupBy("pid").agg(F.first("n").alias("n"), F.first("words").alias("words"))
+    words = checkpoint(words)
+    laid = pairs.join(words.toDF("p1", "n1", "w1"), "p1").join(words.toDF("p2", "n2", "w2"), "p2").select("p1", "p2", "n1", "n2", "w1", "w2")
+    chained = checkpoint(laid.mapInArrow(_on_ring(least), "p1 long, p2 long"))
+    need = checkpoint(_of(texts, chained).groupBy("pid").agg(F.first("text").alias("text")))
+    both = chained.join(need.toDF("p1", "t1"), "p1").join(need.toDF("p2", "t2"), "p2").select("p1", "p2", "t1", "t2")
     return both.mapInArrow(_alike(2, least), "p1 long, p2 long")
 
 

@@ -64,8 +64,24 @@ for _from, _to in lookalike.LIGATURES.items():
 _READS = f"nfc_normalize(translate({_FOLDED}, '{''.join(_ALIKE)}', '{''.join(_ALIKE.values())}'))"
 _READS = f"translate({_READS}, '{''.join(map(chr, lookalike.JAMO))}', '{''.join(lookalike.JAMO.values())}')"
 
-#: Pairs of equal skeletons. The other operators can't be said in SQL, or not fast enough; tests hold them against brute force.
+
+
+def _near(table: str, least: str) -> str:
+    """The pairs ``x <= y`` of the texts ``id, s`` of ``table`` that share at least ``least`` of their runs of three."""
+    return f"""(with g as (select distinct id, substr(s, i, 3) as g from {table}, unnest(range(1, length(s) - 1)) u(i)), n as (select id, count(*) as n from g group by 1),
+    k as (select a.id as x, b.id as y, count(*) as k from g a join g b on a.g = b.g and a.id < b.id group by 1, 2)
+    select x, y from k join n a on a.id = x join n b on b.id = y where k >= {least} * (a.n + b.n - k) union all select id, id from {table})"""
+
+
+#: The pairs of equal skeletons, and those of near passages and questions by all shared runs. The other operators can't be
+#: said in SQL, or not fast enough; tests hold them against brute force.
 ORACLES: dict[str, str] = {
+    "p3_found": rf"""with items as (select distinct item_id, passage, coalesce(question, '') as question from exam_items where item_id is not null and regexp_matches(passage, '[\p{{L}}\p{{N}}]')),
+  p as (select row_number() over () as id, passage, regexp_replace(passage, '[^\p{{L}}\p{{N}}]', '', 'g') as s from (select distinct passage from items)),
+  q as (select row_number() over () as id, s from (select distinct regexp_replace(question, '[^\p{{L}}\p{{N}}]', '', 'g') as s from items)),
+  m as (select distinct item_id, p.id as p, q.id as q from items join p using (passage) join q on q.s = regexp_replace(question, '[^\p{{L}}\p{{N}}]', '', 'g')),
+  ab as (select a.item_id as a, b.item_id as b, least(a.q, b.q) as x, greatest(a.q, b.q) as y from {_near("p", "0.7")} e join m a on a.p = e.x join m b on b.p = e.y where a.item_id <> b.item_id)
+  select distinct least(a, b) as item_a, greatest(a, b) as item_b from ab join {_near("q", "0.5")} using (x, y)""",
     "p8_found": rf"""with t as (select doc_id, text, {_READS} as reads from documents where text is not null),
   v as (select * from t where regexp_matches(reads, '[^\p{{Z}}\p{{C}}\p{{M}}\s]'))
   select a.doc_id as doc_a, b.doc_id as doc_b from v a join v b on a.reads = b.reads and a.doc_id < b.doc_id and a.text <> b.text"""

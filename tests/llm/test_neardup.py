@@ -82,3 +82,40 @@ def test_edits_all_over_a_long_text(spark):
     b = "".join("Q" if i % 30 == 15 else c for i, c in enumerate(a))
     texts = spark.createDataFrame([(1, a), (2, b), (3, a[::-1])], "pid long, text string")
     assert [tuple(r) for r in N.passage_pairs(texts, 0.7).collect()] == [(1, 2)]
+
+
+@pytest.mark.parametrize("letters", ["abcdefghijklmnopqrstuvwxyz", "".join(chr(0xAC00 + 13 * i) for i in range(800))])
+def test_recall_at_every_similarity(spark, letters):
+    """Edits at regular steps, insertions and moved blocks: of each band of similarity at least 99 in 100 pairs are found."""
+    draw, rows, want = random.Random(11), [], {}
+    for k in range(1200):
+        a = [draw.choice(letters) for _ in range(400)]
+        b, step = list(a), draw.randint(16, 80)
+        for i in range(draw.randrange(step), len(b), step):
+            b[i] = draw.choice(letters) if k % 3 else b[i] + draw.choice(letters)
+        if k % 5 == 0:
+            b = b[200:] + b[:200]
+        a, b = "".join(a), "".join(b)
+        rows += [(2 * k, a), (2 * k + 1, b)]
+        if (s := similar(a, b)) >= 0.7:
+            want[2 * k, 2 * k + 1] = s
+    got = {tuple(r) for r in N.passage_pairs(spark.createDataFrame(rows, "pid long, text string"), 0.7).collect()}
+    assert got <= set(want)
+    for low in (0.7, 0.75, 0.8, 0.85, 0.9):
+        band = [p for p, s in want.items() if low <= s < low + 0.05]
+        assert len(band) > 30 and sum(p in got for p in band) >= 0.99 * len(band), low
+
+
+def test_hot_group_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(N, "SHARED", 2)
+    draw = random.Random(3)
+    base = [draw.choice("가나다라마바사아자차카타파하") for _ in range(200)]
+    rows = []
+    for k in range(90):
+        t = list(base)
+        for _ in range(3):
+            t[draw.randrange(200)] = draw.choice("xyz")
+        rows.append((k, "".join(t)))
+    want = {(a, b) for a, s in rows for b, t in rows if a < b and s != t and similar(s, t) >= 0.7}
+    got = {tuple(r) for r in N.passage_pairs(spark.createDataFrame(rows, "pid long, text string"), 0.7).collect()}
+    assert want == {p for p in got if rows[p[0]][1] != rows[p[1]][1]} and len(want) > 3500
