@@ -31,7 +31,12 @@ BLOCK_LETTERS = 20_000_000
 WORD, REPLACED = 16, 0.4
 #: Different passages with one question wording that show it isn't specific to one thing.
 STOCK = 2
-SENTENCE = regex.compile(r"(?<=[.!?。！？．][\"'”’」』)]?)\s+|(?<=[。！？])")
+#: Words and titles after whose full stop a sentence goes on.
+ABBREVIATIONS = r"Mr|Mrs|Ms|Dr|Prof|St|Gen|Col|Capt|Lt|Rev|Hon|vs|cf|No|Fig|Vol|pp|approx|e\.g|i\.e|Mt"
+#: Sentences end at a sign and white space, in Hangul, Han and kana also without the white space; not after an initial or abbreviation.
+SENTENCE = regex.compile(
+    r"(?<=[.!?。！？．][\"'”’」』)]?)(?<!\b(?:" + ABBREVIATIONS + r")\.)(?!(?<=\b\p{Lu}\.)\s+\p{Lu}\p{Ll})\s+|(?<=[。！？][\"'”’」』)]?)(?![\"'”’」』)])|(?<=[가-힣\p{Han}ぁ-ヺ][.．!?][\"'”’」』)]?)(?=[가-힣\p{Han}ぁ-ヺ“‘「『(])"
+)
 
 
 def plain(text: str) -> str:
@@ -64,21 +69,37 @@ def hashes(c: np.ndarray) -> np.ndarray:
 
 
 class HeldOut:
-    """A block of held-out texts: its units are sentences ``(passage, place)`` and questions ``(-1, question)``."""
+    """A block of held-out texts: its units are sentences ``(passage, place)``, pairs of neighbouring sentences of which one
+    has no n-gram of its own ``(passage, -1 - place)``, and questions ``(-1, question)``.
+
+    The n-grams of a pair also straddle its sentence end. Pairs and questions that are too short for any n-gram are looked for whole.
+    """
 
     def __init__(self, passages: dict[str, list[int]], questions: dict[str, list[int]]) -> None:
         self.passages = [(sentences(p), ids) for p, ids in passages.items()]
         self.questions = list(questions.items())
-        self.short = [i for i, (q, _) in enumerate(self.questions) if len(q) < N]
         units: list[tuple[int, int]] = []
         grams, owner, self.least = [], [], []
-        for unit, text in [((p, k), s) for p, (ss, _) in enumerate(self.passages) for k, s in enumerate(ss)] + [((-1, q), t) for q, (t, _) in enumerate(self.questions)]:
+        self.short: dict[str, list[int]] = defaultdict(list)
+
+        def add(unit: tuple[int, int], text: str) -> None:
             h = np.unique(hashes(np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.uint64)))
+            if len(text) < N:
+                self.short[text].append(len(units))
             grams.append(h)
             alphabet = sum(x < "\u0600" for x in text) > len(text) / 2  # whose n-grams say less
             self.least.append(max(1.0, HELD * len(h)) if alphabet else 1.0)
             owner.append(np.full(len(h), len(units)))
             units.append(unit)
+
+        for p, (ss, _) in enumerate(self.passages):
+            for k, x in enumerate(ss):
+                if len(x) >= N:
+                    add((p, k), x)
+                if k + 1 < len(ss) and min(len(x), len(ss[k + 1])) < N:
+                    add((p, -1 - k), x + ss[k + 1])
+        for q, (text, _) in enumerate(self.questions):
+            add((-1, q), text)
         self.units = units
         g = np.concatenate(grams) if grams else np.empty(0, np.uint64)
         o = np.concatenate(owner) if owner else np.empty(0, np.int64)
@@ -110,25 +131,26 @@ class HeldOut:
         for (r, u), n in times.items():
             if n >= self.least[u]:
                 found[r].add(u)
-        if self.short:
-            n = len(self.units) - len(self.questions)
+        for x, owners in self.short.items():
             for r, t in enumerate(texts):
-                found[r].update(n + i for i in self.short if self.questions[i][0] in t) if t else None
+                if x in t:
+                    found[r].update(owners)
         yield from ((r, u) for r, u in found.items() if u)
 
     def held(self, text: str, hit: set[int]) -> list[tuple[list[int], int, int]]:
         """``(items, start, end)`` of what ``text`` (normalised) really holds among the units that it hits."""
-        out, places = [], defaultdict(set)
+        out, places, pairs = [], defaultdict(set), defaultdict(set)
         for u in hit:
             p, k = self.units[u]
             if p >= 0:
-                places[p].add(k)
+                (places if k >= 0 else pairs)[p].add(k if k >= 0 else -1 - k)
             elif (at := text.find(self.questions[k][0])) >= 0:
                 out.append((self.questions[k][1], at, at + len(self.questions[k][0])))
-        for p, ks in places.items():
+        for p in places.keys() | pairs.keys():
             ss, items = self.passages[p]
-            for k in sorted(ks):
-                if k + 1 in ks and (span := aligned(ss[k], ss[k + 1], text)):
+            ks = places.get(p, set())
+            for k in sorted({k for k in ks if k + 1 in ks} | pairs.get(p, set())):
+                if span := aligned(ss[k], ss[k + 1], text):
                     out.append((items, *span))
         return out
 
@@ -247,26 +269,32 @@ def without(text: str, spans: list[tuple[int, int]]) -> str:
 
 def cleaned(docs: DataFrame, items: DataFrame, others: DataFrame | None = None, least_left: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, text, cut_letters`` of every document, with the held-out stretches removed; a document of which less than
-    ``least_left`` of the letters is left is dropped. Documents that hold nothing are unchanged."""
-    src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    ``least_left`` of the letters is left is dropped. Documents that hold nothing are unchanged. Each block of held-out
+    texts only notes its stretches; they are cut together at the end, so the blocks make no difference."""
+    src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.array().cast("array<bigint>").alias("places"))
     kind = src.schema["doc_id"].dataType.simpleString()
     for block in _blocks(items.select("item_id", "passage", "question").where("item_id is not null"), stock_questions(items, others)):
         held = docs.sparkSession.sparkContext.broadcast(block)
 
         def go(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                raw = batch.column(1).to_pylist()
-                texts = [letters(t).replace("\0", "") if t else "" for t in raw]
-                cut = [0] * len(raw) if batch.num_columns < 3 else batch.column(2).to_pylist()
-                keep = [True] * len(raw)
+                texts = [letters(t).replace("\0", "") if t else "" for t in batch.column(1).to_pylist()]
+                places = batch.column(2).to_pylist()
                 for r, hit in held.value.hits(texts):
-                    spans = [(a, b) for _, a, b in held.value.held(texts[r], hit)]
-                    if spans:
-                        raw[r] = without(raw[r], spans)
-                        left = len(letters(raw[r]))
-                        cut[r] += len(texts[r]) - left
-                        keep[r] = left >= least_left * len(texts[r])
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(raw, pa.string()), pa.array(cut, pa.int64())], ["doc_id", "text", "cut_letters"]).filter(pa.array(keep, pa.bool_()))
-
-        src = src.mapInArrow(go, f"doc_id {kind}, text string, cut_letters bigint")
-    return src if "cut_letters" in src.columns else src.withColumn("cut_letters", F.lit(0).cast("long"))
+                    places[r] += [x for _, a, b in held.value.held(texts[r], hit) for x in (a, b)]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(places, pa.list_(pa.int64()))], ["doc_id", "text", "places"])
+
+        src = src.mapInArrow(go, f"doc_id {kind}, text string, places array<bigint>")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw, lost, keep = batch.column(1).to_pylist(), [0] * len(batch), [True] * len(batch)
+            for r, places in enumerate(batch.column(2).to_pylist()):
+                if places:
+                    size = len(letters(raw[r]))
+                    raw[r] = without(raw[r], [*zip(places[::2], places[1::2])])
+                    lost[r] = size - len(letters(raw[r]))
+                    keep[r] = size - lost[r] >= least_left * size
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(raw, pa.string()), pa.array(lost, pa.int64())], ["doc_id", "text", "cut_letters"]).filter(pa.array(keep, pa.bool_()))
+
+    return src.mapInArrow(cut, f"doc_id {kind}, text string, cut_letters bigint")
