@@ -9,8 +9,12 @@ retyped and the alternatives that appear.
 
 from __future__ import annotations
 
+import json
 import re
+from collections import Counter
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,9 +31,7 @@ ALIASES = {
     "year": ["year", "연도", "시행연도", "년도"],
     "subject": ["subject", "과목", "교과"],
 }
-#: Keys of further data that are fields of their own, whatever their values look like.
-OWN = ["난이도", "배점", "출처쪽", "메모", "출제의도", "태그", "작성일", "metadata", "reviewed"]
-FIELD_OF = {re.sub(r"[\s_\-]+", "", k).lower(): field for field, keys in ALIASES.items() for k in keys} | {k: k for k in OWN}
+FIELD_OF = {re.sub(r"[\s_\-]+", "", k).lower(): field for field, keys in ALIASES.items() for k in keys}
 #: Share of a key's values that must look like a logical field for an unknown key to be taken for it.
 LOOKS_LIKE = 0.8
 
@@ -48,10 +50,22 @@ def records(df: DataFrame) -> DataFrame:
     return df.select("feed", "file_no", "line_no", v.alias("record")).where(F.col("record").isNotNull() & F.schema_of_variant("record").startswith("OBJECT"))
 
 
+def _name(key: Column | str) -> Column:
+    """A key as ``FIELD_OF`` has it: without case, spaces, ``_`` and ``-``."""
+    return F.lower(F.regexp_replace(key, r"[\s_\-]+", ""))
+
+
+def _known(key: Column | str) -> Column:
+    """The field that a key is known for by its name, or null."""
+    return F.try_element_at(F.create_map(*[F.lit(x) for kv in FIELD_OF.items() for x in kv]), _name(key))
+
+
 def values(df: DataFrame) -> DataFrame:
-    """``feed, file_no, line_no, key, value variant, type`` of the non-null top-level values of the readable records."""
-    rec = records(df)
-    out = rec.selectExpr("feed", "file_no", "line_no", "explode(cast(record as map<string, variant>)) as (key, value)").where("value is not null")
+    """``feed, file_no, line_no, named, key, value variant, type`` of the non-null top-level values of the readable records;
+    ``named`` are the fields that the record has by name."""
+    rec = records(df).select("feed", "file_no", "line_no", F.expr("map_filter(try_variant_get(record, '$', 'map<string, variant>'), (k, x) -> x is not null and schema_of_variant(x) <> 'VOID')").alias("m"))
+    named = F.array_distinct(F.transform(F.map_keys("m"), _known))
+    out = rec.select("feed", "file_no", "line_no", named.alias("named"), F.explode("m").alias("key", "value"))
     return out.withColumn("type", _json_type(F.schema_of_variant("value"))).where(F.col("type").isNotNull())
 
 
@@ -71,30 +85,32 @@ def _looks() -> dict[str, Column]:
     }
 
 
-def _name(key: Column | str) -> Column:
-    """A key as ``FIELD_OF`` has it: without case, spaces, ``_`` and ``-``."""
-    return F.lower(F.regexp_replace(key, r"[\s_\-]+", ""))
-
-
 def file_schemas(df: DataFrame) -> DataFrame:
     """``feed, file_no, key, type, n, n_type, types map<string,long>, field``: the tagged union of each key of each file.
 
     ``type`` is the most frequent alternative; of two as frequent ones the first in alphabetical order. ``field`` is the
-    logical field by name, or by content where the name is unknown, or else the key itself.
+    logical field by name, or by content where the name is unknown, or else the key itself. A key of which at least half the
+    values stand beside a key known by name as that field, over all files, is no other name of it, whatever they look like.
     """
     looks = _looks()
-    by_type = values(df).groupBy("feed", "file_no", "key", "type").agg(F.count("*").alias("n"), *[F.count_if(c).alias(f"like_{k}") for k, c in looks.items()])
+    by_type = values(df).groupBy("feed", "file_no", "key", "type").agg(F.count("*").alias("n"), *[F.count_if(c).alias(f"like_{k}") for k, c in looks.items()], *[F.count_if(F.array_contains("named", k)).alias(f"beside_{k}") for k in looks])
     union = by_type.groupBy("feed", "file_no", "key").agg(
         F.max_by("type", F.struct(F.col("n"), -F.ascii("type"))).alias("type"),
         F.sum("n").alias("n"),
         F.max("n").alias("n_type"),
         F.map_from_entries(F.array_sort(F.collect_list(F.struct("type", "n")))).alias("types"),  # at most five alternatives
-        *[F.sum(f"like_{k}").alias(f"like_{k}") for k in looks],
+        *[F.sum(f"{x}_{k}").alias(f"{x}_{k}") for k in looks for x in ("like", "beside")],
     )
-    known = F.try_element_at(F.create_map(*[F.lit(x) for kv in FIELD_OF.items() for x in kv]), _name("key"))
+    known = _known("key")
     # small integers may be anything; an answer is also written in one of its own ways
     content = F.coalesce(*[F.when((F.col(f"like_{k}") >= LOOKS_LIKE * F.col("n")) & ((F.col("like_marked") > 0) | F.lit(k != "answer")), k) for k in looks if k != "marked"])
-    return union.select("feed", "file_no", "key", "type", "n", "n_type", "types", F.coalesce(known, content, F.col("key")).alias("field"))
+    beside = F.coalesce(*[F.when(F.col("content") == k, F.col(f"beside_{k}")) for k in looks])
+    named = union.select("*", known.alias("known"), F.when(known.isNull(), content).alias("content")).withColumn("beside", beside)
+    named = checkpoint(named.select("feed", "file_no", "key", "type", "n", "n_type", "types", "known", "content", "beside"))
+    other = named.where("content is not null").groupBy("key", "content").agg(F.sum("n").alias("n"), F.sum("beside").alias("beside")).where("2 * beside >= n").select("key", "content")
+    other = checkpoint(other)  # a row for each key that looks like a field it isn't
+    judged = named.alias("a").join(broadcast_if_small(other.withColumn("no", F.lit(True)), other.count()).alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.content") == F.col("b.content")), "left")
+    return judged.select("feed", "file_no", "a.key", "type", "n", "n_type", "types", F.coalesce("known", F.when(F.col("no").isNull(), F.col("a.content")), F.col("a.key")).alias("field"))
 
 
 def changes(df: DataFrame) -> DataFrame:
@@ -132,11 +148,47 @@ def changes(df: DataFrame) -> DataFrame:
     return both.select("feed", "file_no", F.explode(out).alias("c")).select("feed", "file_no", "c.change", "c.old_key", "c.new_key")
 
 
+def _paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``feed, file_no, path, type, n``: the JSON types at each path of the records, counted within the batch."""
+    kinds = {str: "string", bool: "boolean", int: "number", float: "number", list: "array", dict: "object"}
+    for batch in batches:
+        c: Counter[tuple] = Counter()
+        for feed, file_no, record in zip(*(x.to_pylist() for x in batch.columns)):
+            todo = [("", json.loads(record))]
+            while todo:
+                path, v = todo.pop()
+                if path and v is not None:
+                    c[feed, file_no, path, kinds[type(v)]] += 1
+                if isinstance(v, dict):
+                    todo += [(f"{path}.{k}" if path else k, x) for k, x in v.items()]
+                elif isinstance(v, list):
+                    todo += [(path + "[]", x) for x in v]
+        cols = [*zip(*c)] if c else [(), (), (), ()]
+        types = [batch.schema.field(0).type, batch.schema.field(1).type, pa.string(), pa.string()]
+        yield pa.RecordBatch.from_arrays([*[pa.array(x, t) for x, t in zip(cols, types)], pa.array([*c.values()], pa.int64())], ["feed", "file_no", "path", "type", "n"])
+
+
+def path_schemas(df: DataFrame) -> DataFrame:
+    """``feed, file_no, path, type, n``: the tagged union of each path of each file, with keys joined by ``.`` and ``[]`` for the
+    elements of an array, to any depth. Types are counted within the batches before the shuffle."""
+    rec = records(df).select("feed", "file_no", F.expr("to_json(record)").alias("record"))
+    kind = rec.schema["file_no"].dataType.simpleString()
+    return rec.mapInArrow(_paths, f"feed string, file_no {kind}, path string, type string, n long").groupBy("feed", "file_no", "path", "type").agg(F.sum("n").alias("n"))
+
+
 def alternatives(df: DataFrame) -> DataFrame:
-    """``feed, file_no, key, type, n``: each alternative of a key in the first file of the feed that has it."""
-    t = file_schemas(df).select("feed", "file_no", "key", F.explode("types").alias("type", "n"))
-    first = t.groupBy("feed", "key", "type").agg(F.min("file_no").alias("file_no"), F.min_by("n", "file_no").alias("n"))
-    return first.select("feed", "file_no", "key", "type", "n")
+    """``feed, file_no, path, type, n``: each alternative of a path in the first file of the feed that has it."""
+    first = path_schemas(df).groupBy("feed", "path", "type").agg(F.min("file_no").alias("file_no"), F.min_by("n", "file_no").alias("n"))
+    return first.select("feed", "file_no", "path", "type", "n")
+
+
+def report(df: DataFrame) -> DataFrame:
+    """``feed, file_no, change, old_key, new_key``: the changes of the keys, and as ``alternative`` each type (``new_key``) that
+    appears at a path (``old_key``) which earlier files of the feed had with other types."""
+    seen = alternatives(df)
+    start = seen.groupBy("feed", "path").agg(F.min("file_no").alias("start"))
+    late = seen.join(start, ["feed", "path"]).where("file_no > start")
+    return changes(df).unionByName(late.select("feed", "file_no", F.lit("alternative").alias("change"), F.col("path").alias("old_key"), F.col("type").alias("new_key")))
 
 
 def consistent(df: DataFrame) -> DataFrame:
@@ -144,7 +196,8 @@ def consistent(df: DataFrame) -> DataFrame:
 
     ``feed, file_no, line_no, question, passage, explanation, exam_type, subject string, choices array<string>, answer
     int, year int``, the branches ``answer_text``, ``choices_text`` and ``passage_parts`` for values that the canonical
-    conversion can't hold, ``extra string`` (an object of all keys whose value is in no column) and ``readable``.
+    conversion can't hold, ``branches`` (field, type and JSON of each value that isn't of its field's own type), ``extra string``
+    (an object of all keys with a value that the columns don't hold, or not in full) and ``readable``.
     Unreadable payloads are kept with ``readable`` false and nulls. A key belongs to the field that ``file_schemas`` gives
     it. Of several keys of a field in one record the first in the order of ``ALIASES`` counts, exact spellings before
     others and names before contents; the rest stay in ``extra``. One narrow pass beside a join with the keys that are
@@ -161,10 +214,9 @@ def consistent(df: DataFrame) -> DataFrame:
 
     exact = F.create_map(*[F.lit(x) for keys in ALIASES.values() for at, k in enumerate(keys) for x in (k, at)])
     spelled = F.create_map(*[F.lit(x) for keys in ALIASES.values() for at, k in enumerate(keys) for x in (k.replace(" ", "").replace("_", "").lower(), 100 + at)])
-    field_of = F.create_map(*[F.lit(x) for kv in FIELD_OF.items() for x in kv])
 
     def place(k: Column) -> Column:
-        field = F.coalesce(F.try_element_at(field_of, _name(k)), F.try_element_at("by_content", k))
+        field = F.coalesce(_known(k), F.try_element_at("by_content", k))
         return F.struct(field.alias("field"), F.coalesce(F.try_element_at(exact, k), F.try_element_at(spelled, _name(k)), F.lit(1000)).alias("rank"), k.alias("key"))
 
     m = m.withColumn("ks", F.transform(F.map_keys("m"), place))
@@ -182,13 +234,28 @@ def consistent(df: DataFrame) -> DataFrame:
             .otherwise(get(c, "$", "string"))
         )
 
+    def flat(elements: Column) -> Column:
+        return ~F.exists(elements, lambda x: F.coalesce(F.schema_of_variant(x).rlike("^(ARRAY|OBJECT)"), F.lit(False)))
+
+    def whole(field: str) -> Column:
+        """The columns of ``field`` hold all of its value: a scalar, an array or object of scalars, not one member of several."""
+        v, kind = f"v_{field}", F.schema_of_variant(f"v_{field}")
+        members = get(v, "$", "map<string, variant>")
+        one = F.coalesce(get(v, "$.text", "string"), get(v, "$.body", "string")).isNull() | (F.size(members) == 1)
+        return F.when(kind.startswith("ARRAY"), flat(get(v, "$", "array<variant>"))).when(kind.startswith("OBJECT"), flat(F.map_values(members)) if field == "choices" else one).otherwise(True)
+
+    own_type = {"choices": "array", "answer": "number", "year": "number"}
+    branches = F.array(*[F.when(F.col(f"v_{f}").isNotNull() & (_json_type(F.schema_of_variant(f"v_{f}")) != own_type.get(f, "string")),
+                                F.struct(F.lit(f).alias("field"), _json_type(F.schema_of_variant(f"v_{f}")).alias("type"), F.expr(f"to_json(v_{f})").alias("value"))) for f in ALIASES])
+    many = F.coalesce(F.schema_of_variant("v_answer").startswith("ARRAY") & (F.size(get("v_answer", "$", "array<variant>")) > 1), F.lit(False))
     number = F.expr(r"regexp_extract(coalesce(try_variant_get(v_answer, '$[0]', 'string'), try_variant_get(v_answer, '$', 'string')), '^\\s*\\[?\\s*(\\d+)\\s*번?\\s*\\]?\\s*$', 1)")
+    number = F.when(~many, number)
     year = F.expr(r"regexp_extract(try_variant_get(v_year, '$', 'string'), '^\\s*(\\d{4})\\s*년?\\s*$', 1)")
     out = m.select(
-        "feed", "file_no", "line_no", "m", "record", *[f"k_{f}" for f in ALIASES],
+        "feed", "file_no", "line_no", "m", "record", *[f"k_{f}" for f in ALIASES], *[f"v_{f}" for f in ALIASES], F.array_compact(branches).alias("branches"),
         *[text(f"v_{f}").alias(f) for f in ("question", "passage", "explanation", "exam_type", "subject")],
         F.when(F.schema_of_variant("v_choices").startswith("OBJECT"), F.expr("map_values(try_variant_get(v_choices, '$', 'map<string,string>'))"))
-        .when(F.schema_of_variant("v_choices") == "STRING", F.expr(r"filter(split(try_variant_get(v_choices, '$', 'string'), '\\s*[\\n|;]\\s*|\\s*[①-⑳]\\s*'), x -> x <> '')"))
+        .when(F.schema_of_variant("v_choices") == "STRING", F.expr(r"filter(split(try_variant_get(v_choices, '$', 'string'), '\\s*[\\n|;]\\s*|\\s+/\\s+|\\s*[①-⑳]\\s*'), x -> x <> '')"))
         .otherwise(get("v_choices", "$", "array<string>")).alias("choices"),
         number.try_cast("int").alias("answer"),
         year.try_cast("int").alias("year"),
@@ -197,6 +264,7 @@ def consistent(df: DataFrame) -> DataFrame:
         get("v_passage", "$", "array<string>").alias("passage_parts"),
     )
     held = {f: F.col(f).isNotNull() for f in ALIASES} | {"answer": F.col("answer").isNotNull() | F.col("answer_text").isNotNull(), "choices": F.col("choices").isNotNull() | F.col("choices_text").isNotNull()}
+    held = {f: c & whole(f) for f, c in held.items()}
     used = F.array(*[F.when(held[f], F.col(f"k_{f}")) for f in ALIASES])
     extra = F.to_json(F.map_filter("m", lambda k, _: ~F.exists(used, lambda u: u.eqNullSafe(k))))
-    return out.withColumns({"extra": extra, "readable": F.col("record").isNotNull()}).drop("m", "record", *[f"k_{f}" for f in ALIASES])
+    return out.withColumns({"extra": extra, "readable": F.col("record").isNotNull()}).drop("m", "record", *[f"{x}_{f}" for f in ALIASES for x in "kv"])

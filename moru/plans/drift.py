@@ -20,9 +20,23 @@ def p5_alternatives(spark: SparkSession, d: str) -> DataFrame:
     return schema_drift.alternatives(table(spark, d, "local_raw"))
 
 
-QUERIES = {f.__name__: f for f in (p5_found, p5_consistent, p5_alternatives)}
+def p5_report(spark: SparkSession, d: str) -> DataFrame:
+    return schema_drift.report(table(spark, d, "local_raw"))
 
-_NAMES = ", ".join(f"('{k}', '{f}')" for k, f in schema_drift.FIELD_OF.items())
+
+QUERIES = {f.__name__: f for f in (p5_found, p5_consistent, p5_alternatives, p5_report)}
+
+#: Names of the fields without case, spaces, '_' and '-', written apart from the operator's own table.
+_FIELDS = {
+    "question": "question 문제 문제내용 q questiontext 질문 발문 물음 문항", "passage": "passage 지문 context paragraph 본문 읽기자료 passagetext 제시문", "choices": "choices 선지 options 선택지 보기",
+    "answer": "answer 정답 gold ans 정답번호 answerno 답", "explanation": "explanation 해설 설명 풀이 rationale", "exam_type": "examtype 시험종류 시험유형", "year": "year 연도 시행연도 년도", "subject": "subject 과목 교과",
+}
+_NAMES = ", ".join(f"('{k}', '{f}')" for f, ks in _FIELDS.items() for k in ks.split())
+_TYPE = "case when t.type = 'VARCHAR' then 'string' when t.type = 'BOOLEAN' then 'boolean' when t.type = 'ARRAY' then 'array' when t.type = 'OBJECT' then 'object' else 'number' end"
+_PATHS = rf"""(select feed, file_no, path, type, count(*) as n from
+  (select r.feed, r.file_no, regexp_replace(regexp_replace(replace(t.fullkey, '"', ''), '^\$\.', ''), '\[\d+\]', '[]', 'g') as path, {_TYPE} as type
+   from (select * from local_raw where json_valid(payload) and json_type(payload) = 'OBJECT') r, json_tree(r.payload) t where t.type <> 'NULL' and t.fullkey <> '$') group by all)"""
+_FIRST = f"(select feed, path, type, min(file_no) as file_no, arg_min(n, file_no) as n from {_PATHS} group by all)"
 #: Keys of unknown names, which the operator judges by their content, are fields of their own here.
 ORACLES: dict[str, str] = {
     "p5_found": rf"""
@@ -43,5 +57,8 @@ kept as (select b.feed, b.file_no, x.key as old_key, y.key as new_key, x.type as
 select feed, file_no, 'renamed' as change, old_key, new_key from pairs
 union all select feed, file_no, 'removed', key, '' from gone g where not exists (select 1 from pairs p where p.feed = g.feed and p.file_no = g.file_no and p.old_key = g.key)
 union all select feed, file_no, 'added', '', key from come c where not exists (select 1 from pairs p where p.feed = c.feed and p.file_no = c.file_no and p.new_key = c.key)
-union all select feed, file_no, 'retyped', old_key, new_key from (select * from pairs union all select * from kept) where old_type <> new_type"""
+union all select feed, file_no, 'retyped', old_key, new_key from (select * from pairs union all select * from kept) where old_type <> new_type""",
+    "p5_alternatives": f"select feed, file_no, path, type, n from {_FIRST}",
 }
+ORACLES["p5_report"] = f"""{ORACLES["p5_found"]}
+union all select feed, file_no, 'alternative', path, type from (select *, min(file_no) over (partition by feed, path) as start from {_FIRST}) where file_no > start"""
