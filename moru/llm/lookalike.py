@@ -1,11 +1,11 @@
 """One form for texts that look the same (problem 8).
 
 A text is folded sign by sign (full-width forms, compatibility ideographs, ligatures, special spaces, signs without
-width, canonical composition). Look-alike letters of the Latin, Greek and Cyrillic scripts are then repaired token by
-token: all spellings of a token that look alike form a class, the corpus vocabulary says which single-script spelling
-the class has, and every spelling is replaced by that one. Where the vocabulary has none, the script of the letters
-that have no look-alike decides. The result depends on the class alone, so texts that look alike become equal and
-visibly different ones stay different.
+width, canonical composition). Look-alike letters are then repaired token by token: a token that mixes scripts is spelled
+in its dominant script, or else in another of its scripts, when that spelling is a word of the corpus vocabulary. Tokens of one
+script are never changed, so genuine Russian or Greek stays what it is. For comparisons the canonical text has a ``form``
+in which the letters that can't be told apart at all are one: texts that read the same sign for sign have one form, and
+visibly different ones have different forms.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from moru.session import broadcast_if_small, checkpoint
@@ -29,8 +29,17 @@ NO_WIDTH = "­͏؜ᅟᅠ᠋᠌᠍᠎​‌‍‎‏‪‫‬‭‮⁠⁡⁢⁣
 HYPHENS = "‐‑"
 
 TO_LATIN = str.maketrans(CYRILLIC | GREEK)
-TO_CYRILLIC = str.maketrans({v: k for k, v in CYRILLIC.items()})
-TO_GREEK = str.maketrans({v: k for k, v in GREEK.items()})
+# Letters that are only nearly the same, taken for each other within a token of mixed scripts alone.
+NEAR = {
+    "Cyrillic": dict(zip("ӏӀѵүҮԍԌԜԚѴԼ", "lIvyYGGWQVL", strict=True)),
+    "Greek": dict(zip("αγικνρυχωϲϹ", "ayiknpuxwcC", strict=True)),
+    "Armenian": dict(zip("օսհոցաՕՍՏԼՀ", "ouhngwOUSLZ", strict=True)),
+    "Cherokee": dict(zip("ᎪᎢᏚᏟᎡᎻᎷᎬᎫᎳᏙᏴᏀᏞᏢᏃᎠᏆᏦ", "ATSCRHMEJWVBGLPZDIK", strict=True)),
+}
+#: The Latin letter of each letter of another script, and of each script the letter for a Latin one.
+LATIN_OF = CYRILLIC | GREEK | {k: v for t in NEAR.values() for k, v in t.items()}
+SAME = {"Cyrillic": CYRILLIC, "Greek": GREEK}
+LETTER_OF = {script: {v: k for k, v in [*near.items(), *SAME.get(script, {}).items()]} for script, near in NEAR.items()}
 
 
 def _fold_table() -> dict[int, str | None]:
@@ -56,9 +65,11 @@ for _c in [*range(0x1100, 0x1113), *range(0x1161, 0x1176), *range(0x11A8, 0x11C3
 PLAIN_SIGNS = r"\x00-\x0c\x0e-\x7f가-힣一-鿿ぁ-ゖァ-ヺー、。「」『』《》①-⑳㉠-㉭·“”‘’…"
 PLAIN = regex.compile(f"[{PLAIN_SIGNS}]*")
 ODD = regex.compile(r"[\p{Greek}\p{Cyrillic}]")
-TOKEN = regex.compile(r"[\p{Latin}\p{Greek}\p{Cyrillic}\p{M}]+")
-#: The same tokens for the JVM.
-TOKEN_JVM = r"[\p{IsLatin}\p{IsGreek}\p{IsCyrillic}\p{M}]+"
+SCRIPTS = {x: regex.compile(rf"\p{{{x}}}") for x in ("Latin", "Cyrillic", "Greek", "Armenian", "Cherokee")}
+TOKEN = regex.compile(r"[\p{Latin}\p{Greek}\p{Cyrillic}\p{Armenian}\p{Cherokee}\p{M}]+")
+OTHER = regex.compile(r"[\p{Greek}\p{Cyrillic}\p{Armenian}\p{Cherokee}]")
+#: What stands between the same tokens, for the JVM.
+BETWEEN_JVM = r"[^\p{IsLatin}\p{IsGreek}\p{IsCyrillic}\p{IsArmenian}\p{IsCherokee}\p{M}]+"
 VISIBLE = regex.compile(r"[^\p{Z}\p{C}\p{M}\s]")
 
 
@@ -70,114 +81,103 @@ def fold(text: str) -> str:
     return text.translate(JAMO) if regex.search("[ᄀ-ᇿ]", text) else text
 
 
-def skeleton(token: str) -> str:
-    """The class of a token: equal for tokens that look alike."""
-    return unicodedata.normalize("NFC", unicodedata.normalize("NFD", token).translate(TO_LATIN))
-
+def skeleton(text: str) -> str:
+    """The class of a text or token: equal for those that can't be told apart."""
+    if not ODD.search(text):
+        return text
+    return unicodedata.normalize("NFC", unicodedata.normalize("NFD", text).translate(TO_LATIN))
 
-def scripts(token: str) -> set[str]:
-    return {s for s, p in (("Latin", r"\p{Latin}"), ("Greek", r"\p{Greek}"), ("Cyrillic", r"\p{Cyrillic}")) if regex.search(p, token)}
 
+def spellings(token: str) -> list[str]:
+    """The spellings of ``token`` in one of its scripts, the dominant one first; none for a token of one script.
 
-def home(skel: str) -> str:
-    """The spelling of a class by the script of the letters in it that have no look-alike, Latin where there are none."""
-    base = unicodedata.normalize("NFD", skel)
-    own = {s: len(regex.findall(rf"\p{{{s}}}", base)) for s in ("Cyrillic", "Greek")}
-    plain_latin = [c for c in base if regex.match(r"\p{Latin}", c) and ord(c) not in TO_CYRILLIC and ord(c) not in TO_GREEK]
-    best = max(own, key=lambda s: own[s])
-    if own[best] <= len(plain_latin):
-        return skel
-    return unicodedata.normalize("NFC", base.translate(TO_CYRILLIC if best == "Cyrillic" else TO_GREEK))
+    The script of most letters is dominant, of letters without a look-alike in case of a tie.
+    """
+    letters = unicodedata.normalize("NFD", token)
+    found = {s: p.findall(letters) for s, p in SCRIPTS.items()}
+    found = {s: x for s, x in found.items() if x}
+    if len(found) < 2:
+        return []
+    alone = {s: sum((c not in LATIN_OF) if s != "Latin" else all(c not in t for t in LETTER_OF.values()) for c in x) for s, x in found.items()}
+    out = []
+    for script in sorted(found, key=lambda s: (-len(found[s]), -alone[s], s)):
+        own = LETTER_OF.get(script, {})
+        new = [c if SCRIPTS[script].match(c) or not regex.match(r"\p{L}", c) else own.get(LATIN_OF.get(c, c)) if script != "Latin" else LATIN_OF.get(c) for c in letters]
+        if None not in new:
+            out.append(unicodedata.normalize("NFC", "".join(new)))
+    return out
 
 
-def odd_tokens(folded: str) -> list[str]:
-    return sorted({t for t in TOKEN.findall(folded) if ODD.search(t)}) if ODD.search(folded) else []
+def mixed_tokens(folded: str) -> list[str]:
+    return sorted({t for t in TOKEN.findall(folded) if OTHER.search(t) and spellings(t)}) if OTHER.search(folded) else []
 
 
 def rewrite(folded: str, spelling: dict[str, str]) -> str:
-    return TOKEN.sub(lambda m: spelling.get(m.group(), m.group()), folded)
+    return TOKEN.sub(lambda m: spelling.get(m.group(), m.group()), folded) if spelling else folded
 
 
-def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _options(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``key, token, rank, option, word`` for each mixed token of each text: its spellings and the words they would be."""
     for batch in batches:
-        folded, odd, classes, seen = [], [], [], []
-        for t in batch.column(1).to_pylist():
-            f = None if t is None else fold(t)
-            tokens = odd_tokens(f) if f else []
-            folded.append(f)
-            odd.append(tokens)
-            classes.append([skeleton(x) for x in tokens])
-            seen.append(bool(f and VISIBLE.search(f)))
-        cols = [*batch.columns, pa.array(folded, pa.string()), pa.array(odd, pa.list_(pa.string())), pa.array(classes, pa.list_(pa.string())), pa.array(seen, pa.bool_())]
-        yield pa.RecordBatch.from_arrays(cols, [*batch.schema.names, "folded", "odd", "classes", "visible"])
+        out: list[tuple[str, str, int, str, str]] = []
+        for key, t in zip(*(c.to_pylist() for c in batch.columns)):
+            if OTHER.search(t):
+                out += [(key, x, i, o, o.lower()) for x in mixed_tokens(fold(t)) for i, o in enumerate(spellings(x))]
+        cols = [*zip(*out)] if out else [()] * 5
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.int32(), pa.string(), pa.string()))], ["key", "token", "rank", "option", "word"])
 
 
 def _rewritten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        new = [rewrite(f, dict(zip(a, b))) for f, a, b in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)))]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(new, pa.string()), batch.column(5)], ["doc_id", "text", "canonical", "visible"])
+        new, forms, seen = [], [], []
+        for t, pairs in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+            c = rewrite(fold(t), dict(pairs or []))
+            new.append(c)
+            forms.append(skeleton(c))
+            seen.append(bool(VISIBLE.search(c)))
+        yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(new, pa.string()), pa.array(forms, pa.string()), pa.array(seen, pa.bool_())], ["doc_id", "text", "canonical", "form", "visible"])
 
 
-def canonical_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, text, canonical, visible`` of every row.
+def is_special(text: Column) -> Column:
+    """``text`` has a sign that isn't plain. Most texts pass by the first test, whose two ranges cost little a sign."""
+    return F.coalesce(~text.rlike(r"\A[\x00-\x0c\x0e-\x7f가-힣]*+\z") & text.rlike(f"[^{PLAIN_SIGNS}]"), F.lit(False))
 
-    The vocabulary is counted over all texts, but only for classes of which some text has a Greek or Cyrillic spelling;
-    only texts with such a token are joined with it. Null texts stay null, empty and blank ones are not ``visible``,
-    repeated rows come out repeated, an empty table gives an empty one, other columns are ignored.
-    """
+
+def _split(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """The plain texts, which never leave the JVM, and the special ones in their canonical form."""
     src = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = src.schema["doc_id"].dataType.simpleString()
-    special = F.coalesce(F.col("text").rlike(f"[^{PLAIN_SIGNS}]"), F.lit(False))
-    # plain texts never leave the JVM; the others are folded anew by each pass rather than stored
-    none = F.array().cast("array<string>")
-    plain = src.where(~special).select("doc_id", "text", F.col("text").alias("folded"), none.alias("odd"), none.alias("classes"), F.coalesce(F.col("text").rlike(r"[^\p{Z}\p{C}\p{M}\s]"), F.lit(False)).alias("visible"))
-    scanned = src.where(special).mapInArrow(_scan, f"doc_id {kind}, text string, folded string, odd array<string>, classes array<string>, visible boolean")
-    odd = F.size("odd") > 0
-
-    spelled = scanned.where(odd).select(F.explode(F.arrays_zip("odd", "classes")).alias("t")).select(F.col("t.odd").alias("form"), F.col("t.classes").alias("class"))
-    counts = checkpoint(spelled.groupBy("class", "form").agg(F.count("*").alias("n")))
-    n_classes = counts.select("class").distinct().count()
-    # Latin spellings of those classes; a Latin spelling is its own class
-    latin = (
-        plain.unionByName(scanned).where(F.col("folded").rlike(r"\p{IsLatin}"))
-        .select(F.explode(F.array_distinct(F.expr(f"regexp_extract_all(folded, '{TOKEN_JVM.replace(chr(92), chr(92) * 2)}', 0)"))).alias("form"))
-        .where(~F.col("form").rlike(r"[\p{IsGreek}\p{IsCyrillic}]"))
-        .join(broadcast_if_small(counts.select(F.col("class").alias("form")).distinct(), n_classes), "form", "left_semi")
-        .groupBy("form")
-        .agg(F.count("*").alias("n"))
-        .select(F.col("form").alias("class"), "form", "n")
-    )
-
-    @F.pandas_udf("boolean")
-    def single(form):
-        return form.map(lambda x: len(scripts(x)) == 1)
-
-    @F.pandas_udf("string")
-    def at_home(skel):
-        return skel.map(home)
-
-    best = (
-        counts.where(single("form")).unionByName(latin)
-        .groupBy("class").agg(F.max_by("form", F.struct(F.col("n"), F.col("form"))).alias("best"))
-    )
-    spelling = (
-        counts.select("class").distinct().join(best, "class", "left")
-        .select("class", F.coalesce("best", at_home("class")).alias("best"))
-    )
-    spelling = checkpoint(spelling)
-    texts = scanned.where(odd).select(F.md5("folded").alias("key"), F.explode(F.arrays_zip("odd", "classes")).alias("t"))
-    by_text = (
-        texts.select("key", F.col("t.odd").alias("form"), F.col("t.classes").alias("class")).distinct()
-        .join(broadcast_if_small(spelling, n_classes), "class")
-        .groupBy("key").agg(F.collect_list("form").alias("forms"), F.collect_list("best").alias("bests"))  # the tokens of one text
-    )
-    repaired = (
-        scanned.where(odd).withColumn("key", F.md5("folded")).join(by_text, "key")
-        .select("doc_id", "text", "folded", "forms", "bests", "visible")
-        .mapInArrow(_rewritten, f"doc_id {kind}, text string, canonical string, visible boolean")
-    )
-    rest = plain.unionByName(scanned.where(~odd))
-    return rest.select("doc_id", "text", F.col("folded").alias("canonical"), "visible").unionByName(repaired)
+    special = is_special(F.col("text"))
+    visible = F.coalesce(F.col("text").rlike(r"[^\p{Z}\p{C}\p{M}\s]"), F.lit(False))
+    plain = src.where(~special).select("doc_id", "text", F.col("text").alias("canonical"), F.col("text").alias("form"), visible.alias("visible"))
+    other = src.where(special).withColumn("key", F.md5("text"))
+
+    options = checkpoint(other.select("key", "text").mapInArrow(_options, "key string, token string, rank int, option string, word string").distinct())
+    wanted = checkpoint(options.select("word").distinct())
+    n = wanted.count()
+    if n == 0:
+        mended = other.select("doc_id", "text", F.lit(None).cast("map<string,string>").alias("pairs"))
+    else:
+        latin = src.where(~special & F.col("text").rlike("[A-Za-z]")).select(F.split("text", "[^A-Za-z]+").alias("ws"))
+        rest = src.where(special).select(F.split("text", BETWEEN_JVM).alias("ws"))
+        words = latin.unionByName(rest).select(F.explode(F.array_distinct(F.transform("ws", F.lower))).alias("word"))
+        vocabulary = words.join(broadcast_if_small(wanted, n), "word", "left_semi").distinct()
+        best = options.select("token", "rank", "option", "word").distinct().join(vocabulary, "word", "left_semi").groupBy("token").agg(F.min_by("option", "rank").alias("best"))
+        by_text = options.select("key", "token").distinct().join(best, "token").groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("token", "best"))).alias("pairs"))  # the tokens of one text
+        by_text = checkpoint(by_text)
+        mended = other.join(broadcast_if_small(by_text, by_text.count(), 20_000), "key", "left").select("doc_id", "text", "pairs")
+    return plain, mended.mapInArrow(_rewritten, f"doc_id {kind}, text string, canonical string, form string, visible boolean")
+
+
+def canonical_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, text, canonical, form, visible`` of every row.
+
+    ``canonical`` is the folded and repaired text, ``form`` the one form of all texts that look like it. Only the spellings that mixed
+    tokens could have are looked up in the vocabulary of all texts. Null texts stay null, empty and blank ones are not
+    ``visible``, repeated rows come out repeated, an empty table gives an empty one, other columns are ignored.
+    """
+    plain, special = _split(df, id_col, text_col)
+    return plain.unionByName(special)
 
 
 def lookalike_pairs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -185,9 +185,13 @@ def lookalike_pairs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     Only forms with more than one spelling are joined. Null and blank texts and null ids are in no pair.
     """
-    keyed = canonical_texts(df, id_col, text_col).where("visible and doc_id is not null")
-    keyed = keyed.select("doc_id", F.unhex(F.md5("canonical")).alias("form"), F.unhex(F.md5("text")).alias("spelling")).distinct()
-    keyed = checkpoint(keyed)
+    plain, special = (
+        t.where("visible and doc_id is not null").select("doc_id", F.unhex(F.md5("form")).alias("form"), F.unhex(F.md5("text")).alias("spelling"))
+        for t in _split(df, id_col, text_col)
+    )
+    special = checkpoint(special.distinct())
+    forms = checkpoint(special.select("form").distinct())  # a plain text is its own form, so two spellings need a special one
+    keyed = special.unionByName(plain.join(broadcast_if_small(forms, forms.count()), "form", "left_semi").distinct())
     several = keyed.groupBy("form").agg(F.min("spelling").alias("a"), F.max("spelling").alias("b")).where("a <> b").select("form")
     rows = checkpoint(keyed.join(several, "form", "left_semi"))
     a, b = rows.alias("a"), rows.alias("b")

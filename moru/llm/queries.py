@@ -50,14 +50,15 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_canonical(spark: SparkSession, d: str) -> DataFrame:
-    return lookalike.canonical_texts(table(spark, d, "documents")).select("doc_id", "canonical")
+    return lookalike.canonical_texts(table(spark, d, "documents")).select("doc_id", "canonical", "form")
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_repaired, p2_found, p2_cleaned, p3_found, p4_found, p6_ids, p7_training_set, p7_shares, p8_found, p8_canonical)}
 
 _FULL = "".join(map(chr, [*range(0xFF01, 0xFF5F)]))
 _HALF = "".join(map(chr, range(0x21, 0x7F))).replace("'", "''")
-_ALIKE = {**lookalike.CYRILLIC, **lookalike.GREEK}
+#: Letters and the Latin letters they can't be told from, written apart from the operator's own table.
+_ALIKE = dict(zip("АВЕЅІЈКМНОРСТХУаеѕіјорсхуһԁԛԝΑΒΕΖΗΙΚΜΝΟΡΤΥΧοϳ", "ABESIJKMHOPCTXYaesijopcxyhdqwABEZHIKMNOPTYXoj", strict=True))
 _FOLDED = f"translate(regexp_replace(replace(text, chr(13) || chr(10), chr(10)), '[{lookalike.NO_WIDTH}\\x{{fe00}}-\\x{{fe0f}}]', '', 'g'), '{_FULL}{lookalike.SPACES}{lookalike.HYPHENS}', '{_HALF}{' ' * len(lookalike.SPACES)}--')"
 for _from, _to in lookalike.LIGATURES.items():
     _FOLDED = f"replace({_FOLDED}, '{_from}', '{_to}')"

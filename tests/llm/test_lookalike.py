@@ -36,12 +36,15 @@ def test_pairs_are_the_groups(table):
 
 def test_canonical_form(table, spark):
     texts, df = table
-    got = {r.doc_id: r.canonical for r in L.canonical_texts(df).collect()}
-    assert len(got) == len(texts)
-    form = {t: got[i] for i, t in enumerate(texts)}
+    rows = L.canonical_texts(df).collect()
+    got = {r.doc_id: r.canonical for r in rows}
+    assert len(got) == len(rows) == len(texts)
+    canonical = {t: got[i] for i, t in enumerate(texts)}
+    form = {texts[r.doc_id]: r.form for r in rows}
     for g in GROUPS:
         assert len({form[t] for t in g}) == 1
-    assert form["Cалмop"] == "Салмор" and form["ΝΑΡΟ 도시"] == "NAPO 도시"
+    assert canonical["Cалмop"] == canonical["Салмор"] == "Салмор" and canonical["NАPО 도시"] == "NAPO 도시"
+    assert canonical["ΝΑΡΟ 도시"] == "ΝΑΡΟ 도시" and form["ΝΑΡΟ 도시"] == form["NAPO 도시"]  # one script, so its own word
     assert len({form[t] for t in APART}) == len(APART)
     again = spark.createDataFrame(list(got.items()), "doc_id long, text string")
     assert {r.doc_id: r.canonical for r in L.canonical_texts(again).collect()} == got
@@ -51,3 +54,10 @@ def test_canonical_form(table, spark):
 def test_null_ids_are_in_no_pair(spark):
     df = spark.createDataFrame([(None, "ab c"), (None, "ab c"), (1, "x" * 50_000 + "​"), (2, "x" * 50_000), (2, "x" * 50_000)], "doc_id long, text string")
     assert [tuple(r) for r in L.lookalike_pairs(df).collect()] == [(1, 2)]
+
+
+def test_only_tokens_of_mixed_scripts_are_repaired(spark):
+    texts = ["выбросить сор из избы", *["a cop and a cop"] * 5, "the paper, an alpha", "ραper", "αlpha", "Ρаper", "wоnk", "сорt", "օne", "one ՏԼ"]
+    got = [r.canonical for r in L.canonical_texts(spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")).orderBy("doc_id").collect()]
+    assert got[0] == texts[0] and got[7:] == ["paper", "alpha", "Paper", "wоnk", "сорt", "one", "one ՏԼ"]
+    assert L.spellings("cалмop") == ["салмор"] and L.spellings("paper") == L.spellings("сор") == [] and L.spellings("Жz") == []
