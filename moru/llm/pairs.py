@@ -9,6 +9,7 @@ refusals. Each item has at most one defect; they are tried in the order of ``DEF
 from __future__ import annotations
 
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
 import pyarrow as pa
 import regex
@@ -39,11 +40,15 @@ UNABLE = (
     r"(?:(?:드릴|해드릴|할|낼)\s*수\s*(?:가\s*)?없(?:습니다|어요|네요|음|는 점|겠)|드리기(?:가|는|에는)?\s*(?:어렵|곤란|힘들|불가)|(?:드리지|하지|주지)\s*못(?:합니다|해요|함|하는 점|하겠)"
     r"|[가-힣]지(?:는)?\s*않(?:습니다|아요|음|겠습니다|을게요|도록 (?:되어|설계|정해))|삼가(?:겠습니다|합니다|고자|려고|도록)|(?:사양|거절|사절)(?:하겠습니다|합니다|할게요)"
     r"|권한\s*(?:밖|이 없)|(?:어렵|곤란|불가능)(?:합니다|습니다|해요|하겠))"
+    r"(?!\s*[.!]?[\"'”’」』]?\s*(?:라고|라는|라며|라면서|라 |고\s|며\s))"  # what is reported of somebody
 )
+#: Somebody else than the speaker of the explanation, as the subject of a sentence.
+THIRD = r"(?<![가-힣])(?:(?:이|그|저|한|위|해당)\s)?(?:인물|필자|글쓴이|저자|작가|화자|주인공|학생|독자|청자|그녀?|사람|정부|회사|아이|선생님|[가-힣]{2,4}\s?씨)(?:들)?(?:은|는|이|가|께서)\s"
+ABOUT_OTHERS = regex.compile(rf"(?:^|(?<=[.!?\n]))[^.!?\n]*?{THIRD}[^.!?\n]*")
 APOLOGY = r"(?:죄송(?:하지만|합니다만|스럽지만|하오나)|송구(?:하지만|스럽지만|합니다만)|미안(?:하지만|합니다만)|유감(?:스럽게도|이지만)|안타깝(?:게도|지만)|아쉽(?:게도|지만)|말씀은 감사(?:하지만|합니다만)|저(?:로서)?는)"
 REFUSALS = regex.compile(
     rf"{OBJECT}[^.!?\n]{{0,40}}?{UNABLE}|{APOLOGY}[^.!?\n]{{0,60}}?{UNABLE}"
-    r"|\bI(?:'m| am)\s+(?:\w+\s+)?(?:sorry|unable|afraid|not able)\b|\bI\s+(?:can(?:no|')t|can not|won't|will not|must decline|decline to)\s+(?:\w+\s+)?(?:answer|help|assist|provide|solve|explain|do|give|choose|tell|comply)"
+    r"|\bI(?:'m| am)\s+(?:\w+\s+)?(?:unable|not able)\b|\bI(?:'m| am)\s+(?:\w+\s+)?(?:sorry|afraid)(?:\s*[.!]|,?\s+but\b|,?\s+(?:that\s+)?(?:I|we|this|it)\b[^.!?\n]{0,60}?(?:can(?:no|')t|can not|cannot|unable|not able|won't|will not|decline))|\bI\s+(?:can(?:no|')t|can not|won't|will not|must decline|decline to)\s+(?:\w+\s+)?(?:answer|help|assist|provide|solve|explain|do|give|choose|tell|comply)"
     r"|\bas an? (?:AI|language model)\b|\b(?:unable|not able) to (?:answer|help|assist|provide|solve|explain|give|choose)\b"
     r"|(?:お答え|回答|説明|お手伝い|解説|提供)(?:は|を|が|する(?:こと)?(?:は|が))?\s*(?:でき(?:ません|かねます)|致しかねます)|申し訳(?:ありません|ございません)"
     r"|(?:无法|不能|無法)(?:为您|為您)?(?:回答|提供|帮助|幫助|解答|协助|给出)|(?:抱歉|对不起)[，,]",
@@ -55,7 +60,13 @@ WORD = regex.compile(r"[^\p{L}\p{Nd}]+")
 HANGUL, LATIN, KANA, HAN = (regex.compile(p) for p in (r"[가-힣]", r"\p{Latin}", r"[ぁ-ゖァ-ヺ]", r"\p{Han}"))
 OPEN = dict(zip("([{「『“‘〈《【（［｛", ")]}」』”’〉》】）］｝", strict=True))
 CLOSE = set(OPEN.values())
-TAGS = regex.compile(r"<(/?)(b|i|u|em|strong|p|div|span|ul|ol|li|table|tr|td|th|code|pre|sup|sub|blockquote)\b[^<>]*>", regex.I)
+_NUMBER = r"[-+−]?(?:\d[\d.,]*|∞|[a-zA-Zπ]|-?infty)"
+#: What the pushdown parser reads; intervals may be half open and are read whole.
+SYNTAX = regex.compile(
+    rf"(?P<interval>[\[(]\s*{_NUMBER}\s*,\s*{_NUMBER}\s*[\])])|(?P<fence>```)|(?P<formula>\$\$)|(?P<quote>\")|(?P<open>[" + regex.escape("".join(OPEN)) + "])|(?P<close>[" + regex.escape("".join(CLOSE)) + "])"
+    r"|(?P<tag><(?P<slash>/?)(?P<name>b|i|u|em|strong|p|div|span|ul|ol|li|table|tr|td|th|code|pre|sup|sub|blockquote)\b[^<>]*>)|(?P<item>\n[ \t]*(?:[-*•·▪◦※]|\(?\d{1,2}[.)])[ \t]*\Z)",
+    regex.I,
+)
 VOID_TAGS = {"p", "li", "td", "tr", "th"}
 ENDS = ".!?。！？"
 KO_END = regex.compile(
@@ -96,33 +107,85 @@ def language(text: str) -> str:
     return best if total and n[best] >= 0.6 * total else ""
 
 
+def _automaton(source: str) -> tuple[list[dict[str, int]], list[int], list[int], list[int]]:
+    """The suffix automaton of ``source``: transitions, suffix links, longest lengths and an end of each state."""
+    to: list[dict[str, int]] = [{}]
+    link, size, end, last = [-1], [0], [0], 0
+    for at, c in enumerate(source):
+        new = len(to)
+        to.append({})
+        link.append(0)
+        size.append(size[last] + 1)
+        end.append(at + 1)
+        p, last = last, new
+        while p >= 0 and c not in to[p]:
+            to[p][c] = new
+            p = link[p]
+        if p >= 0:
+            q = to[p][c]
+            if size[p] + 1 == size[q]:
+                link[new] = q
+            else:
+                half = len(to)
+                to.append(dict(to[q]))
+                link.append(link[q])
+                size.append(size[p] + 1)
+                end.append(end[q])
+                while p >= 0 and to[p].get(c) == q:
+                    to[p][c] = half
+                    p = link[p]
+                link[q] = link[new] = half
+    return to, link, size, end
+
+
+def maximal(text: str, source: str) -> list[tuple[int, int, int]]:
+    """``length, start, place``: the common stretches of ``text`` and ``source`` that can't be made longer, in time in
+    proportion to both, by running ``text`` through the suffix automaton of ``source``."""
+    to, link, size, end = _automaton(source)
+    out, state, n = [], 0, 0
+    for i, c in enumerate(text):
+        if c not in to[state]:
+            out.append((n, i - n, end[state] - n))
+            while state and c not in to[state]:
+                state = link[state]
+                n = size[state]
+            if c not in to[state]:
+                state = n = 0
+                continue
+        state, n = to[state][c], n + 1
+    out.append((n, len(text) - n, end[state] - n))
+    return [x for x in out if x[0]]
+
+
 def tile(text: str, sources: list[str], least: int = 4) -> tuple[str, list[bool]]:
     """Greedy string tiling: what no tile of at least ``least`` signs from ``sources`` covers, and the covered signs of ``sources[0]``.
 
-    A source may be used again, as a text that repeats it twice adds nothing either.
+    Tiles are placed longest first, of equal ones the first; signs of ``text`` that a tile covers are marked, and a
+    stretch that runs into marked signs goes back with what is left of it. The marks of the sources are lifted after each
+    tile, as a text that repeats a source twice adds nothing either; ``covered`` keeps them all.
     """
+    source = "\0".join(sources)
     covered = [False] * len(sources[0]) if sources else []
-    places: dict[str, list[tuple[int, int]]] = {}
-    for k, s in enumerate(sources):
-        for i in range(len(s) - least + 1):
-            places.setdefault(s[i : i + least], []).append((k, i))
-    rest, i = [], 0
-    while i < len(text):
-        best, at = 0, (0, 0)
-        for k, j in places.get(text[i : i + least], ()):
-            s, n = sources[k], least
-            while i + n < len(text) and j + n < len(s) and text[i + n] == s[j + n]:
-                n += 1
-            if n > best:
-                best, at = n, (k, j)
-        if best:
-            if at[0] == 0:
-                covered[at[1] : at[1] + best] = [True] * best
-            i += best
-        else:
-            rest.append(text[i])
-            i += 1
-    return "".join(rest), covered
+    marked = bytearray(len(text) + 1)
+    marked[len(text)] = 1
+    heap = [(-n, i, j) for n, i, j in maximal(text, source) if n >= least]
+    heapify(heap)
+    while heap:
+        n, i, j = heappop(heap)
+        start = marked.find(0, i, i - n)
+        if start < 0:
+            continue
+        stop = min(marked.find(1, start), i - n)
+        if stop - start < -n:  # a part of it is marked by now
+            if stop - start >= least:
+                heappush(heap, (start - stop, start, j + start - i))
+            if i - n - stop > least:
+                heappush(heap, (stop - i + n, stop, j + stop - i))
+            continue
+        marked[start:stop] = b"\1" * (stop - start)
+        if j < len(covered):
+            covered[j : j - n] = [True] * min(-n, len(covered) - j)
+    return "".join(c for c, m in zip(text, marked) if not m), covered
 
 
 def copies(text: str, question: str, choices: list[str | None] | None) -> bool:
@@ -144,26 +207,40 @@ def copies(text: str, question: str, choices: list[str | None] | None) -> bool:
 
 
 def leaves_open(text: str) -> bool:
-    """The pushdown parser: a bracket, quotation, fence or tag of ``text`` is opened and never closed."""
+    """The pushdown parser: something in ``text`` is opened and never closed: a bracket, quotation, fence, formula, tag or the
+    item of a list.
+
+    Within a fence or formula only its end counts. A closing sign closes what it matches, with all that stands open inside;
+    one that matches nothing is a sign like others. Intervals, and the marks of feet, inches, minutes and apostrophes, are no brackets or quotations.
+    """
     stack: list[str] = []
-    for c in text:
-        if c in OPEN:
-            stack.append(OPEN[c])
-        elif c in CLOSE and c in stack:
-            while stack.pop() != c:  # what it encloses and leaves open is no concern
+    for m in SYNTAX.finditer(text):
+        kind, s = m.lastgroup, m.group()
+        top = stack[-1] if stack else ""
+        if top in ("```", "$$"):
+            if kind in ("fence", "formula") and s.strip() == top:
+                stack.pop()
+        elif kind in ("fence", "formula"):
+            stack.append(s.strip())
+        elif kind == "open":
+            stack.append(OPEN[s])
+        elif kind == "quote" and s in stack or kind == "close" and s in stack:
+            while stack.pop() != s:
                 pass
-    tags: list[str] = []
-    if "<" in text:
-        for m in TAGS.finditer(text):
-            name = m.group(2).lower()
+        elif kind == "quote" and not (m.start() and text[m.start() - 1].isdigit()):
+            stack.append(s)
+        elif kind == "tag":
+            name = m.group("name").lower()
             if name in VOID_TAGS:
                 continue
-            if not m.group(1):
-                tags.append(name)
-            elif name in tags:
-                while tags.pop() != name:
+            if not m.group("slash"):
+                stack.append(f"<{name}>")
+            elif f"<{name}>" in stack:
+                while stack.pop() != f"<{name}>":
                     pass
-    return bool(stack) or bool(tags) or text.count('"') % 2 == 1 or text.count("```") % 2 == 1 or text.count("$$") % 2 == 1
+        elif kind == "item":
+            stack.append("item")  # the last line is a bare mark
+    return bool(stack)
 
 
 def breaks_off(text: str) -> bool:
@@ -199,7 +276,7 @@ def defect(question: str | None, choices: list[str | None] | None, answer: int |
     if len(x) < 60 and NAMES.match(x):
         return None
     bare = QUOTED.sub(" ", x)
-    if HINT.search(bare) and REFUSALS.search(bare):
+    if HINT.search(bare) and REFUSALS.search(ABOUT_OTHERS.sub(" ", bare)):
         return "refusal"
     q = clean(question)
     if copies(x, q, choices):

@@ -1,5 +1,8 @@
 """Defects of question-response pairs."""
 
+import random
+import time
+
 import pytest
 
 P = pytest.importorskip("moru.llm.pairs")
@@ -32,3 +35,55 @@ def test_operator(spark):
     got = {(r.item_id, r.defect) for r in P.defects(df).collect()}
     assert got == {(i, w) for i, (*_, w) in enumerate(CASES) if w} | {(None, "copied"), (999, "truncated")}
     assert P.defects(df).count() == len(got) and P.defects(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        "이 인물은 도와 달라는 요청을 거절합니다.", "저는 이 글이 이해하기 어렵습니다라고 쓴 학생의 반응은 적절하다.", "I'm sorry for the farmer, because the rain destroyed his field.", "구간 [0, 1)에서 함수는 증가한다.",
+        "높이는 5' 10\"이다.", "좌표는 (-1, 3)이고 구간은 (a, b]이다.", "식은 $$x = (1$$ 로 쓴다고 보면 된다.", "코드는 ```print('(')``` 와 같다.", "1. 앞의 말은 옳다.\n2. 뒤의 말은 그르다.",
+    ],
+)
+def test_sound(text):
+    assert P.defect("What does the writer say of the farmer?" if text.isascii() and "farmer" in text else "다음 중 알맞은 것을 고르시오.", ["가", "나"], 1, text) is None
+
+
+@pytest.mark.parametrize("text", ["앞의 말은 (옳다고 볼 수 있다.", "그는 \"맞다고 말했다.", "코드는 ```print(1) 이다.", "식은 $$x = 1 이다.", "까닭은 이렇다.\n1. 앞의 말은 옳다.\n2.", "그 뜻은 <b>이렇다.", "「봄의 노래를 보면 알 수 있다."])
+def test_left_open(text):
+    assert P.defect("다음 중 알맞은 것을 고르시오.", ["가", "나"], 1, text) == "truncated"
+
+
+@pytest.mark.parametrize("text", ["죄송하지만 이 문제의 풀이는 제공해 드릴 수 없습니다.", "I'm sorry, but I can't help with that.", "I am unable to answer this question.", "저는 이 질문에 답변을 드릴 수 없습니다."])
+def test_declined(text):
+    assert P.defect("What is the main idea?" if text.isascii() else "중심 생각은 무엇인가?", ["가", "나"], 1, text) == "refusal"
+
+
+def slow_tiling(text, sources, least=4):
+    """By rounds over all common stretches, the longest first, with marks on the text."""
+    marks = [False] * len(text)
+    while True:
+        best = (0, 0)
+        for i in range(len(text)):
+            for s in sources:
+                for j in range(len(s)):
+                    n = 0
+                    while i + n < len(text) and j + n < len(s) and not marks[i + n] and text[i + n] == s[j + n]:
+                        n += 1
+                    if n > best[0]:
+                        best = (n, i)
+        if best[0] < least:
+            return "".join(c for c, m in zip(text, marks) if not m)
+        marks[best[1] : best[1] + best[0]] = [True] * best[0]
+
+
+def test_tiles_as_by_rounds():
+    draw = random.Random(2)
+    for _ in range(150):
+        text, sources = "".join(draw.choice("abc") for _ in range(draw.randrange(30))), ["".join(draw.choice("abc") for _ in range(draw.randrange(1, 25))) for _ in range(2)]
+        assert P.tile(text, sources)[0] == slow_tiling(text, sources)
+
+
+def test_tiling_of_equal_signs_is_quick():
+    start = time.time()
+    rest, covered = P.tile("가" * 20_000, ["가" * 20_000])
+    assert rest == "" and all(covered) and time.time() - start < 2
