@@ -2,9 +2,10 @@
 
 Running heads come from the pages themselves: what the first lines of a file's pages have in common. Page numbers are
 recognised by their form. What is left of a text is read through a noisy channel: for each word that the corpus doesn't
-know, candidates are the corpus words from which it can come by confusions (similar vowels, signs for letters, split
-syllables, look-alike Latin letters), and Viterbi decoding over the line weighs the confusion and the n-gram likelihood
-of the candidates, of the word as it stands and of their neighbours' classes.
+know, candidates are the corpus words from which it can come by a confusion (similar letters, signs for letters, split
+syllables, stray marks). How likely each confusion is gets estimated from the scanned texts themselves by expectation
+maximisation, from a prior by kinds; word pairs and words of the corpus that aren't from scans give the n-gram likelihood; and Viterbi decoding over each
+paragraph chooses between the candidates and the word as it stands, sound or misread beyond repair.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ import math
 
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 import regex
@@ -24,16 +26,19 @@ from moru.session import broadcast_if_small, checkpoint
 #: Words of the lexicon: all those read at least LEAST times and in SHARE of all words, so 1 / SHARE of them at the very most.
 #: It is broadcast; all other words are judged by their letters.
 LEAST, SHARE = 5, 2e-7
-#: A letter seen less often than this share of all letters is foreign to the corpus, given EVIDENCE letters in all.
-FOREIGN, EVIDENCE = 3e-7, 20_000
-
-# Fixed values of the channel: logarithms of the probability of an error in a word and of its kinds.
+#: The likelihood that a sound word has a letter, pair of letters or sign that the corpus doesn't have; and the count of one never seen.
+FOREIGN, UNSEEN = math.log(3e-7), 0.006
+#: Weight of a word's own share of the corpus beside its share after the word before it; of the latter each pair counts one
+#: less than it is seen, over the count of the word before and a few more, so that pairs seen once say nothing.
+ALONE, MORE = 0.5, 50
+
+# The prior of the channel, as logarithms of the probability of an error in a word and of its kinds, and
+# the occurrences of a letter that it weighs as much as. Rounds of estimation.
 ERROR = math.log(0.004)
 KINDS = {"sign": -1.0, "split": -1.0, "similar": math.log(1 / 4), "vowel": math.log(1 / 40), "jamo": math.log(1 / 400), "letter": math.log(1 / 3000)}
+PSEUDO, ROUNDS = 2000, 3
 #: Of the classes of neighbours: known word (0) or unknown word (1), the earlier one first.
 AFTER = {(0, 0): math.log(0.95), (0, 1): math.log(0.05), (1, 0): math.log(0.97), (1, 1): math.log(0.03)}
-#: Letters often taken for each other, as read and as meant.
-SIMILAR = {("디", "다"), ("시", "서"), ("논", "는"), ("예", "에"), ("헌", "한"), ("토", "로"), ("온", "은"), ("외", "의"), ("율", "을"), ("틀", "를"), ("파", "과"), ("기", "가"), ("히", "하"), ("려", "리"), ("저", "지"), ("징", "정"), ("언", "인"), ("고", "그"), ("뮬", "물")}
 LATIN_PAIRS = [("c", "e"), ("b", "h"), ("1", "l"), ("I", "l"), ("0", "o"), ("!", "i"), ("h", "b"), ("l", "i"), ("5", "s"), ("6", "b"), ("9", "g"), ("q", "g"), ("u", "v"), ("f", "t"), ("8", "B")]
 LATIN_GROUPS = [("m", "rn"), ("rn", "m"), ("d", "cl"), ("cl", "d"), ("vv", "w"), ("w", "vv"), ("li", "h"), ("h", "li"), ("nn", "m")]
 SIGNS = "�|※■□¦▯▮◆●"
@@ -52,7 +57,7 @@ PAGE_NO = regex.compile(
     rf"^[\s\p{{P}}|]*(?:(?:p|pp|page|쪽|면)\s*\.?\s*)?(?:제\s*)?{NUM}(?:\s*(?:/|of|-|／)\s*{NUM})?\s*(?:쪽|면|페이지|page)?[\s\p{{P}}|]*$|^[\s\p{{P}}]*[ivx]{{1,5}}[\s\p{{P}}]*$", regex.I
 )
 EDGE_NO = regex.compile(rf"^\s*[\p{{P}}]*\s*(?:p\.\s*)?{NUM}\s*(?:쪽|면)?\s*[\p{{P}}]*\s{{2,}}(?=\S)|(?<=\S)\s{{2,}}[\p{{P}}]*\s*(?:p\.\s*)?{NUM}(?:\s*/\s*{NUM})?\s*(?:쪽|면)?\s*[\p{{P}}]*\s*$")
-HEAD_FORM = regex.compile(r"^\W*(?:\d{4}\s*학.?도|.{0,24}\d{4}\s*학.?년?도)")
+BARE_NO, ROW_OF_VALUES = regex.compile(r"\s*\d+\s*"), regex.compile(r"\s*[\d.,%+−±|/\s-]*\d[\d.,%+−±|/\s-]*")
 NOT_LETTERS = regex.compile(r"[^\p{L}\p{N}]+")
 COUNTS = regex.compile(r"[0-9lIO]|[ivx]")
 READABLE = regex.compile(r"\p{L}|[" + SIGNS + "]")
@@ -76,17 +81,16 @@ def grams(s: str) -> set[str]:
 
 
 def is_head(line: str, heads: list[set[str]]) -> bool:
-    """``line`` repeats one of the file's heads, perhaps longer, shorter or misread; or has the form of one."""
-    if len(line) > 80 or not (heads or HEAD_FORM.match(EDGE_NO.sub("", line))) or SENTENCE_END.search(line.rstrip(" )）]")):
+    """``line`` repeats one of the file's heads, perhaps longer, shorter or misread."""
+    if not heads or SENTENCE_END.search(line.rstrip(" )）]")):
         return False
     g = grams(bare_head(line))
-    if len(g) < 4:
-        return False
-    return any(len(g & h) >= 0.6 * min(len(g), len(h)) and len(g & h) >= 0.45 * max(len(g), len(h)) for h in heads) or bool(HEAD_FORM.match(EDGE_NO.sub("", line)))
+    return len(g) >= 4 and any(len(g & h) >= 0.6 * min(len(g), len(h)) and len(g & h) >= 0.45 * max(len(g), len(h)) for h in heads)
 
 
 def furniture(lines: list[str], heads: list[set[str]]) -> list[set[str]]:
-    """For each line, whether it is a ``header`` or ``pageno``. Numbers that count 1, 2, 3 ... before lines of a list are none."""
+    """For each line, whether it is a ``header`` or ``pageno``. Numbers that count 1, 2, 3 ... before lines of a list are none,
+    nor are bare numbers beside a row of values."""
     out = []
     for x in lines:
         k: set[str] = set()
@@ -101,13 +105,29 @@ def furniture(lines: list[str], heads: list[set[str]]) -> list[set[str]]:
     if len(counted) >= 3 and [n for _, n in counted] == list(range(counted[0][1], counted[0][1] + len(counted))):
         for i, _ in counted:
             out[i] = set()
+    rows = [bool(ROW_OF_VALUES.fullmatch(x)) for x in lines]
+    for i, (x, k) in enumerate(zip(lines, out)):
+        if k == {"pageno"} and BARE_NO.fullmatch(x) and (i and rows[i - 1] or i + 1 < len(lines) and rows[i + 1]):
+            out[i] = set()
     return out
 
 
+class State(NamedTuple):
+    """What a word can be: its spelling, likelihood, class (0 known, 1 unknown), and whether that makes it misread."""
+
+    word: str
+    score: float
+    kind: int
+    misread: bool
+
+
 class Model:
-    """The lexicon and the letters of unknown words."""
+    """The lexicon, the letters of unknown words, and the channel.
+
+    ``edits`` are the expected numbers of confusions ``(read, meant)`` in ``scanned`` words of scanned texts.
+    """
 
-    def __init__(self, words: dict[str, int], total: int, letters: dict[str, int]) -> None:
+    def __init__(self, words: dict[str, int], total: int, letters: dict[str, int], edits: dict[tuple[str, str], float] | None = None, scanned: int = 0) -> None:
         self.total = max(total, 1)
         self.words = words
         self.letters = Counter(letters)
@@ -117,20 +137,26 @@ class Model:
             for g in pieces(w):
                 known[g] += n
         self.seen = known + self.letters
-        self.n_seen = sum(n for g, n in self.seen.items() if len(g) == 1)
-        self.enough = self.n_seen >= EVIDENCE
+        self.n_seen = max(1, sum(n for g, n in self.seen.items() if len(g) == 1))
         self.unknown = math.log(max(1, self.total - sum(words.values())) / self.total)
+        self.edits, self.scanned = edits or {}, scanned
         self.patterns: dict[str, list[str]] = defaultdict(list)
         for w in words:
-            if len(w) <= 16:
-                for i in range(len(w)):
-                    self.patterns[w[:i] + "\0" + w[i + 1 :]].append(w)
-        self.memory: dict[str, list[tuple[str, float, int]]] = {}
+            for i in range(len(w)):
+                self.patterns[w[:i] + "\0" + w[i + 1 :]].append(w)
+        self.memory: dict[tuple[str, bool], list[State]] = {}
+
+    def parts(self) -> tuple:
+        """What a worker makes the model of."""
+        return self.words, self.total, dict(self.letters), self.edits, self.scanned
 
     def known(self, w: str) -> float | None:
-        n = self.words.get(w) or self.words.get(w.lower()) or self.words.get(w.capitalize())
+        n = self.count(w)
         return math.log(n / self.total) if n else None
 
+    def count(self, w: str) -> int:
+        return self.words.get(w) or self.words.get(w.lower()) or self.words.get(w.capitalize()) or 0
+
     def as_unknown(self, w: str) -> float:
         """The likelihood of an unknown word by its letters; of a Latin letter after another by the two."""
         out, last = self.unknown, ""
@@ -144,94 +170,113 @@ class Model:
             last = c if latin else ""
         return out
 
-    def foreign(self, w: str) -> bool:
-        """``w`` has a letter, or two Latin letters in a row, that the corpus doesn't have."""
-        if not self.enough:
-            return False
-        least = max(1.0, FOREIGN * self.n_seen)
-        return any(self.seen[g] < least for g in pieces(w) if len(g) == 2 or "가" <= g <= "힣")
+    def strange(self, w: str) -> float:
+        """By how much less likely a sound word has the signs and letters of ``w`` than a misread one."""
+        out = FOREIGN * (len(BROKEN.findall(w)) + len(OI.findall(w)))
+        if WORD_LIKE.fullmatch(w):
+            out += sum(min(0.0, math.log((self.seen[g] or UNSEEN) / self.n_seen) - FOREIGN) for g in pieces(w) if len(g) == 2 or "가" <= g <= "힣")
+        return out
+
+    def cost(self, kind: str, read: str = "", meant: str = "") -> float:
+        """The likelihood of the confusion: expected from the scanned texts, by its kind's prior where they say little."""
+        of = self.seen[meant.lower()] * self.scanned / self.total if len(meant) == 1 else self.scanned
+        return math.log((PSEUDO * math.exp(ERROR + KINDS[kind]) + self.edits.get((read, meant), 0.0)) / (PSEUDO + of))
 
-    def channel(self, read: str, meant: str) -> float | None:
+    def channel(self, read: str, meant: str) -> tuple[str, str, str] | None:
+        """The confusion ``(kind, read, meant)`` by which one letter is read as another, if there is one."""
         if read in SIGNS:
-            return KINDS["sign"]
-        if (read, meant) in SIMILAR:
-            return KINDS["similar"]
+            return "sign", "", ""
         if "가" <= read <= "힣" and "가" <= meant <= "힣":
             a, b = ord(read) - 0xAC00, ord(meant) - 0xAC00
             differ = (a // 588 != b // 588, a // 28 % 21 != b // 28 % 21, a % 28 != b % 28)
-            return (KINDS["vowel"] if differ[1] else KINDS["jamo"]) if sum(differ) == 1 else None
+            return "letter" if sum(differ) > 1 else "vowel" if differ[1] else "jamo", read, meant
         if meant.isascii() and meant.isalpha():
             if (read.lower(), meant.lower()) in LATIN_SET or (read, meant) in LATIN_SET:
-                return KINDS["similar"]
-            return KINDS["letter"] if read.isascii() and read.isalpha() and read.lower() != meant.lower() else None
+                return "similar", read, meant
+            return ("letter", read, meant) if read.isascii() and read.isalpha() and read.lower() != meant.lower() else None
         return None
 
-    def states(self, w: str) -> list[tuple[str, float, int]]:
-        """What ``w`` can be: ``(word, likelihood, class)``, first the word as it stands."""
-        got = self.memory.get(w)
+    def options(self, w: str) -> Iterator[tuple[str, tuple[str, str, str]]]:
+        """The corpus words that ``w`` can be misread for, each with its confusion."""
+        joined = SPLIT.sub(compose, w)
+        if joined != w:
+            yield joined, ("split", "", "")
+        if OI.search(w):
+            yield OI.sub("이", w), ("split", "", "")
+        for i in range(len(w)):
+            for c in self.patterns.get(w[:i] + "\0" + w[i + 1 :], ()):
+                if edit := self.channel(w[i], c[i]):
+                    yield c, edit
+        if HAS_LATIN.search(w):
+            for read, meant in LATIN_GROUPS:
+                at = w.find(read)
+                while at >= 0:
+                    yield w[:at] + meant + w[at + len(read) :], ("similar", read, meant)
+                    at = w.find(read, at + 1)
+
+    def states(self, w: str, stray: bool = False) -> list[State]:
+        """What ``w`` can be, first the word as it stands; ``stray``: with a quotation mark that closes nothing."""
+        got = self.memory.get((w, stray))
         if got is not None:
             return got
         p = self.known(w)
-        if p is not None:
-            out = [(w, p, 0)]
+        if stray:
+            out = [State(w, self.as_unknown(w) + FOREIGN, 1, False)]
+            out += [State(x.word, x.score + self.cost("sign"), x.kind, True) for x in self.states(STRAY.sub("", w))]
+        elif p is not None:
+            out = [State(w, p, 0, False)]
         else:
-            out = [(w, self.as_unknown(w), 1)]
-            options: dict[str, float] = {}
-
-            def offer(c: str, cost: float) -> None:
-                q = self.known(c)
-                if q is not None:
-                    options[c] = max(options.get(c, -1e9), q + cost + ERROR)
-
-            joined = SPLIT.sub(compose, w)
-            if joined != w:
-                offer(joined, KINDS["split"])
-            if OI.search(w):
-                offer(OI.sub("이", w), KINDS["split"])
-            if len(w) <= 16:
-                for i in range(len(w)):
-                    for c in self.patterns.get(w[:i] + "\0" + w[i + 1 :], ()):
-                        if (cost := self.channel(w[i], c[i])) is not None:
-                            offer(c, cost)
-            if HAS_LATIN.search(w):
-                for read, meant in LATIN_GROUPS:
-                    at = w.find(read)
-                    while at >= 0:
-                        offer(w[:at] + meant + w[at + len(read) :], KINDS["similar"])
-                        at = w.find(read, at + 1)
-            out += sorted(((c, s, 0) for c, s in options.items()), key=lambda x: -x[1])[:8]
+            by_letters, strange = self.as_unknown(w), self.strange(w)
+            out = [State(w, by_letters + strange, 1, False)]
+            if strange < 0:
+                out.append(State(OI.sub("이", SPLIT.sub(compose, w)), by_letters, 1, True))
+            best: dict[str, float] = {}
+            for c, edit in self.options(w):
+                if edit[0] == "letter" and "가" <= edit[1] <= "힣" and edit[1:] not in self.edits:
+                    continue  # syllables of several other jamo are taken for each other only where the scanned texts show it
+                if (q := self.known(c)) is not None:
+                    best[c] = max(best.get(c, -math.inf), q + self.cost(*edit))
+            out += [State(c, x, 0, True) for c, x in best.items()]
         if len(self.memory) > 300_000:
             self.memory.clear()
-        self.memory[w] = out
+        self.memory[w, stray] = out
         return out
 
-    def decode(self, words: list[str]) -> list[str]:
-        """The most likely words behind ``words``, by Viterbi."""
-        out: list[str] = []
-        score, before, back = [0.0], [("", 0.0, 0)], []
-        for w in words:
-            now = self.states(w)
+    def step(self, a: State, b: State, pairs: dict[tuple[str, str], int]) -> float:
+        """The likelihood of ``b`` after ``a``: of known words by their pair, backed off to the word alone."""
+        if a.kind or b.kind:
+            return AFTER[a.kind, b.kind] + b.score
+        seen = max(0, pairs.get((a.word, b.word), 0) - 1)
+        own = self.count(b.word) / self.total
+        return AFTER[0, 0] + b.score + math.log((1 - ALONE) * seen / (max(seen, self.count(a.word)) + MORE) / own + ALONE)
+
+    def decode(self, words: list[tuple[str, bool]], pairs: dict[tuple[str, str], int]) -> list[State]:
+        """The most likely states behind ``words``, by Viterbi."""
+        out: list[State] = []
+        score, before, back = [0.0], [State("", 0.0, 1, False)], []
+        for w, stray in words:
+            now = self.states(w, stray)
             if len(now) == 1 and len(before) == 1:  # nothing to choose
                 if back:
                     out += self._best(score, back)
                     back = []
-                out.append(w)
+                out.append(now[0])
                 score, before = [0.0], now
                 continue
             new, link = [], []
-            for _, p, k in now:
-                best = max(range(len(before)), key=lambda i: score[i] + AFTER[before[i][2], k])
-                new.append(score[best] + AFTER[before[best][2], k] + p)
-                link.append(best)
+            for b in now:
+                steps = [x + self.step(a, b, pairs) for x, a in zip(score, before)]
+                link.append(max(range(len(steps)), key=steps.__getitem__))
+                new.append(steps[link[-1]])
             back.append((now, link))
             before, score = now, new
         return out + self._best(score, back) if back else out
 
     @staticmethod
-    def _best(score: list[float], back: list[tuple[list[tuple[str, float, int]], list[int]]]) -> list[str]:
+    def _best(score: list[float], back: list[tuple[list[State], list[int]]]) -> list[State]:
         out, at = [], max(range(len(score)), key=lambda i: score[i])
         for now, link in reversed(back):
-            out.append(now[at][0])
+            out.append(now[at])
             at = link[at]
         return out[::-1]
 
@@ -255,21 +300,23 @@ def compose(m: regex.Match) -> str:
     return chr(0xAC00 + LEAD.index(a) * 588 + (ord(v) - 0x314F) * 28 + (TAIL.index(t) + 1 if t and t in TAIL else 0))
 
 
-def certain(core: str, model: Model) -> bool:
-    """``core`` holds signs that only stand for letters: split syllables, signs within a word, letters foreign to the corpus."""
-    if BROKEN.search(core) or OI.search(core):
-        return True
-    return bool(WORD_LIKE.fullmatch(core)) and model.foreign(core)
+def divided(left: str, right: str, model: Model) -> str:
+    """The word that a line end divides after the hyphen of ``left``: with it where the corpus has the word or both halves so, and not the word without it."""
+    a, b = left.split()[-1].lstrip(EDGE), right.split()[0].rstrip(EDGE)
+    if model.count(a[:-1] + b) or not a[-2:-1].isascii():
+        return left[:-1] + right
+    with_it = model.count(a[:-1] + "-" + b) or model.count(a[:-1]) and model.count(b)
+    return left[:-1] + "-" + right if with_it else left[:-1] + right
 
 
-def mend(text: str, heads: list[set[str]], model: Model) -> tuple[set[str], str]:
-    """The kinds of noise in ``text`` and the text as continuous paragraphs."""
+def paragraphs(text: str, heads: list[set[str]], model: Model) -> tuple[set[str], list[str]]:
+    """The kinds of noise in the lines of ``text``, and its paragraphs without them."""
     lines = text.split("\n")
     kinds = furniture(lines, heads)
     found: set[str] = set().union(*kinds)
     body = [x for x, k in zip(lines, kinds) if not k]
     width = max([len(x.rstrip()) for x in body], default=0)
-    paragraphs, current = [], ""
+    out, current = [], ""
     for x in body:
         x = x.strip(" \t\r")
         if not current:
@@ -278,42 +325,65 @@ def mend(text: str, heads: list[set[str]], model: Model) -> tuple[set[str], str]
         tail = current[-1]
         if tail in HYPHENS and len(current) > 1 and current[-2].isalpha() and x[:1].isalpha():
             found.add("hyphen")
-            current = current[:-1] + x
+            current = divided(current, x, model)
         elif not x or (current[-1] in ".?!" and len(current.rsplit("\1", 1)[-1]) < 0.7 * width):
-            paragraphs.append(current)
+            out.append(current)
             current = x
         else:
             current += " \1" + x
-    paragraphs.append(current)
+    out.append(current)
+    return found, [p.replace("\1", "") for p in out]
+
+
+def cores(tokens: list[str]) -> list[tuple[str, bool]]:
+    """The words within ``tokens``, without the signs around them; and whether a quotation mark in one closes nothing."""
+    out, quoted = [], False
+    for t in tokens:
+        stray = False
+        if any(q in t for q in QUOTES):
+            quoted = quoted or t.lstrip("([{<").startswith(tuple(QUOTES))
+            stray = not quoted and bool(STRAY.search(t))
+            if not stray and (t.rstrip(".,)]}>").endswith(tuple(QUOTES)) or regex.search(r"['’](?=[가-힣])", t)):
+                quoted = False
+        out.append((t.rstrip(".,").lstrip(EDGE_LEFT) if stray else t.rstrip(EDGE).lstrip(EDGE_LEFT), stray))
+    return out
+
+
+def readable(words: list[tuple[str, bool]], model: Model) -> list[int]:
+    """The places of ``words`` that are decoded; none where the corpus knows all of them."""
+    if all(not c or c in model.words and not stray for c, stray in words):
+        return []
+    return [i for i, (c, _) in enumerate(words) if c and (c in model.words or READABLE.search(c))]
+
+
+def mend(text: str, heads: list[set[str]], model: Model, pairs: dict[tuple[str, str], int]) -> tuple[set[str], str]:
+    """The kinds of noise in ``text`` and the text as continuous paragraphs."""
+    found, body = paragraphs(text, heads, model)
     out = []
-    for p in paragraphs:
-        tokens = p.replace("\1", "").split()
-        if any(q in p for q in QUOTES):
-            quoted = False
-            for i, t in enumerate(tokens):
-                quoted = quoted or t.lstrip("([{<").startswith(tuple(QUOTES))
-                if not quoted and STRAY.search(t):  # a quotation mark that closes nothing
-                    tokens[i] = STRAY.sub("", t)
-                    found.add("misread")
-                elif t.rstrip(".,)]}>").endswith(tuple(QUOTES)) or regex.search(r"['’](?=[가-힣])", t):
-                    quoted = False
-        cores = [t.rstrip(EDGE).lstrip(EDGE_LEFT) for t in tokens]
-        if all(not c or c in model.words for c in cores):
-            out.append(" ".join(tokens))
-            continue
-        read = [i for i, c in enumerate(cores) if c and (c in model.words or READABLE.search(c))]
-        meant = model.decode([cores[i] for i in read])
-        for i, m in zip(read, meant):
-            if m != cores[i]:
-                tokens[i] = tokens[i].replace(cores[i], m, 1)
-                found.add("misread")
-            elif m not in model.words and certain(m, model):
-                tokens[i] = tokens[i].replace(m, OI.sub("이", SPLIT.sub(compose, m)), 1)
+    for p in body:
+        tokens = p.split()
+        words = cores(tokens)
+        read = readable(words, model)
+        for i, m in zip(read, model.decode([words[i] for i in read], pairs)):
+            if m.misread:
+                tokens[i] = tokens[i].replace(words[i][0], m.word, 1)
                 found.add("misread")
         out.append(" ".join(tokens))
     return found, "\n".join(x for x in out if x)
 
 
+def unsure(text: str, heads: list[set[str]], model: Model) -> set[tuple[str, str]]:
+    """The pairs of known words between which the decoding of ``text`` may choose."""
+    out = set()
+    for p in paragraphs(text, heads, model)[1]:
+        words = cores(p.split())
+        states = [model.states(*words[i]) for i in readable(words, model)]
+        for a, b in zip(states, states[1:]):
+            if len(a) > 1 or len(b) > 1:
+                out |= {(x.word, y.word) for x in a if not x.kind for y in b if not y.kind}
+    return out
+
+
 def is_pdf(source_file: str = "metadata.source_file"):
     return F.lower(F.trim(F.col(source_file))).endswith(".pdf")
 
@@ -326,19 +396,25 @@ def _word_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()), pa.array(list(c.values()), pa.int64())], ["piece", "n"])
 
 
+def clean_texts(items: DataFrame) -> DataFrame:
+    """The items that aren't from scanned pages, or all where there are none."""
+    clean = items.where(~F.coalesce(is_pdf(), F.lit(False)))
+    return items if clean.isEmpty() else clean
+
+
 def model_of(items: DataFrame) -> Model:
     """The model, counted over the texts that aren't from scanned pages (over all where those are too few to be one)."""
-    clean = items.where(~F.coalesce(is_pdf(), F.lit(False)))
-    texts = items if clean.isEmpty() else clean
-    tokens = texts.select(F.explode(F.split(F.concat_ws(" ", "passage", "question"), r"\s+")).alias("t")).groupBy("t").agg(F.count("*").alias("n"))
-    edge = "[" + regex.sub(r"([\[\]\\^*.\-])", r"\\\1", EDGE) + "]+"
-    words = tokens.select(F.regexp_replace("t", f"^{edge}|{edge}$", "").alias("w"), "n").where("w <> ''").groupBy("w").agg(F.sum("n").alias("n"))
+    tokens = clean_texts(items).select(F.explode(F.split(F.concat_ws(" ", "passage", "question"), r"\s+")).alias("t")).groupBy("t").agg(F.count("*").alias("n"))
+    words = tokens.select(F.btrim("t", F.lit(EDGE)).alias("w"), "n").where("w <> ''").groupBy("w").agg(F.sum("n").alias("n"))
     words = checkpoint(words)
     total = words.agg(F.sum("n")).head()[0] or 0
     least = max(LEAST, SHARE * total)
     lexicon = sorted(words.where(F.col("n") >= least).collect(), key=lambda r: (-r.n, r.w))
-    letters = words.where(F.col("n") < least).select("w").mapInArrow(_word_pieces, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n")).collect()
-    return Model({r.w: r.n for r in lexicon}, total, {r.piece: r.n for r in letters})
+    rare = words.where(F.col("n") < least)
+    letters = rare.select("w").mapInArrow(_word_pieces, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n")).collect()
+    model = Model({r.w: r.n for r in lexicon}, total, {r.piece: r.n for r in letters})
+    model.rare = rare
+    return model
 
 
 def heads_of(pages: DataFrame) -> DataFrame:
@@ -353,13 +429,125 @@ def heads_of(pages: DataFrame) -> DataFrame:
     return ranked.groupBy("source_file").agg(F.array_sort(F.collect_list("head")).alias("heads"))  # at most six of a file
 
 
+def _grams(heads: list[str] | None) -> list[set[str]]:
+    return [grams(x) for x in heads or []]
+
+
+def _unknown(held):
+    """``w, n`` for the words of the texts that the corpus doesn't know; the number of all words under ''."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = _model(held)
+        for batch in batches:
+            c: Counter[str] = Counter()
+            for p, q, h in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3))):
+                for x in [x for t in (p, q) if t for x in paragraphs(t, _grams(h), model)[1]]:
+                    words = [w for w, stray in cores(x.split()) if w and not stray]
+                    c[""] += len(words)
+                    c.update(w for w in words if model.known(w) is None and READABLE.search(w))
+            yield pa.RecordBatch.from_arrays([pa.array([*c], pa.string()), pa.array([*c.values()], pa.int64())], ["w", "n"])
+
+    return run
+
+
+_OPTION = "struct<base:double,kind:string,read:string,meant:string>"
+
+
+def _aligned(held):
+    """``n, own, options`` of unknown words: their likelihood as they stand, and the confusions that would explain them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = _model(held)
+        kind = pa.list_(pa.struct([("base", pa.float64()), ("kind", pa.string()), ("read", pa.string()), ("meant", pa.string())]))
+        for batch in batches:
+            n, own, options = [], [], []
+            for w, k in zip(*(c.to_pylist() for c in batch.columns)):
+                got = [{"base": q + AFTER[0, 0], "kind": e[0], "read": e[1], "meant": e[2]} for c, e in model.options(w) if (q := model.known(c)) is not None]
+                if got:
+                    n.append(k)
+                    own.append(model.as_unknown(w) + AFTER[0, 1])
+                    options.append(got)
+            yield pa.RecordBatch.from_arrays([pa.array(n, pa.int64()), pa.array(own, pa.float64()), pa.array(options, kind)], ["n", "own", "options"])
+
+    return run
+
+
+def _expected(held):
+    """``read, meant, n, sound``: how many of each confusion the channel as it is expects behind the unknown words, and as many
+    as it would expect by chance, from the sound ones (with a negative ``n``)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = _model(held)
+        for batch in batches:
+            c: Counter[tuple[str, str]] = Counter()
+            chance: Counter[tuple[str, str]] = Counter()
+            for n, own, options in zip(*(x.to_pylist() for x in batch.columns)):
+                weight = [math.exp(min(700.0, o["base"] + model.cost(o["kind"], o["read"], o["meant"]) - own)) for o in options]
+                for o, x in zip(options, weight):
+                    (c if n > 0 else chance)[o["read"], o["meant"]] += x / (1 + sum(weight))  # a confusion shows in many words, a name in one
+            keys = [*{**c, **chance}]
+            cols = [pa.array([k[i] for k in keys], pa.string()) for i in (0, 1)] + [pa.array([x[k] for k in keys], pa.float64()) for x in (c, chance)]
+            yield pa.RecordBatch.from_arrays(cols, ["read", "meant", "n", "sound"])
+
+    return run
+
+
+def learned(model: Model, src: DataFrame) -> Model:
+    """``model`` with a channel estimated from the scanned texts ``src`` by expectation maximisation.
+
+    Only distinct unknown words are aligned, once; each round passes over their alignments without a shuffle but for the sums.
+    Names resemble other names without being misread, so what the rare words of sound texts would give, scaled to the
+    scanned ones, and two deviations of it, is taken off. What comes to the driver are the confusions that this leaves, expected at
+    least in two words each: at most half as many as there are unknown scanned words, in practice some hundred.
+    """
+    context = src.sparkSession.sparkContext
+    held = _Held(context.broadcast(model.parts()))
+    words = checkpoint(src.mapInArrow(_unknown(held), "w string, n long").groupBy("w").agg(F.sum("n").alias("n")))
+    model.scanned = (words.where("w = ''").agg(F.sum("n")).head()[0]) or 0
+    sound = model.rare.select("w", (-F.col("n")).alias("n"))
+    aligned = checkpoint(words.where("w <> ''").unionByName(sound).mapInArrow(_aligned(held), f"n long, own double, options array<{_OPTION}>"))
+    chance = F.col("sound") * (model.scanned / model.total)
+    for _ in range(ROUNDS):
+        held = _Held(context.broadcast(model.parts()))
+        sums = aligned.mapInArrow(_expected(held), "read string, meant string, n double, sound double").groupBy("read", "meant").agg(F.sum("n").alias("n"), F.sum("sound").alias("sound"))
+        sums = sums.select("read", "meant", (F.col("n") - chance - 2 * F.sqrt(chance)).alias("n"))
+        model.edits = {(r.read, r.meant): r.n for r in sums.where("n >= 2").collect()}
+    return model
+
+
+def _pairs_needed(held):
+    """``key, a, b``: the word pairs between which the decoding of a row may choose."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = _model(held)
+        for batch in batches:
+            rows = [(k, a, b) for k, p, q, h in zip(*(c.to_pylist() for c in batch.columns)) for a, b in {x for t in (p, q) if t for x in unsure(t, _grams(h), model)}]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.string())], ["key", "a", "b"])
+
+    return run
+
+
+def pair_counts(items: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
+    """``a, b, n`` of those of the ``n`` pairs ``wanted`` (``a, b``) that the corpus has."""
+    words = F.filter(F.transform(F.split(F.concat_ws(" ", "passage", "question"), r"\s+"), lambda t: F.btrim(t, F.lit(EDGE))), lambda t: t != "")
+    pairs = clean_texts(items).select(words.alias("ws")).where(F.size("ws") > 1)
+    pairs = pairs.select(F.explode(F.expr("arrays_zip(slice(ws, 1, size(ws) - 1), slice(ws, 2, size(ws) - 1))")).alias("p")).toDF("p").select(F.col("p.0").alias("a"), F.col("p.1").alias("b"))
+    return pairs.join(broadcast_if_small(wanted, n), ["a", "b"], "left_semi").groupBy("a", "b").agg(F.count("*").alias("n"))
+
+
 def _mended(items: DataFrame, pages: DataFrame, run, schema: str, id_col: str) -> DataFrame:
     src = items.select(F.col(id_col).alias("item_id"), "passage", "question", F.col("metadata.source_file").alias("source_file"))
     src = src.where(is_pdf("source_file") & (F.col("passage").isNotNull() | F.col("question").isNotNull()))
     heads = checkpoint(heads_of(pages.select("source_file", "text").where("source_file is not null")))
-    src = src.join(broadcast_if_small(heads, heads.count(), 100_000), "source_file", "left").select("item_id", "passage", "question", "heads")
-    model = model_of(items)
-    held = items.sparkSession.sparkContext.broadcast((model.words, model.total, dict(model.letters)))
+    src = src.join(broadcast_if_small(heads, heads.count(), 100_000), "source_file", "left").select(F.xxhash64("passage", "question", "source_file").alias("key"), "item_id", "passage", "question", "heads")
+    model = learned(model_of(items), src.select("item_id", "passage", "question", "heads"))
+    held = _Held(items.sparkSession.sparkContext.broadcast(model.parts()))
+    needed = checkpoint(src.select("key", "passage", "question", "heads").mapInArrow(_pairs_needed(held), "key long, a string, b string").distinct())
+    wanted = checkpoint(needed.select("a", "b").distinct())
+    counted = checkpoint(pair_counts(items, wanted, wanted.count()))
+    of_row = needed.join(broadcast_if_small(counted, counted.count()), ["a", "b"]).groupBy("key").agg(F.collect_list(F.struct("a", "b", "n")).alias("pairs"))  # the pairs of one text
+    of_row = checkpoint(of_row)
+    src = src.join(broadcast_if_small(of_row, of_row.count(), 20_000), "key", "left").select("item_id", "passage", "question", "heads", "pairs")
     return src.mapInArrow(run(held), schema)
 
 
@@ -393,25 +581,28 @@ def _held(broadcast, key) -> _Held:
     return out
 
 
+def _pairs_of(rows: list[dict] | None) -> dict[tuple[str, str], int]:
+    return {(r["a"], r["b"]): r["n"] for r in rows or []}
+
+
 def noise(items: DataFrame, pages: DataFrame, id_col: str = "item_id") -> DataFrame:
     """``item_id, field, noise``: each kind of noise in each field of the items from PDF files, once.
 
-    The model is counted over all items in one aggregation; the items of PDF files take one pass beside a join with the
-    heads of their file, which is broadcast if there are few files. Null and blank fields have no noise, items without a
+    The model is counted over all items in one aggregation and its channel estimated from the distinct unknown words of the
+    scanned texts. Word pairs are counted only where the decoding needs them, and go to the rows by a join. The heads of
+    the files are broadcast if there are few. Null and blank fields have no noise, items without a
     file aren't from one, files without pages are judged by the form of their lines. Second deliveries add nothing.
     """
     item = items.schema[id_col].dataType.simpleString()
 
-    def run(broadcast):
-        held = _Held(broadcast)
-
+    def run(held):
         def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             model = _model(held)
             for batch in batches:
                 rows = []
-                for i, p, q, h in zip(*(c.to_pylist() for c in batch.columns)):
-                    heads = [grams(x) for x in h or []]
-                    rows += [(i, f, k) for f, t in (("passage", p), ("question", q)) if t for k in mend(t, heads, model)[0]]
+                for i, p, q, h, n in zip(*(c.to_pylist() for c in batch.columns)):
+                    heads, pairs = _grams(h), _pairs_of(n)
+                    rows += [(i, f, k) for f, t in (("passage", p), ("question", q)) if t for k in mend(t, heads, model, pairs)[0]]
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], batch.schema.field(0).type), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.string())], ["item_id", "field", "noise"])
 
         return go
@@ -423,14 +614,12 @@ def repaired(items: DataFrame, pages: DataFrame, id_col: str = "item_id") -> Dat
     """``item_id, passage, question`` of the items from PDF files as continuous, corrected paragraphs; null fields stay null."""
     item = items.schema[id_col].dataType.simpleString()
 
-    def run(broadcast):
-        held = _Held(broadcast)
-
+    def run(held):
         def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             model = _model(held)
             for batch in batches:
-                heads = [[grams(x) for x in h or []] for h in batch.column(3).to_pylist()]
-                cols = [pa.array([None if t is None else mend(t, h, model)[1] for t, h in zip(batch.column(k).to_pylist(), heads)], pa.string()) for k in (1, 2)]
+                heads, pairs = [_grams(h) for h in batch.column(3).to_pylist()], [_pairs_of(n) for n in batch.column(4).to_pylist()]
+                cols = [pa.array([None if t is None else mend(t, h, model, n)[1] for t, h, n in zip(batch.column(k).to_pylist(), heads, pairs)], pa.string()) for k in (1, 2)]
                 yield pa.RecordBatch.from_arrays([batch.column(0), *cols], ["item_id", "passage", "question"])
 
         return go

@@ -48,3 +48,22 @@ def test_every_word_counts(spark):
     model = S.model_of(spark.createDataFrame(rows, "item_id long, passage string, question string, metadata struct<source_file:string>"))
     assert len(model.words) == 100_010 and model.total == 5 * 100_010 + 2
     assert model.letters["쀓"] == 50 and model.letters["드"] == 1
+
+
+def test_hyphens_and_tables():
+    model = S.Model({"well": 9, "known": 9, "wellknit": 9, "깊이를": 9, "long": 9, "term": 9}, 100, {})
+    assert S.divided("a well-", "known b", model) == "a well-known b" and S.divided("well-", "knit", model) == "wellknit"
+    assert S.divided("깊-", "이를", model) == "깊이를" and S.divided("un-", "seen", model) == "unseen"
+    assert S.furniture(["값", "12", "3.5 | 8", "글"], []) == [set()] * 4
+    assert S.furniture(["글", "12", "글"], []) == [set(), {"pageno"}, set()]
+
+
+def test_confusions_are_learned(spark):
+    """A confusion that no prior favours is corrected once the scanned texts show it in several words; names aren't."""
+    words = [a + b for a in "강산들물길밤빛숲섬별" for b in "까투"]
+    clean = [(i, " ".join(words[(i + k) % 20] for k in range(20)) + f" {NAMES[i % 27]}", None, ("x.jsonl",)) for i in range(400)]
+    scans = [(1000 + i, f"{words[i % 20]} {words[(i + 1) % 20].replace('까', '뵤')} {words[(i + 4) % 20]} {NAMES[i % 27]}", None, ("a.pdf",)) for i in range(200)]
+    df = spark.createDataFrame(clean + scans, "item_id long, passage string, question string, metadata struct<source_file:string>")
+    pages = spark.createDataFrame([], "source_file string, page_no int, text string")
+    assert {r.item_id for r in S.noise(df, pages).collect()} == {i for i, p, _, _ in scans if "뵤" in p}
+    assert all("뵤" not in r.passage for r in S.repaired(df, pages).collect())
