@@ -11,7 +11,7 @@ from moru.functions import text as T
 STEP = r"step\s+(\d+)\s*\|\s*loss\s+([\d.]+|nan|inf)\s*\|\s*lr\s+([\d.eE+-]+)\s*\|\s*([\d,]+)\s*tok/s"
 EVAL = r"eval\s+step=(\d+)\s+loss=([\d.]+)\s+ppl=([\d.]+)"
 SAVED = r"Checkpoint saved → (\S+)"
-ERROR = r"(?i)error|traceback|❌"
+ERROR = r"⚠|✗"
 
 
 def parse(df: DataFrame, line: str = "line") -> DataFrame:
@@ -36,7 +36,9 @@ def once_a_step(metrics: DataFrame, *order: str) -> DataFrame:
 
 
 def history(metrics: DataFrame, by: list[str] | None = None, last: int = 100, line: int = 20) -> DataFrame:
-    """For each step the least, mean and latest loss of the ``last`` steps, their number, and a line of the last ``line``."""
+    """For each step the least, mean and latest loss of the ``last`` steps, their number, and a line of the last ``line``.
+
+    Steps are ordered within each run ``by``; without it all rows are one run, whose steps go through one task."""
     w = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
     w = w.orderBy("step")
     back = w.rowsBetween(-(last - 1), 0)

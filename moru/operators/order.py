@@ -1,7 +1,7 @@
 """A total order over lines without a single-task window.
 
 A running total is made of two passes: totals of blocks, whose running sums are few rows, and the running sum within
-each block. Blocks are ranges of the order key, so a shuffle by block keeps every task bounded.
+each block. Blocks are range partitions of the rows, so their sizes are alike however the key's values lie.
 """
 
 from __future__ import annotations
@@ -12,14 +12,16 @@ from pyspark.sql import functions as F
 from moru.session import checkpoint
 
 
-def running_total(df: DataFrame, amount: Column, order: str, name: str, block_rows: int = 100_000, by: list[str] | None = None) -> DataFrame:
-    """``df`` with ``name``: the sum of ``amount`` over the rows before this one in the order of ``order`` (unique, numeric) among rows with the same ``by``.
+def running_total(df: DataFrame, amount: Column, order: str, name: str, block_rows: int | None = None, by: list[str] | None = None) -> DataFrame:
+    """``df`` with ``name``: the sum of ``amount`` over the rows before this one in the order of ``order`` (unique) among rows with the same ``by``.
 
-    The rows are split into blocks of at most ``block_rows`` values of ``order``; only the blocks' totals are summed in order.
+    The rows are split into ranges of about ``block_rows`` rows, or into as many as a shuffle has partitions, and written once, as range bounds are sampled anew by
+    every run of a plan; only the ranges' totals, a row each, are summed in order.
     """
     by = by or []
-    block = F.floor(F.col(order) / block_rows)
-    rows = df.withColumn("__block", block).withColumn("__amount", amount)
+    parts = max(1, -(-df.count() // block_rows)) if block_rows else None
+    ranged = df.repartitionByRange(*([parts] if parts else []), *by, order)
+    rows = checkpoint(ranged.withColumn("__block", F.spark_partition_id()).withColumn("__amount", amount))
     totals = rows.groupBy(*by, "__block").agg(F.sum("__amount").alias("__sum"))  # one row a block
     before = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
     offsets = totals.withColumn("__offset", F.coalesce(F.sum("__sum").over(before.orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__sum")

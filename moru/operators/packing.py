@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 from moru.operators.order import running_total
 
 
-def token_budget(df: DataFrame, n_tokens: Column, order: str, budget: int, block_rows: int = 100_000) -> DataFrame:
+def token_budget(df: DataFrame, n_tokens: Column, order: str, budget: int, block_rows: int | None = None) -> DataFrame:
     """The rows in order up to the one that crosses ``budget``, that one included."""
     return running_total(df, n_tokens, order, "_before", block_rows).where(F.col("_before") < budget).drop("_before")
 
 
-def pack(df: DataFrame, ids: str, order: str, length: int, eos: int | None = None, block_rows: int = 100_000) -> DataFrame:
+def pack(df: DataFrame, ids: str, order: str, length: int, eos: int | None = None, block_rows: int | None = None) -> DataFrame:
     """``seq_id, x, y``: all token arrays in order, one after the other, cut into sequences of ``length``; ``y`` is ``x`` shifted by one. What is
     left over at the end is dropped. Tokens are placed by the running offset of their row and go straight to their sequence,
     so no window runs over the whole table and a sequence may span rows."""

@@ -9,7 +9,15 @@ from moru.functions import text as T
 from moru.operators.records import item, metadata
 
 # Lines of a page that are no text of an item, the name of an exam in a path, words that mark a question.
-NOISE_LINES = [r"^\s*-?\s*\d+\s*-?\s*$", r"^\s*\d+\s*/\s*\d+\s*$", r"^\s*페이지\s*\d+", r"^\s*Page\s*\d+", r"저작권", r"무단\s*(?:전재|복제)", r"수험번호|성명\s*[:：]"]
+NOISE_LINES = [
+    r"^\s*\d+\s*$",
+    r"대학수학능력시험.*홀수형",
+    r"대학수학능력시험.*짝수형",
+    r"이 문제지에 관한.*",
+    r"^\s*-\s*\d+\s*-\s*$",
+    r"^\s*제\s*\d+\s*교시\s*$",
+    r"성명\s*수험\s*번호",
+]
 PATH_EXAMS = ["csat", "mock", "teacher", "leet", "district"]
 #: The start of a numbered question and all of its block, up to the next one or the end.
 BLOCK = r"(?msd)(^\d{1,2}\.\s*[^\n]+.*?)(?=^\d{1,2}\.\s*[^\n]|\z)"
@@ -18,15 +26,15 @@ PASSAGE_BLOCK = r"(?msd)(\[지문\s*\d+\].*?)(?=\[지문\s*\d+\]|\z)"
 
 def without_noise(c: Column | str) -> Column:
     """``c`` without its noise lines."""
-    return F.array_join(F.filter(T.lines(c), lambda x: ~x.rlike("|".join(NOISE_LINES))), "\n")
+    return F.array_join(F.filter(T.lines(c), lambda x: ~x.rlike("(?Ud)" + "|".join(NOISE_LINES))), "\n")
 
 
 def exam_of_path(path: Column | str) -> Column:
-    """``struct<exam_type, year>`` from the last segment that names an exam and the last of four digits."""
+    """``struct<exam_type, year>`` from the last segment that is the name of an exam and the last of four digits."""
     parts = F.split(path, "/")
-    kind = F.try_element_at(F.filter(parts, lambda p: F.lower(p).isin(PATH_EXAMS)), F.lit(-1))
+    kind = F.try_element_at(F.filter(parts, lambda p: p.isin(PATH_EXAMS)), F.lit(-1))
     year = F.try_element_at(F.filter(parts, lambda p: p.rlike(r"\A[0-9]{4}\z")), F.lit(-1))
-    return F.struct(F.coalesce(F.lower(kind), F.lit("csat")).alias("exam_type"), F.coalesce(year.try_cast("int"), F.lit(0)).alias("year"))
+    return F.struct(F.coalesce(kind, F.lit("csat")).alias("exam_type"), F.coalesce(year.try_cast("int"), F.lit(0)).alias("year"))
 
 
 def reader_of_path(path: Column | str) -> Column:

@@ -24,9 +24,9 @@ def long_enough(c: str, least: int) -> Column:
 
 
 def keep_first(df: DataFrame, key: Column, *order: str) -> DataFrame:
-    """The first row of each ``key`` in the order of ``order``. Catalyst turns the rank filter into a limit by group before the shuffle."""
+    """The first row of each ``key`` (a string) in the order of ``order``; the rows with a null key are one group. Keys go by their hash. Catalyst turns the rank filter into a limit by group before the shuffle."""
     w = Window.partitionBy("_key").orderBy(*order)
-    return df.withColumn("_key", key).withColumn("_rank", F.row_number().over(w)).where("_rank = 1").drop("_key", "_rank")
+    return df.withColumn("_key", F.unhex(F.md5(key))).withColumn("_rank", F.row_number().over(w)).where("_rank = 1").drop("_key", "_rank")
 
 
 def head(df: DataFrame, n: int | None, *order: str) -> DataFrame:
@@ -64,7 +64,7 @@ def report(df: DataFrame, keep: Column) -> DataFrame:
 
 def band(ratio: Column) -> Column:
     """The quality band of a share of unknown tokens."""
-    return F.when(ratio < 0.001, "excellent").when(ratio < 0.01, "good").when(ratio < 0.05, "fair").otherwise("poor")
+    return F.when(ratio < 0.001, "excellent").when(ratio < 0.01, "good").when(ratio < 0.05, "marginal").otherwise("bad")
 
 
 def refuse_removed(names: list[str], removed: set[str], known: set[str]) -> tuple[list[str], list[str]]:

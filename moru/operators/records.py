@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from moru.functions import text as T
-from moru.operators.schema_drift import ALIASES
 
 ITEM = (
     "passage string, question string, choices array<string>, answer int, explanation string, "
@@ -63,9 +62,9 @@ def parse_csat_2025(raw: DataFrame, source_file: Column | None = None) -> DataFr
 
 
 def civil_answer(c: Column | str) -> Column:
-    """2, '2' and '[2]' are 2; null, '', '<NA>' and words are null."""
+    """2, '2' and '[2]' are 2, '-1' is -1; null, '', '<NA>', '[-1]' and words are null."""
     col = (F.col(c) if isinstance(c, str) else c).cast("string")
-    return F.regexp_extract(T.strip(col), r"\A\[?([0-9]+)\]?\z", 1).try_cast("int")
+    return F.coalesce(F.regexp_extract(T.strip(col), r"\A\[?([0-9]+)\]?\z", 1).try_cast("int"), T.whole_number(col))
 
 
 def parse_civil(raw: DataFrame, source_file: Column | None = None) -> DataFrame:
@@ -119,6 +118,15 @@ def parse_sft(raw: DataFrame, source_file: Column | None = None) -> DataFrame:
     ))
 
 
+# The keys of local records, in the order in which they count.
+LOCAL_KEYS = {
+    "question": ["question", "문제", "문제 내용", "q"],
+    "passage": ["passage", "지문", "context", "paragraph"],
+    "answer": ["answer", "정답", "gold"],
+    "explanation": ["explanation", "해설", "설명"],
+}
+
+
 def first_of(m: str, keys: list[str]) -> Column:
     """The first value of the map ``m`` under ``keys`` that isn't empty."""
     return F.coalesce(*[F.nullif(F.try_element_at(F.col(m), F.lit(k)), F.lit("")) for k in keys])
@@ -126,13 +134,13 @@ def first_of(m: str, keys: list[str]) -> Column:
 
 def parse_local(raw: DataFrame, source_file: Column | None = None) -> DataFrame:
     """``record map<string,string>`` (arrays as JSON): every logical field under any of its known keys; no question, no item."""
-    rows = raw.withColumn("_q", first_of("record", ALIASES["question"][:4])).where(T.not_blank("_q"))
+    rows = raw.withColumn("_q", first_of("record", LOCAL_KEYS["question"])).where(T.not_blank("_q"))
     listed = F.from_json(first_of("record", ["choices", "선지", "options"]), "array<string>")
     numbered = [F.array(*[F.nullif(F.try_element_at("record", F.lit(k)), F.lit("")) for k in ks]) for ks in ([f"선택지 {i}" for i in range(1, 6)], [f"choice_{i}" for i in range(1, 6)], list("ABCDE"))]
     full = lambda a: F.nullif(F.filter(a, lambda x: x.isNotNull() & (x != "")), F.array().cast("array<string>"))
     choices = F.coalesce(full(listed), *[full(a) for a in numbered])
     return rows.select(*item(
-        F.coalesce(first_of("record", ALIASES["passage"][:4]), F.lit("")), F.col("_q"), choices, civil_answer(first_of("record", ALIASES["answer"][:3])), first_of("record", ALIASES["explanation"][:3]),
+        F.coalesce(first_of("record", LOCAL_KEYS["passage"]), F.lit("")), F.col("_q"), choices, civil_answer(first_of("record", LOCAL_KEYS["answer"])), first_of("record", LOCAL_KEYS["explanation"]),
         metadata(exam_type=F.coalesce(first_of("record", ["exam_type", "시험종류"]), F.lit("local")), year=F.coalesce(T.whole_number(first_of("record", ["year", "연도"])), F.lit(0)),
                  subject=F.coalesce(first_of("record", ["subject", "과목"]), F.lit("국어")), source_file=source_file),
     ))
@@ -173,9 +181,10 @@ def qa_text(instruction: Column, answer: Column) -> Column:
     return F.when(T.not_blank(instruction) & T.not_blank(answer), F.concat(F.lit("질문: "), T.strip(instruction), F.lit("\n답변: "), T.strip(answer)))
 
 
-def chat_text(messages: Column) -> Column:
-    """The messages' contents, stripped, without blank ones, line by line."""
-    return F.array_join(F.filter(F.transform(messages, lambda m: T.strip(m["content"])), lambda x: x != ""), "\n")
+def chat_text(messages: Column, keys: tuple[str, ...] = ("content",)) -> Column:
+    """The messages' contents, stripped, without blank ones, line by line; of several ``keys`` the first that isn't empty, as ``content`` or ``value``."""
+    said = lambda m: F.coalesce(*[F.nullif(m[k], F.lit("")) for k in keys], F.lit(""))
+    return F.array_join(F.filter(F.transform(messages, lambda m: T.strip(said(m))), lambda x: x != ""), "\n")
 
 
 def judged(c: Column | str) -> Column:

@@ -192,10 +192,12 @@ def batch_encode(encoded: DataFrame, id_col: str, most: int, ids: str = "ids", b
     rows = encoded.select(id_col, F.slice(ids, 1, most).alias("_x"), b.alias("_b"))
     longest = rows.groupBy("_b").agg(F.max(F.size("_x")).alias("_n"))
     n = F.col("_n") - F.size("_x")
-    return rows.join(F.broadcast(longest), "_b").select(id_col, F.concat("_x", F.array_repeat(F.lit(PAD), n)).alias("input_ids"), F.concat(F.transform("_x", lambda _: F.lit(1)), F.array_repeat(F.lit(0), n)).alias("attention_mask"))
+    return rows.join(longest, "_b").select(id_col, F.concat("_x", F.array_repeat(F.lit(PAD), n)).alias("input_ids"), F.concat(F.transform("_x", lambda _: F.lit(1)), F.array_repeat(F.lit(0), n)).alias("attention_mask"))
 
 
-def health(df: DataFrame, pieces_col: str, least: int = 3, letters: str = T.HANGUL) -> DataFrame:
-    """``df`` with ``n_ko``, the number of pieces with a letter of the script, and ``verdict``: coherent from ``least`` on."""
+def health(df: DataFrame, pieces_col: str, least: int = 3, letters: str = T.HANGUL, top: str | None = None, sure: float = 0.02) -> DataFrame:
+    """``df`` with ``n_ko``, the number of pieces with a letter of the script, and ``verdict``: coherent from ``least`` on, given also
+    that the probability ``top`` of the first piece, where there is one, is above ``sure``."""
     n = F.size(F.filter(pieces_col, lambda p: p.rlike(f"[{letters}]")))
-    return df.withColumn("n_ko", n).withColumn("verdict", F.when(F.col("n_ko") >= least, "coherent").otherwise("broken"))
+    good = (F.col("n_ko") >= least) & (F.col(top) > sure if top else F.lit(True))
+    return df.withColumn("n_ko", n).withColumn("verdict", F.when(good, "coherent").otherwise("broken"))

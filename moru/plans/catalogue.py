@@ -14,7 +14,7 @@ from moru.plans import pipeline
 from moru.session import checkpoint, table
 from moru.sources import crawl, readers, registry
 from moru.sources.sinks import to_lines
-from moru.streaming.logs import event_windows
+from moru.streaming.logs import event_windows, streamed
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -223,8 +223,9 @@ def qa_template(spark, d):  # C13
 
 @query(f"select doc_id, array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: {strip('x')}), lambda x: x <> ''), chr(10)) as text from documents where text_col = 'conversations' and text is not null")
 def chat_flatten(spark, d):  # C12
-    messages = F.transform(T.lines("text"), lambda x: F.struct(F.lit("user").alias("role"), x.alias("content")))
-    return docs(spark, d).where("text_col = 'conversations' and text is not null").select("doc_id", records.chat_text(messages).alias("text"))
+    # every other line is a message of the form role and content, or of the form from and value
+    messages = F.transform(T.lines("text"), lambda x, i: F.struct(F.when(i % 2 == 0, x).otherwise("").alias("content"), F.when(i % 2 == 1, x).alias("value")))
+    return docs(spark, d).where("text_col = 'conversations' and text is not null").select("doc_id", records.chat_text(messages, ("content", "value")).alias("text"))
 
 
 @query(f"select doc_id, {strip('text')} as text from documents where text is not null")
@@ -249,6 +250,47 @@ def title_cascade(spark, d):  # C2
     return t.withColumn("t", records.exam_title("title")).select("title", "t.exam_type", "t.year", "t.month")
 
 
+def _options(names: list[str]) -> list:
+    return [F.get("choices", F.lit(i)).alias(n) for i, n in enumerate(names)]
+
+
+_FIVE = "array_to_string([coalesce(choices[1], ''), coalesce(choices[2], ''), coalesce(choices[3], ''), coalesce(choices[4], ''), coalesce(choices[5], '')], '|')"
+_TAKEN = ["item_id", "passage", "question", "choices", "answer", "metadata.exam_type", "metadata.year", "metadata.month", "metadata.question_number", "metadata.source_dataset"]
+
+
+@query(f"""select item_id, coalesce(passage, '') as passage, question, {_FIVE} as choices, answer, case when metadata.month = 6 then 'mock_june' when metadata.month = 9 then 'mock_sept' else 'csat' end as exam_type,
+  metadata.year as year, case when metadata.month = 6 then 6 when metadata.month = 9 then 9 else 11 end as month, null::int as question_number, 'csatqa' as source_dataset from exam_items where {nonblank('question')} and metadata.year between 1000 and 9999""")
+def csatqa_items(spark, d):  # C1, C2: raw records of that form made from the items
+    y, m = F.col("metadata.year").cast("string"), F.col("metadata.month")
+    title = F.when(m.isin(6, 9), F.concat(y, F.lit("년 "), m.cast("string"), F.lit("월 모의고사 국어"))).otherwise(F.concat(y, F.lit(" 대학수학능력시험 국어")))
+    raw = items(spark, d).where("metadata.year between 1000 and 9999").select("item_id", title.alias("test_name"), F.col("passage").alias("context"), "question", F.col("answer").cast("string").alias("gold"), *_options([f"option#{i}" for i in range(1, 6)]))
+    return _with_id(raw, records.parse_csatqa)
+
+
+@query(f"""select item_id, coalesce(passage, '') as passage, question || case when {nonblank('explanation')} then chr(10) || explanation else '' end as question, {_FIVE} as choices, answer, 'csat' as exam_type, 2025 as year, 11 as month,
+  metadata.question_number as question_number, 'csat_2025' as source_dataset from exam_items where {nonblank('question')}""")
+def csat_2025_items(spark, d):  # C3
+    raw = items(spark, d).select("item_id", F.col("metadata.question_number").cast("string").alias("idx"), F.col("passage").alias("paragraph"), "question", F.col("explanation").alias("question_plus"), *_options(list("ABCDE")), F.col("answer").cast("string").alias("answer"))
+    return _with_id(raw, records.parse_csat_2025)
+
+
+@query(f"""select item_id, '' as passage, question, array_to_string([coalesce(choices[1], ''), coalesce(choices[2], ''), coalesce(choices[3], ''), coalesce(choices[4], '')], '|') as choices, case when item_id % 4 = 0 and answer < 0 then null else answer end as answer,
+  case when item_id % 2 = 0 then 'civil_national' else 'civil_local' end as exam_type, metadata.year as year, null::int as month, metadata.question_number as question_number, case when item_id % 2 = 0 then 'civil_national' else 'civil_local' end as source_dataset
+  from exam_items where {nonblank('question')}""")
+def civil_items(spark, d):  # C7, C8
+    raw = items(spark, d).select(
+        "item_id", F.col("metadata.question_number").cast("string").alias("문제 번호"), F.col("question").alias("문제 내용"), *_options([f"선택지 {i}" for i in range(1, 5)]), F.when(F.col("item_id") % 4 == 0, F.concat(F.lit("["), F.col("answer"), F.lit("]"))).otherwise(F.col("answer").cast("string")).alias("정답"),
+        F.col("metadata.year").cast("string").alias("year"), F.when(F.col("item_id") % 2 == 0, "국가직 9급").when(F.col("item_id") % 3 == 0, "지방직").alias("source"),
+    )
+    return _with_id(raw, records.parse_civil)
+
+
+def _with_id(raw: DataFrame, parse) -> DataFrame:
+    """What ``parse`` gives, with the id of the raw record, which goes through it as the name of the file."""
+    out = parse(raw, F.col("item_id").cast("string"))
+    return out.withColumns({"item_id": F.col("metadata.source_file").cast("long"), "choices": F.array_join("choices", "|")}).select(*_TAKEN)
+
+
 JSONS = "(select feed, file_no, line_no, payload from local_raw where json_valid(payload))"
 
 
@@ -301,7 +343,7 @@ def local_items(spark, d):  # C9, C10 with choices and answers
     return records.parse_local(r)
 
 
-@query(r"""select item_id, f as source_file, coalesce(list_filter(string_split(f, '/'), lambda p: lower(p) in ('csat','mock','teacher','leet','district'))[-1], 'csat') as exam_type,
+@query(r"""select item_id, f as source_file, coalesce(list_filter(string_split(f, '/'), lambda p: p in ('csat','mock','teacher','leet','district'))[-1], 'csat') as exam_type,
   coalesce(try_cast(list_filter(string_split(f, '/'), lambda p: regexp_matches(p, '\A[0-9]{4}\z'))[-1] as int), 0) as year,
   case when contains(lower(f), 'teacher') or contains(lower(f), '임용') then 'teacher' when contains(lower(f), 'leet') or contains(lower(f), '언어이해') then 'leet' else 'csat' end as reader
   from (select item_id, metadata.source_file as f from exam_items) where lower(f) like '%.pdf'""")
@@ -322,10 +364,14 @@ def category_from_path(spark, d):  # C33
     return items(spark, d).where("metadata.source_file is not null").select("item_id", readers.category_of(F.col("metadata.source_file")).alias("category"))
 
 
-NOISE = "|".join(pages.NOISE_LINES)
+#: The noise lines of the pages, said apart from the operator.
+_S, _D = r"[\s\p{Z}\x{1c}-\x{1f}\x{85}]*", r"\p{Nd}+"
+_NOISE = " or ".join(
+    f"regexp_matches(l, '{p}')" for p in (f"^{_S}{_D}{_S}$", "대학수학능력시험.*홀수형", "대학수학능력시험.*짝수형", "이 문제지에 관한", f"^{_S}-{_S}{_D}{_S}-{_S}$", f"^{_S}제{_S}{_D}{_S}교시{_S}$", f"성명{_S}수험{_S}번호")
+)
 
 
-@query(f"select source_file, page_no, array_to_string(list_filter(string_split(text, chr(10)), lambda l: not regexp_matches(l, '{NOISE}')), chr(10)) as text from scan_pages where text is not null")
+@query(f"select source_file, page_no, array_to_string(list_filter(string_split(text, chr(10)), lambda l: not ({_NOISE})), chr(10)) as text from scan_pages where text is not null")
 def noise_lines_removed(spark, d):  # C18
     return table(spark, d, "scan_pages").where("text is not null").select("source_file", "page_no", pages.without_noise("text").alias("text"))
 
@@ -354,7 +400,12 @@ def five_choices(spark, d):  # C23
     return docs(spark, d).withColumn("c", pages.choice_list(F.col("text"), 5)).where("c is not null").select("doc_id", F.array_join("c", "\u0001").alias("choices"))
 
 
-@query(None)
+_R4 = f"substr(text, {_AT[3]} + 1)"
+_LAST4 = f"case when instr({_R4}, '⑤') > 0 then substr({_R4}, 1, instr({_R4}, '⑤') - 1) when instr({_R4}, chr(10) || chr(10)) > 1 then substr({_R4}, 1, instr({_R4}, chr(10) || chr(10)) - 1) else {_R4} end"
+_LAST4 = strip(f"regexp_replace({_LAST4}, '{S}+', ' ', 'g')")
+
+
+@query(f"""select doc_id, {' || chr(1) || '.join([*[_piece(a, b) for a, b in zip(_AT[:3], _AT[1:4])], _LAST4])} as choices from documents where {' and '.join(f'{a} > 0' for a in _AT[:4])}""")
 def four_choices(spark, d):  # C24
     return docs(spark, d).withColumn("c", pages.choice_list(F.col("text"), 4)).where("c is not null").select("doc_id", F.array_join("c", "\u0001").alias("choices"))
 
@@ -363,22 +414,43 @@ LINES = "string_split(text, chr(10))"
 QAT = f"coalesce(list_max(list_filter(list_transform({LINES}, lambda l, i: case when l like '%?%' or l like '%시오.%' then i - 1 end), lambda z: z is not null)), len({LINES}) - 1)"
 
 
-@query(f"""select doc_id, case when q <= 0 then '' else {strip(f"array_to_string(list_slice({LINES}, 1, q), chr(10))")} end as passage,
+def _question_split(at: str) -> str:
+    return f"""select doc_id, case when q <= 0 then '' else {strip(f"array_to_string(list_slice({LINES}, 1, q), chr(10))")} end as passage,
   case when q <= 0 then {strip('text')} else {strip(f"array_to_string(list_slice({LINES}, q + 1, len({LINES})), chr(10))")} end as question
-  from (select doc_id, text, {QAT} as q from documents where text is not null)""")
+  from (select doc_id, text, {at} as q from documents where text is not null)"""
+
+
+@query(_question_split(QAT))
 def passage_question_split(spark, d):  # C25
     return docs(spark, d).where("text is not null").withColumn("s", pages.split_question(F.col("text"), pages.CSAT_MARKERS)).select("doc_id", "s.passage", "s.question")
 
 
-@query(None)
+@query(_question_split(QAT.replace("l like '%시오.%'", "l like '%시오.%' or l like '%것은%'")))
 def passage_question_split_teacher(spark, d):  # C26
     return docs(spark, d).where("text is not null").withColumn("s", pages.split_question(F.col("text"), pages.TEACHER_MARKERS)).select("doc_id", "s.passage", "s.question")
 
 
-@query(None)
-def sft_split(spark, d):  # C4-C6
-    m = F.array(F.struct(F.lit("user").alias("role"), F.col("text").alias("content")), F.struct(F.lit("assistant").alias("role"), F.lit("풀이").alias("content")))
-    return records.parse_sft(docs(spark, d).where("source = 'exam_moa'").select(m.alias("messages")))
+_SL = f"list_transform({LINES}, lambda x: {strip('x')})"
+_SC = "regexp_matches(x, '[①②③④⑤]') or regexp_matches(x, '\\A[1-5]\\)')"
+_BODY = "regexp_replace(regexp_replace(array_to_string(list_slice(ls, c + 1, len(ls)), chr(10)), '[①②③④⑤]', chr(1), 'g'), '(?m)^[1-5]\\)', chr(1), 'g')"
+_SQUASHED = strip(f"regexp_replace(x, '{S}+', ' ', 'g')")
+
+
+@query(f"""with a as (select doc_id, text, {_SL} as ls, list_min(list_filter(list_transform({_SL}, lambda x, i: case when {_SC} then i - 1 end), lambda z: z is not null)) as c from documents where {nonblank('text')}),
+  b as (select *, list_max(list_filter(list_transform(list_slice(ls, 1, c), lambda x, i: case when x <> '' then i - 1 end), lambda z: z is not null)) as q from a)
+  select doc_id, case when c is null or q < 1 then '' when q is null then {strip("array_to_string(list_slice(ls, 1, 0), chr(10))")} else {strip("array_to_string(list_slice(ls, 1, q), chr(10))")} end as passage,
+  case when c is null then {strip('text')} else ls[q + 1] end as question,
+  case when c is null then null else nullif(array_to_string(list_filter(list_transform(string_split({_BODY}, chr(1)), lambda x: {_SQUASHED}), lambda x: x <> ''), '|'), '') end as choices from b""")
+def sft_split(spark, d):  # C5, over all texts
+    s = docs(spark, d).where(T.not_blank("text")).select("doc_id", records.split_sft(F.col("text")).alias("s"))
+    return s.select("doc_id", F.coalesce("s.passage", F.lit("")).alias("passage"), "s.question", F.array_join("s.choices", "|").alias("choices"))
+
+
+@query(f"""select doc_id, 'csat_sft' as exam_type, {strip("'풀이 ' || doc_id")} as explanation from documents where {nonblank('text')}""")
+def sft_items(spark, d):  # C4: the last message of each role counts
+    say = lambda role, text: F.struct(F.lit(role).alias("role"), text.alias("content"))
+    m = F.array(say("user", F.lit("먼저 묻는다")), say("user", F.col("text")), say("assistant", F.lit("앞선 답")), say("assistant", F.concat(F.lit("풀이 "), "doc_id")))
+    return records.parse_sft(docs(spark, d).select(m.alias("messages"))).select(F.expr("cast(substring(explanation, 4) as bigint)").alias("doc_id"), "metadata.exam_type", "explanation")
 
 
 @query(None)
@@ -469,6 +541,19 @@ def page_links(spark, d):  # A16
     return crawl.links(spark.createDataFrame(PAGES, "url string, html string"), "csat")
 
 
+SITE_PAGES = [
+    ("https://a.kr/l/", '<a href="1.pdf">2020 국어</a><a href="2.pdf">2018학년도 언어이해</a><a href="3.pdf">2021 전공 일반</a><a href="4.pdf">독서 이해력 3월 2022</a><a href="5.pdf">2018 국어 9월</a><a href="6.pdf">수학</a>'),
+]
+
+
+@query("""select 'https://a.kr/l/' as url, "at", title, 'https://a.kr/l/' || ("at" + 1) || '.pdf' as link, year, month, exam || '_' || year || coalesce('_' || lpad(month::varchar, 2, '0'), '') || '_' || "at" || '.pdf' as file_name, exam
+  from (values (0, '2020 국어', 2020, null), (1, '2018학년도 언어이해', 2018, null), (2, '2021 전공 일반', 2021, null), (3, '독서 이해력 3월 2022', 2022, 3), (4, '2018 국어 9월', 2018, 9), (5, '수학', 0, null)) t("at", title, year, month),
+  (values ('csat'), ('mock'), ('teacher'), ('leet'), ('district')) e(exam)
+  where case when exam in ('csat', 'mock') then title like '%국어%' or title like '%언어%' when exam = 'leet' then title like '%언어%' or title like '%이해%' else title like '%국어%' end and not (exam = 'teacher' and year > 0 and year < 2019)""")
+def page_links_all(spark, d):  # A16 of every site
+    return crawl.all_links(spark.createDataFrame(SITE_PAGES, "url string, html string"), ["all"])
+
+
 # --- sources and unions --------------------------------------------------------------------------------------------------
 
 
@@ -488,6 +573,16 @@ def union_sources_limit(spark, d):  # I1, H2, H3
     return quality.head(registry.union_all(parts), 500, "source_ord", "doc_id").select("text", "source_ord")
 
 
+_STEXT = strip("text")
+
+
+@query(f"""select name, text from (select source as name, {_STEXT} as text, row_number() over (partition by source order by doc_id) as rn from documents where source in (select name from dataset_registry) and length({_STEXT}) >= 20) where rn <= 40""")
+def source_limits(spark, d):  # A10, H2: of each registered source the first texts that pass the filters
+    names = sorted(r.name for r in table(spark, d, "dataset_registry").select("name").collect())  # a registry has tens of rows
+    parts = [registry.source_text(readers.filtered(docs(spark, d), {"source": n}), "text", most=40, order=["doc_id"]).withColumn("name", F.lit(n)) for n in names]
+    return registry.union_all(parts).select("name", "text")
+
+
 @query("select doc_id, r::int as rep from documents, unnest(range(1, 4)) t(r) where source = 'essay_mulgyeol'")
 def repeat_upweight(spark, d):  # B2, I5
     return registry.up_weighted(docs(spark, d).where("source = 'essay_mulgyeol'"), 3).select("doc_id", "rep")
@@ -591,7 +686,7 @@ def _small_vocab(spark, d):
 
 @query(f"""with k as ({KNOWN[1:-1]}), e as (select p.piece, k.piece as hit from {PIECES} p left join k using (piece)),
   n as (select sum(case when hit is not null then 1 else length(piece) - 1 end)::bigint as tokens, sum(case when hit is null then length(piece) - 1 else 0 end)::bigint as unknown from e)
-  select tokens, unknown, round(unknown / tokens::double, 9) as ratio, case when unknown / tokens::double < 0.001 then 'excellent' when unknown / tokens::double < 0.01 then 'good' when unknown / tokens::double < 0.05 then 'fair' else 'poor' end as band from n""")
+  select tokens, unknown, round(unknown / tokens::double, 9) as ratio, case when unknown / tokens::double < 0.001 then 'excellent' when unknown / tokens::double < 0.01 then 'good' when unknown / tokens::double < 0.05 then 'marginal' else 'bad' end as band from n""")
 def unk_audit(spark, d):  # E1, K2, F7, K8
     e = vocab.encode(docs(spark, d).where("text is not null"), _small_vocab(spark, d), "doc_id")
     return vocab.unknown_audit(e).select("tokens", "unknown", F.round("ratio", 9).alias("ratio"), "band")
@@ -623,7 +718,17 @@ def round_trip(src: DataFrame, v: DataFrame) -> DataFrame:
     return src.join(back, "doc_id").select("doc_id", "text", vocab.decoded_form("text", v).alias("want"), "back")
 
 
-@query(None)
+#: The specials, the syllables and printable signs with and without the word mark, the 4,000 most frequent other signs, then the most frequent words.
+TRAINED = f"""with signs as (select 1 as section, c - 44032 as rank, chr(c::int) as token from range(44032, 55204) r(c) union all select 1, c + 20000, chr(c::int) from range(33, 127) r(c) union all
+    select 2, row_number() over (order by n desc, ch), ch from (select ch, count(*) as n from (select unnest(string_split(regexp_replace(text, '[{T.SPACE_IN}가-힣]', '', 'g'), '')) as ch from documents)
+      where ch <> '' and not regexp_matches(ch, '[\\x21-\\x7e]') group by 1 order by n desc, ch limit 4000)),
+  t as (select 0 as section, i::bigint as rank, s as token from (values (0, '<pad>'), (1, '<unk>'), (2, '<bos>'), (3, '<eos>')) v(i, s) union all
+    select section, rank * 2, '<c:' || token || '>' from signs union all select section, rank * 2 + 1, '<c:▁' || token || '>' from signs union all
+    select 3, row_number() over (order by n desc, piece), piece from (select piece, count(*) as n from {PIECES} group by 1 order by n desc, piece limit 30000 - 4 - 2 * 11266))
+  select id, token from (select (row_number() over (order by section, rank) - 1)::int as id, token from t) where id < greatest(30000, 4 + 2 * (11266 + 4000))"""
+
+
+@query(TRAINED)
 def vocab_train(spark, d):  # K5, I4
     return vocab.train(docs(spark, d), 30_000)
 
@@ -682,9 +787,17 @@ def _log(spark, d):
     return e.select("event_id", "user_id", F.format_string("step %6d | loss %.4f | lr 7.50e-05 | 453,%03d tok/s", F.col("event_id"), F.abs("value"), F.pmod("user_id", F.lit(1000))).alias("line"))
 
 
-@query("select event_id, 'train' as kind, event_id as step, round(abs(value), 4) as loss, 7.5e-05::double as lr, (453000 + user_id % 1000)::double as tok_s from events")
-def log_parse(spark, d):  # C29
-    return logs.parse(_log(spark, d)).select("event_id", "kind", "step", "loss", "lr", "tok_s")
+@query("""select event_id, case event_id % 10 when 1 then 'eval' when 2 then 'checkpoint' when 3 then 'error' when 4 then 'error' when 5 then null else 'train' end as kind,
+  case when event_id % 10 in (2, 3, 4, 5) then null else event_id end as step, case when event_id % 10 in (2, 3, 4, 5) then null else round(abs(value), 4) end as loss,
+  case when event_id % 10 not in (1, 2, 3, 4, 5) then 7.5e-05::double end as lr, case when event_id % 10 not in (1, 2, 3, 4, 5) then (453000 + user_id % 1000)::double end as tok_s,
+  case when event_id % 10 = 1 then 12.5::double end as ppl, case when event_id % 10 = 2 then 'checkpoints/step-' || event_id end as path from events""")
+def log_parse(spark, d):  # C29, lines of every form
+    k = F.col("event_id") % 10
+    e = table(spark, d, "events")
+    other = F.when(k == 1, F.format_string("eval  step=%d  loss=%.4f  ppl=12.50", F.col("event_id"), F.abs("value"))).when(k == 2, F.concat(F.lit("Checkpoint saved → checkpoints/step-"), F.col("event_id")))
+    other = other.when(k == 3, "⚠ gradient overflow").when(k == 4, F.lit("  ✗ worker lost")).when(k == 5, "error: no sign, so no line of a form")
+    lines = _log(spark, d).join(e.select("event_id", other.alias("other")), "event_id").withColumn("line", F.coalesce("other", "line"))
+    return logs.parse(lines).select("event_id", "kind", "step", "loss", "lr", "tok_s", "ppl", "path")
 
 
 METRICS = "(select user_id, event_id as step, round(abs(value), 4) as loss from events)"
@@ -743,6 +856,13 @@ def tumbling_windows(spark, d):  # M1, an extension
     return event_windows(table(spark, d, "events")).withColumn("total", F.round("total", 4))
 
 
+@query("""select date_trunc('hour', ts) as start, event_type, count(*) as n, round(sum(value), 4) as total from events group by 1, 2""")
+def stream_event_windows(spark, d):  # M1: the same windows from a stream that reads what is there and stops
+    schema = table(spark, d, "events").schema
+    events = spark.readStream.schema(schema).parquet(f"{d}/events.parquet*").withColumn("ts", F.col("ts").cast("timestamp"))
+    return streamed(event_windows(events), "complete").select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
 @query("select feed, file_no, count(*) filter (where json_valid(payload)) as parsed, count(*) filter (where not json_valid(payload)) as skipped from local_raw group by all")
 def parsed_per_file(spark, d):  # F13
     bad = F.try_parse_json("payload").isNull()

@@ -12,9 +12,9 @@ from moru.operators import quality
 SITES = {
     "csat": {"words": ["국어", "언어"], "name": "csat", "floor": 0},
     "mock": {"words": ["국어", "언어"], "name": "mock", "floor": 0},
-    "teacher": {"words": ["국어", "전공"], "name": "teacher", "floor": 2019},
-    "leet": {"words": ["언어이해"], "name": "leet", "floor": 0},
-    "district": {"words": ["국어", "언어"], "name": "district", "floor": 0},
+    "teacher": {"words": ["국어"], "name": "teacher", "floor": 2019},
+    "leet": {"words": ["언어이해", "언어", "이해"], "name": "leet", "floor": 0},
+    "district": {"words": ["국어"], "name": "district", "floor": 0},
 }
 
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from moru.operators import logs
+from moru.session import ensure_checkpoint_dir
 
 
 def metrics(spark: SparkSession, path: str, watermark: str = "1 hour", files_per_trigger: int | None = None) -> DataFrame:
@@ -25,6 +28,19 @@ def event_windows(events: DataFrame, width: str = "1 hour", watermark: str = "2
     return rows.groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("start"), "event_type", "n", "total")
 
 
+def streamed(stream: DataFrame, mode: str = "append") -> DataFrame:
+    """The rows of a stream over what is there now: its batches go to the shared checkpoint folder, the last one alone in ``complete`` mode."""
+    spark = stream.sparkSession
+    ensure_checkpoint_dir(spark)
+    folder = f"{spark.sparkContext.getCheckpointDir()}/stream-{uuid.uuid4().hex}"
+
+    def write(batch: DataFrame, n: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/out" if mode == "complete" else f"{folder}/out/batch={n}")
+
+    stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{folder}/out")
+
+
 def run_available(stream: DataFrame, checkpoint: str, table: str) -> None:
     """Process what is there and stop; the rows are in the memory table ``table``."""
     stream.writeStream.format("memory").queryName(table).outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()

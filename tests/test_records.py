@@ -173,3 +173,26 @@ def test_removed_sources_raise():
     with pytest.raises(ValueError):
         quality.refuse_removed(["a", "bad"], {"bad"}, {"a"})
     assert quality.refuse_removed(["a", "x"], set(), {"a"}) == (["a"], ["x"])
+
+
+def test_noise_lines(spark):
+    noise = [" 12 ", "2024학년도 대학수학능력시험 국어 홀수형", "대학수학능력시험 문제지 짝수형", "※ 이 문제지에 관한 저작권은", " - 3 - ", "제 1 교시", "제1교시", "성명 수험 번호", "성명\u3000수험번호"]
+    text = ["저작권을 다룬 글이다.", "3/10", "-3", "1교시 종이 울렸다.", "대학수학능력시험", "", "12번"]
+    df = spark.createDataFrame([("\n".join(x for pair in zip(noise, text + ["끝"] * 2) for x in pair),)], "t string")
+    assert one(df.select(pages.without_noise("t").alias("x"))).x.split("\n") == text + ["끝"] * 2
+
+
+def test_messages_under_either_key(spark):
+    df = spark.createDataFrame([([("", "하나 "), (None, None), (" 둘", "셋")],)], "m array<struct<content:string,value:string>>")
+    assert one(df.select(records.chat_text(F.col("m"), ("content", "value")).alias("t"))).t == "하나\n둘"
+
+
+def test_health_asks_for_a_sure_first_piece(spark):
+    df = spark.createDataFrame([(["가", "나", "다"], 0.5), (["가", "나", "다"], 0.02), (["가", "b", "c"], 0.9)], "p array<string>, top double")
+    assert [r.verdict for r in vocab.health(df, "p", top="top").collect()] == ["coherent", "broken", "broken"]
+    assert [r.verdict for r in vocab.health(df, "p").collect()] == ["coherent", "coherent", "broken"]
+
+
+@pytest.mark.parametrize(("value", "want"), [("2", 2), ("[2]", 2), (" 3 ", 3), ("-1", -1), ("[-1]", None), ("<NA>", None), ("", None), (None, None), ("사", None)])
+def test_civil_answers(spark, value, want):
+    assert one(spark.createDataFrame([(value,)], "v string").select(records.civil_answer("v").alias("a"))).a == want
