@@ -345,12 +345,12 @@ def passage_pairs(texts: DataFrame, least: float) -> DataFrame:
     return both.mapInArrow(_alike(2, least), "p1 long, p2 long")
 
 
-def near_pairs(df: DataFrame, passage_least: float = 0.7, question_least: float = 0.5, id_col: str = "item_id", passage_col: str = "passage", question_col: str = "question") -> DataFrame:
-    """``item_a < item_b``: pairs of different items with a non-blank passage whose passages share at least
-    ``passage_least`` and whose questions at least ``question_least`` of the runs that occur in either.
+def near_links(df: DataFrame, passage_least: float = 0.7, question_least: float = 0.5, id_col: str = "item_id", passage_col: str = "passage", question_col: str = "question") -> DataFrame:
+    """The members ``item_id, pid, qid`` and links ``p1, q1, p2, q2`` of the classes of items with equal passage and question.
 
-    Equal passages are compared once; copies are joined to the pairs of their texts at the end. Rows with a null id or a
-    passage without a letter or digit are in no pair; a null question is an empty text, questions too short for a run are alike
+    Linked are classes whose passages share at least ``passage_least`` and whose questions at least ``question_least`` of the runs
+    that occur in either, each two once; a class of several items is linked to itself. No copies are expanded.  Rows with a null id or a
+    passage without a letter or digit are in no class; a null question is an empty text, questions too short for a run are alike
     when they have the same letters, passages too short for one when they are the same string. Repeated rows and second deliveries add nothing, an empty table gives no pair.
     """
     src = df.select(F.col(id_col).alias("item_id"), F.col(passage_col).alias("text"), F.coalesce(F.col(question_col), F.lit("")).alias("question"))
@@ -382,9 +382,29 @@ def near_pairs(df: DataFrame, passage_least: float = 0.7, question_least: float
         far = keys.join(text.toDF("p1", "q1", "s1"), ["p1", "q1"]).join(text.toDF("p2", "q2", "s2"), ["p2", "q2"])
         joined = joined.unionByName(far.select(*joined.columns))
     kinds = checkpoint(joined.mapInArrow(_alike(4, question_least), "p1 long, q1 long, p2 long, q2 long"))
-    ids = members.select("item_id", "pid", "qid")
+    return members.select("item_id", "pid", "qid"), kinds
+
+
+def near_pairs(df: DataFrame, passage_least: float = 0.7, question_least: float = 0.5, id_col: str = "item_id", passage_col: str = "passage", question_col: str = "question") -> DataFrame:
+    """``item_a < item_b``: all pairs of different items of linked classes (see ``near_links``); the links are expanded at the end."""
+    ids, kinds = near_links(df, passage_least, question_least, id_col, passage_col, question_col)
     out = (
         kinds.join(ids.toDF("a", "p1", "q1"), ["p1", "q1"]).join(ids.toDF("b", "p2", "q2"), ["p2", "q2"]).where("a <> b")
         .select(F.least("a", "b").alias("item_a"), F.greatest("a", "b").alias("item_b"))
     )
     return out.distinct()
+
+
+def near_classes(df: DataFrame, passage_least: float = 0.7, question_least: float = 0.5, id_col: str = "item_id", passage_col: str = "passage", question_col: str = "question") -> DataFrame:
+    """``item_id, class_id, links``: each item with a passage, the class of those equal to it, and how many other items it is alike to.
+
+    The links are counted by the sizes of the classes, so a group of copies of any size gives as many rows as it has items.
+    An item that is delivered with several texts has a row for each.
+    """
+    ids, kinds = near_links(df, passage_least, question_least, id_col, passage_col, question_col)
+    size = checkpoint(ids.groupBy("pid", "qid").agg(F.count_distinct("item_id").alias("n"), F.min("item_id").alias("class_id")))
+    sides = kinds.unionByName(kinds.select(F.col("p2").alias("p1"), F.col("q2").alias("q1"), F.col("p1").alias("p2"), F.col("q1").alias("q2"))).distinct()
+    sides = sides.where("not (p1 = p2 and q1 = q2)").join(size.select(F.col("pid").alias("p2"), F.col("qid").alias("q2"), "n"), ["p2", "q2"])
+    linked = sides.groupBy(F.col("p1").alias("pid"), F.col("q1").alias("qid")).agg(F.sum("n").alias("others"))
+    classes = size.join(linked, ["pid", "qid"], "left").select("pid", "qid", "class_id", (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("links"))
+    return ids.distinct().join(classes, ["pid", "qid"]).select("item_id", "class_id", "links")

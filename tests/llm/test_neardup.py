@@ -119,3 +119,12 @@ def test_hot_group_in_parts(spark, monkeypatch):
     want = {(a, b) for a, s in rows for b, t in rows if a < b and s != t and similar(s, t) >= 0.7}
     got = {tuple(r) for r in N.passage_pairs(spark.createDataFrame(rows, "pid long, text string"), 0.7).collect()}
     assert want == {p for p in got if rows[p[0]][1] != rows[p[1]][1]} and len(want) > 3500
+
+
+def test_classes(spark):
+    p, near = "강물은 흐르고 바람은 불며 들판은 푸르다. 오늘도 사람들은 길을 걷는다.", "강물은 흐르고 바람은 불며 들판은 푸르다. 오늘도 아이들은 길을 걷는다."
+    rows = [(i, p, "무엇인가?") for i in range(50)] + [(100, near, "무엇인가?"), (101, near, "전혀 다른 것을 묻는다"), (102, "아주 다른 글이다 그래서 닮지 않았다", None), (103, None, "x"), (None, p, "무엇인가?")]
+    df = spark.createDataFrame(rows + rows[:3], "item_id long, passage string, question string")
+    got = {r.item_id: (r.class_id, r.links) for r in N.near_classes(df).collect()}
+    assert got == {i: (0, 50) for i in range(50)} | {100: (100, 50), 101: (101, 0), 102: (102, 0)}
+    assert N.near_classes(df.limit(0)).count() == 0
