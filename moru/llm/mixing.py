@@ -38,12 +38,16 @@ class Share:
     threshold: int = 0
 
 
-def budgets(targets: list[tuple[str, float, int]], tokens: dict[str, int], total: float | None = None) -> list[Share]:
-    """The budget of each source. Without ``total`` it is the largest size at which every source that has tokens can hold its share."""
+def budgets(targets: list[tuple[str, float, int]], tokens: dict[str, int], total: float | None = None, give_up: float = 0.0) -> list[Share]:
+    """The budget of each source. Without ``total`` it is the largest size at which every source that has tokens can hold its
+    share, but for the scarcest ones, which may fall short as long as their shares together are at most ``give_up``."""
     live = [(s, t, m) for s, t, m in targets if t > 0 and m > 0 and tokens.get(s, 0) > 0]
     whole = sum(t for _, t, _ in live)
     if total is None:
-        total = min((m * tokens[s] * whole / t for s, t, m in live), default=0.0)
+        sizes, short = sorted((m * tokens[s] * whole / t, t) for s, t, m in live), 0.0
+        while len(sizes) > 1 and (short := short + sizes[0][1] / whole) <= give_up + 1e-12:
+            sizes.pop(0)
+        total = sizes[0][0] if sizes else 0.0
     out = []
     for s, t, m in targets:
         n = tokens.get(s, 0)
@@ -92,6 +96,7 @@ def mix(
     targets: DataFrame,
     total_tokens: float | None = None,
     seed: int = 7,
+    give_up: float = 0.0,
     id_col: str = "doc_id",
     text_col: str = "text",
     source_col: str = "source",
@@ -104,7 +109,8 @@ def mix(
     documents, actual_share``, a row for each row of ``targets``.
 
     Without ``total_tokens`` the set is as large as it can be with every source on its share; a source without tokens is
-    reported with 0 and the other shares keep their proportions. With a larger total, sources whose repeats don't
+    reported with 0 and the other shares keep their proportions. ``give_up`` is the sum of target shares that scarce sources may
+    miss for the sake of a larger set. With a larger total, sources whose repeats don't
     suffice fall short, which ``actual_share`` shows. Documents of other sources and documents without tokens aren't
     used; repeated rows count as documents of their own; of repeated targets of a source the first in order of share counts.
     """
@@ -120,7 +126,7 @@ def mix(
     h = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(seed)), 64 - BITS * LEVELS)
     tokens = checkpoint(bpe.count_tokens(src.withColumn("h", h), "text", "doc_id", "source", "h", directory=directory).where("n_tokens > 0"))
     held = {r.source: int(r.n) for r in tokens.groupBy("source").agg(F.sum("n_tokens").alias("n")).collect()}
-    shares = budgets(list(wanted.values()), held, total_tokens)
+    shares = budgets(list(wanted.values()), held, total_tokens, give_up)
     _levels(tokens, shares)
     plan = spark.createDataFrame(
         [(s.source, s.target, s.most, s.tokens, s.rounds, s.threshold) for s in shares],

@@ -49,6 +49,10 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
 
 
+def p7_shares_relaxed(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"), give_up=0.1)[1]
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.lookalike_pairs(table(spark, d, "documents"))
 
@@ -57,7 +61,7 @@ def p8_canonical(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.canonical_texts(table(spark, d, "documents")).select("doc_id", "canonical", "form")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_repaired, p2_found, p2_cleaned, p3_found, p3_classes, p4_found, p6_ids, p7_training_set, p7_shares, p8_found, p8_canonical)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_repaired, p2_found, p2_cleaned, p3_found, p3_classes, p4_found, p6_ids, p7_training_set, p7_shares, p7_shares_relaxed, p8_found, p8_canonical)}
 
 _FULL = "".join(map(chr, [*range(0xFF01, 0xFF5F)]))
 _HALF = "".join(map(chr, range(0x21, 0x7F))).replace("'", "''")

@@ -74,3 +74,12 @@ def test_budgets_are_nested_and_capped(spark):
     assert all(r.used_tokens == r.available_tokens for r in over.values())
     empty = mixing.mix(docs(spark).limit(0), targets)
     assert empty[0].count() == 0 and {r.actual_share for r in empty[1].collect()} == {0.0}
+
+
+def test_scarce_sources_may_be_given_up():
+    targets = [("a", 0.6, 1), ("b", 0.35, 2), ("c", 0.05, 1)]
+    tokens = {"a": 6000, "b": 3500, "c": 5}
+    assert sum(s.budget for s in mixing.budgets(targets, tokens)) == pytest.approx(100)
+    relaxed = {s.source: s.budget for s in mixing.budgets(targets, tokens, give_up=0.05)}
+    assert relaxed == pytest.approx({"a": 6000, "b": 3500, "c": 5})
+    assert mixing.budgets(targets, tokens, give_up=0.04)[0].budget == pytest.approx(60) and mixing.budgets([], {}, give_up=1) == []
