@@ -124,6 +124,11 @@ def _numbered(df: DataFrame) -> DataFrame:
     return on.withColumn("at", F.row_number().over(Window.partitionBy("path", "file", "page_no").orderBy("start")) - 1)
 
 
+def failed_pages(pages: DataFrame, path: str = "path", text: str = "text") -> DataFrame:
+    """``path, pages, failed``: how many pages each file has and how many of them gave no text."""
+    return pages.groupBy(F.col(path).alias("path")).agg(F.count("*").alias("pages"), F.count_if(F.col(text).isNull()).alias("failed"))
+
+
 def file_blocks(pages: DataFrame, path: str = "path", page: str = "page_no", text: str = "text") -> DataFrame:
     """``path, page_no, at, reader, shared, b``: the numbered blocks of each file, whatever page breaks they go over, by the page on which they start.
 

@@ -376,6 +376,11 @@ def noise_lines_removed(spark, d):  # C18
     return table(spark, d, "scan_pages").where("text is not null").select("source_file", "page_no", pages.without_noise("text").alias("text"))
 
 
+@query("select source_file as path, count(*) as pages, count(*) filter (where text is null) as failed from scan_pages group by 1")
+def failed_pages(spark, d):  # A15
+    return pages.failed_pages(table(spark, d, "scan_pages"), path="source_file")
+
+
 @query(None)
 def page_items(spark, d):  # C19-C28
     return pages.items_of_pages(table(spark, d, "scan_pages"), path="source_file")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,14 +60,24 @@ def json_map(variant: str = "record") -> Column:
     return value
 
 
+def files_of(spark: SparkSession, path: str) -> dict[str, int]:
+    """The files at or below ``path``, in order, with their sizes, on any file system that Spark reads; none if nothing is there."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    out: dict[str, int] = {}
+    found = fs.listFiles(p, True) if fs.exists(p) else None
+    while found is not None and found.hasNext():
+        f = found.next()
+        out[f.getPath().toString()] = f.getLen()
+    return dict(sorted(out.items()))
+
+
 def local_records(spark: SparkSession, path: str) -> DataFrame:
     """``record map<string,string>, file, ord`` of a file or directory of the four known formats; others raise. Null or missing paths give no rows."""
     empty = spark.createDataFrame([], "record map<string,string>, file string, ord bigint")
-    if not path or not os.path.exists(path):
-        return empty
-    files = [path] if os.path.isfile(path) else sorted(os.path.join(d, f) for d, _, fs in os.walk(path) for f in fs)
+    files = [*files_of(spark, path)] if path else []
     of = {s: [f for f in files if f.lower().endswith(s)] for s in LOCAL_SUFFIXES}
-    if os.path.isfile(path) and not any(of.values()):
+    if len(files) == 1 and files[0].rsplit("/", 1)[-1] == path.rsplit("/", 1)[-1] and not any(of.values()):
         raise ValueError(f"not one of {', '.join(LOCAL_SUFFIXES)}: {path}")
     out = empty
     if of[".jsonl"]:
@@ -122,12 +130,12 @@ def filtered(df: DataFrame, equal: dict[str, str]) -> DataFrame:
 
 def landed(spark: SparkSession, paths: list[str], schema: str) -> DataFrame:
     """JSON files that a collector put into its landing zone, one after the other."""
-    return jsonl(spark, [p for p in paths if cached(p)], schema)
+    return jsonl(spark, [p for p in paths if cached(spark, p)], schema)
 
 
-def cached(path: str) -> bool:
+def cached(spark: SparkSession, path: str) -> bool:
     """The file is there and not empty."""
-    return os.path.exists(path) and os.path.getsize(path) > 0
+    return sum(files_of(spark, path).values()) > 0
 
 
 def category_of(path: Column | str) -> Column:
