@@ -337,6 +337,9 @@ def paragraphs(text: str, heads: list[set[str]], model: Model) -> tuple[set[str]
 
 def cores(tokens: list[str]) -> list[tuple[str, bool]]:
     """The words within ``tokens``, without the signs around them; and whether a quotation mark in one closes nothing."""
+    whole = "".join(tokens)
+    if not any(q in whole for q in QUOTES):
+        return [(t.rstrip(EDGE).lstrip(EDGE_LEFT), False) for t in tokens]
     out, quoted = [], False
     for t in tokens:
         stray = False
@@ -349,11 +352,24 @@ def cores(tokens: list[str]) -> list[tuple[str, bool]]:
     return out
 
 
-def readable(words: list[tuple[str, bool]], model: Model) -> list[int]:
-    """The places of ``words`` that are decoded; none where the corpus knows all of them."""
-    if all(not c or c in model.words and not stray for c, stray in words):
+def stretches(words: list[tuple[str, bool]], model: Model) -> list[list[int]]:
+    """The places of ``words`` that the corpus doesn't know as they stand, each stretch of them with the words beside it.
+
+    A known word has one state, so what lies beyond it has no bearing on the decoding.
+    """
+    known = model.words
+    doubtful = [stray or bool(c) and c not in known for c, stray in words]
+    if not any(doubtful):
         return []
-    return [i for i, (c, _) in enumerate(words) if c and (c in model.words or READABLE.search(c))]
+    read = [i for i, (c, _) in enumerate(words) if c and (not doubtful[i] or READABLE.search(c))]
+    out: list[list[int]] = []
+    for at, i in enumerate(read):
+        if doubtful[i]:
+            if out and at == out[-1][1] + 1:
+                out[-1][1] = at
+            else:
+                out.append([at, at])
+    return [read[max(0, x - 1) : y + 2] for x, y in out]
 
 
 def mend(text: str, heads: list[set[str]], model: Model, pairs: dict[tuple[str, str], int]) -> tuple[set[str], str]:
@@ -363,11 +379,11 @@ def mend(text: str, heads: list[set[str]], model: Model, pairs: dict[tuple[str,
     for p in body:
         tokens = p.split()
         words = cores(tokens)
-        read = readable(words, model)
-        for i, m in zip(read, model.decode([words[i] for i in read], pairs)):
-            if m.misread:
-                tokens[i] = tokens[i].replace(words[i][0], m.word, 1)
-                found.add("misread")
+        for places in stretches(words, model):
+            for i, m in zip(places, model.decode([words[i] for i in places], pairs)):
+                if m.misread:
+                    tokens[i] = tokens[i].replace(words[i][0], m.word, 1)
+                    found.add("misread")
         out.append(" ".join(tokens))
     return found, "\n".join(x for x in out if x)
 
@@ -377,10 +393,11 @@ def unsure(text: str, heads: list[set[str]], model: Model) -> set[tuple[str, str
     out = set()
     for p in paragraphs(text, heads, model)[1]:
         words = cores(p.split())
-        states = [model.states(*words[i]) for i in readable(words, model)]
-        for a, b in zip(states, states[1:]):
-            if len(a) > 1 or len(b) > 1:
-                out |= {(x.word, y.word) for x in a if not x.kind for y in b if not y.kind}
+        for places in stretches(words, model):
+            states = [model.states(*words[i]) for i in places]
+            for a, b in zip(states, states[1:]):
+                if len(a) > 1 or len(b) > 1:
+                    out |= {(x.word, y.word) for x in a if not x.kind for y in b if not y.kind}
     return out
 
 
